@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
     column = batch.column(text_col)
     if batch.num_rows == 0:
         return
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
     group = np.cumsum(lengths) // SLICE_BYTES
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
