@@ -68,10 +68,12 @@ def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
 
 
 def map_texts(
-    df: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch, list[str]], dict], schema: str, make: Callable | None = None
+    df: DataFrame, text_col: str | None, fn: Callable[[pa.RecordBatch, list[str]], dict] | None, schema: str, make: Callable | None = None
 ) -> DataFrame:
     """Apply fn to Arrow slices of df; texts are given as a list with None as "".
 
+    Without text_col, fn gets whole batches and no texts.
+
     fn returns a dict of columns named as in the schema. With `make`, fn is made inside each
     task by make() (for state that should live as long as the task, as caches do).
     """
@@ -81,8 +83,8 @@ def map_texts(
         call = make() if make else fn
         arrow = target.arrow()
         for whole in batches:
-            for part in slices(whole, text_col):
-                texts = [x or "" for x in part.column(text_col).to_pylist()]
+            for part in slices(whole, text_col) if text_col else [whole]:
+                texts = [x or "" for x in part.column(text_col).to_pylist()] if text_col else []
                 columns = call(part, texts)
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, type=f.type) for f in arrow],

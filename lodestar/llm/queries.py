@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mixing, pii, secrets, toxicity
+from lodestar.llm import mixing, pii, secrets, tokencount, tokenfile, toxicity
+from lodestar.llm.common import SharedTables
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +24,22 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.over_limit(tokencount.count_tokens(_table(spark, sf_dir, "documents")))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = SharedTables(spark, "tokenfiles")
+    tokenfile.write_tokens(_table(spark, sf_dir, "documents"), tables)
+    return tokenfile.read_tokens(spark, tables)
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = (op1_secret_scan, op2_toxicity, op4_personal_data, op10_pareto_mix)
+    found = (op1_secret_scan, op2_toxicity, op4_personal_data, op8_token_counts, op9_token_files, op10_pareto_mix)
     return {f.__name__: f for f in found}
 
 
