@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import mixing, pii, secrets, tokencount, tokenfile, toxicity
+from lodestar.llm import decontaminate, mixing, pii, secrets, tokencount, tokenfile, toxicity
 from lodestar.llm.common import SharedTables
 
 
@@ -24,6 +24,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.over_limit(tokencount.count_tokens(_table(spark, sf_dir, "documents")))
 
@@ -39,7 +43,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_secret_scan, op2_toxicity, op4_personal_data, op8_token_counts, op9_token_files, op10_pareto_mix)
+    found = (op1_secret_scan, op2_toxicity, op4_personal_data, op6_benchmark_leaks, op8_token_counts, op9_token_files, op10_pareto_mix)
     return {f.__name__: f for f in found}
 
 
