@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, mixing, pii, secrets, tokencount, tokenfile, toxicity
+from lodestar.llm import decontaminate, mixing, pii, secrets, tokencount, tokenfile, topk, toxicity
 from lodestar.llm.common import SharedTables
 
 
@@ -28,6 +29,10 @@ def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.over_limit(tokencount.count_tokens(_table(spark, sf_dir, "documents")))
 
@@ -43,9 +48,9 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_secret_scan, op2_toxicity, op4_personal_data, op6_benchmark_leaks, op8_token_counts, op9_token_files, op10_pareto_mix)
+    found = (op1_secret_scan, op2_toxicity, op4_personal_data, op6_benchmark_leaks, op7_exact_top_k, op8_token_counts, op9_token_files, op10_pareto_mix)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_pareto_mix": mixing.ORACLE_SQL}
+    return {"op7_exact_top_k": topk.ORACLE_SQL, "op10_pareto_mix": mixing.ORACLE_SQL}
