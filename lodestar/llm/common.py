@@ -68,7 +68,8 @@ def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
 
 
 def map_texts(
-    df: DataFrame, text_col: str | None, fn: Callable[[pa.RecordBatch, list[str]], dict] | None, schema: str, make: Callable | None = None
+    df: DataFrame, text_col: str | None, fn: Callable[[pa.RecordBatch, list[str]], dict] | None, schema: str, make: Callable | None = None,
+    as_list: bool = True,
 ) -> DataFrame:
     """Apply fn to Arrow slices of df; texts are given as a list with None as "".
 
@@ -84,7 +85,7 @@ def map_texts(
         arrow = target.arrow()
         for whole in batches:
             for part in slices(whole, text_col) if text_col else [whole]:
-                texts = [x or "" for x in part.column(text_col).to_pylist()] if text_col else []
+                texts = [x or "" for x in part.column(text_col).to_pylist()] if text_col and as_list else []
                 columns = call(part, texts)
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, type=f.type) for f in arrow],
@@ -94,6 +95,16 @@ def map_texts(
     return df.mapInArrow(run, schema)
 
 
+def map_slices(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
+    """Like map_texts with `make`, for functions that read the Arrow text column themselves."""
+
+    def whole():
+        call = make()
+        return lambda batch, _: call(batch)
+
+    return map_texts(df, text_col, None, schema, make=whole, as_list=False)
+
+
 class DataFrameSchema:
     """A DDL schema that gives its Arrow form inside tasks."""
 

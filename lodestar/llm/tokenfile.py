@@ -24,11 +24,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import DataFrameSchema, SharedTables, input_columns, map_texts
+from lodestar.llm.common import DataFrameSchema, SharedTables, input_columns, map_slices, map_texts
 from lodestar.llm.tokens import default_path, shared_encoder, tokenizer
 
 #: Longest code; a decoding table has 2**LONGEST entries. Ids between two checkpoints. Ids of a block.
@@ -152,17 +153,17 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str, text_
 
     def make():
         encoder = shared_encoder(path)
-        end = np.array([end_id], encoder.dtype).tobytes()
         width = encoder.dtype.itemsize
 
-        def call(batch, texts):
-            encoder.warm(texts)
-            raw = [encoder.raw(t) + end for t in texts]
-            return {"doc_id": batch.column("doc_id"), "n_ids": [len(r) // width for r in raw], "ids": raw}
+        def call(batch):
+            ids, sizes = encoder.encode_column(batch.column("text"), end_id)
+            ends = np.concatenate([[0], np.cumsum(sizes * width)]).astype(np.int64)
+            raw = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids.tobytes())])
+            return {"doc_id": batch.column("doc_id"), "n_ids": sizes, "ids": raw.cast(pa.binary())}
 
         return call
 
-    return map_texts(input_columns(docs, id_col, text_col), "text", None, "doc_id bigint, n_ids bigint, ids binary", make=make)
+    return map_slices(input_columns(docs, id_col, text_col), "text", make, "doc_id bigint, n_ids bigint, ids binary")
 
 
 def count_ids(encoded: DataFrame, dtype: np.dtype) -> np.ndarray:
@@ -171,8 +172,9 @@ def count_ids(encoded: DataFrame, dtype: np.dtype) -> np.ndarray:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                found = np.bincount(np.frombuffer(value.as_buffer(), dtype))
+            for part in _runs(pc.binary_length(batch.column("ids")).to_numpy(), 1 << 22):
+                raw = b"".join(batch.column("ids").slice(part.start, part.stop - part.start).to_pylist())
+                found = np.bincount(np.frombuffer(raw, dtype))
                 if len(found) > len(total):
                     total = np.pad(total, (0, len(found) - len(total)))
                 total[: len(found)] += found

@@ -10,11 +10,16 @@ it (up to a bound).
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from lodestar.llm.common import mix64
+
 #: A cut: one space between two characters that aren't white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -36,86 +41,163 @@ def default_path() -> str:
 
 
 def _ragged(unit: str) -> bool:
-    """Whether cutting at every space has put white space at a unit's edge."""
+    """Whether cutting at every space has put white space at this unit's edge."""
     return not unit or unit[0].isspace() or unit[-1].isspace()
 
 
-class UnitMemo(dict):
-    """unit -> what `of` makes of a list of units, for units that follow a cut.
+def cut(text: str, known) -> tuple[list[str], set[str]]:
+    """The units of a text, and those of them that `known` lacks.
 
-    Units are looked up without the space that precedes them; a ragged unit's value is None.
-    Up to `limit` units are remembered; later ones are known during their batch alone.
+    All units but the first follow a space, which is left out. Known units are never ragged,
+    so only new ones are looked at.
     """
-
-    def __init__(self, of_all, limit: int) -> None:
-        self.of_all, self.limit, self.batch = of_all, limit, {}
-
-    def __missing__(self, unit: str):
-        if (value := self.batch.get(unit, self)) is not self:
-            return value
-        return None if _ragged(unit) else self.of_all([" " + unit])[0]
-
-    def warm(self, texts: list[str]) -> None:
-        """Get to know the new units of a batch by one call of `of_all`."""
-        new = set()
-        for t in texts:
-            new.update(t.split(" "))
-        new = [u for u in new.difference(self) if not _ragged(u)]
-        into = self if len(self) + len(new) <= self.limit else {}
-        into.update(zip(new, self.of_all([" " + u for u in new])))
-        self.batch = {} if into is self else into
-
-
-def values(text: str, memo: UnitMemo) -> list:
-    """The values of a text's units in order."""
     if not text:
-        return []
+        return [], set()
     parts = text.split(" ")
-    rest = list(map(memo.__getitem__, parts[1:]))
-    if None in rest or _ragged(parts[0]):
+    new = set(parts).difference(known)
+    if any(map(_ragged, new)):
         parts = CUT.split(text)
-        return memo.of_all([parts[0], *(" " + p for p in parts[1:])])
-    return [*memo.of_all([parts[0]]), *rest]
+        new = set(parts).difference(known)
+    return parts, new
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Byte positions at which units start, texts' first ones included (empty texts have none).
+
+    Works on UTF-8 bytes. A space is a cut if both neighbours belong to the same text and
+    neither is, or may be, white space: ASCII white space, or characters whose first byte is
+    one of those of the other white-space characters. Leaving a cut out is always allowed.
+    """
+    size = len(data)
+    plain = np.ones(256, bool)
+    plain[[*range(9, 14), *range(0x1C, 0x21)]] = False
+    follows = plain.copy()
+    follows[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+    at = np.flatnonzero(data == 0x20)
+    at = at[(at > 0) & (at < size - 1)]
+    before, before2, before3 = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    wide = (before >= 0x80) & ((before2 == 0xC2) | ((before2 >= 0x80) & (before3 >= 0xE1) & (before3 <= 0xE3)))
+    ok = plain[before] & ~wide & follows[data[at + 1]]
+    edges = np.zeros(size + 1, bool)
+    edges[offsets] = True
+    at = at[ok]
+    at = at[~edges[at] & ~edges[at + 1]]
+    edges[at] = True
+    return np.flatnonzero(edges[:size])
 
 
 class Encoder:
-    """Texts to ids by the tokenizers library, unit by unit."""
+    """Texts to ids by the tokenizers library, unit by unit, on whole Arrow columns.
+
+    Units are told apart by 64-bit hashes of their bytes, found for a whole column at once.
+    New ones are encoded, run together, by one call of the library; the ids of a run are cut
+    at the units' ends by the byte lengths of the tokens. Up to `limit` units are remembered;
+    later ones are known during their batch alone.
+    """
 
-    #: Units encoded by one call, told apart by the special token between them.
-    RUN = 2000
+    #: Units encoded as one text.
+    RUN = 4000
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         self.tok = tokenizer(path)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        special = [t for t in self.tok.get_added_tokens_decoder().values() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.mark = special[0].content if special else None
-        self.memo = UnitMemo(self.encode_units, limit)
-        self.warm = self.memo.warm
-
-    def encode_units(self, units: list[str]) -> list[bytes]:
-        if len(units) < 8 or self.mark is None:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
-        mark_id, width = self.tok.token_to_id(self.mark), self.dtype.itemsize
-        out: list[bytes] = []
-        for at in range(0, len(units), self.RUN):
-            run = units[at : at + self.RUN]
-            whole = self.mark.join(run)
-            if whole.count(self.mark) != len(run) - 1:
-                out += [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(run, add_special_tokens=False)]
-                continue
-            ids = np.array(self.tok.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.append(np.flatnonzero(ids == mark_id), len(ids)) * width
-            raw, start = ids.tobytes(), 0
-            for end in ends.tolist():
-                out.append(raw[start:end])
-                start = end + width
-        return out
-
-    def raw(self, text: str) -> bytes:
-        return b"".join(values(text, self.memo))
+        added = self.tok.get_added_tokens_decoder()
+        self.byte_lengths = np.zeros(self.tok.get_vocab_size(), np.int64)
+        for token, i in self.tok.get_vocab().items():
+            # a byte-level vocabulary writes every byte as one character
+            self.byte_lengths[i] = len(added[i].content.encode()) if i in added else len(token)
+        rng = np.random.default_rng(20240229)
+        self.letter = rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + rng.integers(0, 2, 256, np.uint64)
+        self.base = np.uint64(0x9E3779B97F4A7C15)
+        self.powers, self.inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.known: dict[int, int] = {}  # hash -> number of the unit
+        self.limit = limit
+        self.pool = np.zeros(1 << 20, self.dtype)  # ids of the remembered units, one after another
+        self.ends = np.zeros(1 << 18, np.int64)
+        self.n_pool = 0
+
+    def _powers(self, n: int) -> None:
+        if len(self.powers) < n:
+            inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
+            self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.base)]), dtype=np.uint64)
+            self.inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse)]), dtype=np.uint64)
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self._powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.letter[data] * self.powers[: len(data)], out=sums[1:])
+        return mix64((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+
+    def _encode_units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the given units, one after another, and how many each has."""
+        spaced = data[starts] == 0x20
+        ids: list = [None] * len(starts)
+        raw = data.tobytes()
+        rest = np.flatnonzero(~spaced)
+        firsts = [raw[a:b].decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist())]
+        for i, e in zip(rest.tolist(), self.tok.encode_batch_fast(firsts, add_special_tokens=False)):
+            ids[i] = np.array(e.ids, self.dtype)
+        joined = np.flatnonzero(spaced)
+        for at in range(0, len(joined), self.RUN):
+            run = joined[at : at + self.RUN]
+            text = b"".join([raw[a:b] for a, b in zip(starts[run].tolist(), ends[run].tolist())]).decode()
+            found = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.searchsorted(np.cumsum(self.byte_lengths[found]), np.cumsum(ends[run] - starts[run]))
+            for i, piece in zip(run.tolist(), np.split(found, cuts[:-1] + 1)):
+                ids[i] = piece
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.concatenate([*ids, np.zeros(0, self.dtype)]), sizes
+
+    def _remember(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = len(self.known), self.n_pool
+        while len(self.pool) < used + len(ids):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while len(self.ends) < n + len(sizes) + 1:
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.pool[used : used + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.known.update(zip(hashes.tolist(), range(n, n + len(sizes))))
+        self.n_pool = used + len(ids)
+
+    def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another (end_id after each), and how many each has."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if n else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0] if n else np.zeros(1, np.int64)
+        starts = unit_starts(data, offsets)
+        if not len(starts):
+            return np.full(n * (end_id is not None), end_id or 0, self.dtype), np.full(n, int(end_id is not None))
+        ends = np.append(starts[1:], len(data))
+        distinct, first, of = np.unique(self._hashes(data, starts, ends), return_index=True, return_inverse=True)
+        number = np.fromiter(map(self.known.get, distinct.tolist(), itertools.repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        ids, sizes = self._encode_units(data, starts[first[new]], ends[first[new]])
+        if len(self.known) + len(new) <= self.limit:
+            number[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._remember(distinct[new], ids, sizes)
+            pool, begin, size = self.pool, self.ends[number], self.ends[number + 1] - self.ends[number]
+        else:
+            pool = np.concatenate([self.pool[: self.n_pool], ids])
+            old = number >= 0
+            begin, size = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+            begin[old], size[old] = self.ends[number[old]], self.ends[number[old] + 1] - self.ends[number[old]]
+            begin[new], size[new] = self.n_pool + np.cumsum(sizes) - sizes, sizes
+        begin, size = begin[of], size[of]
+        after = np.cumsum(size)
+        out = pool[np.repeat(begin - (after - size), size) + np.arange(after[-1])]
+        # the number of ids before each text's first unit
+        before = np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
+        per_text = np.diff(before)
+        if end_id is None:
+            return out, per_text
+        closed = np.full(len(out) + n, end_id, self.dtype)
+        closed[np.arange(len(out)) + np.repeat(np.arange(n), per_text)] = out
+        return closed, per_text + 1
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.raw(text), self.dtype)
+        return self.encode_column(pa.array([text]))[0]
 
 
 @functools.lru_cache(2)
