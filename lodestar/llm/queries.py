@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, mixing, pii, secrets, tokencount, tokenfile, topk, toxicity
+from lodestar.llm import decontaminate, mixing, omh, pii, secrets, tokencount, tokenfile, topk, toxicity
 from lodestar.llm.common import SharedTables
 
 
@@ -21,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.classify(_table(spark, sf_dir, "documents"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
 
@@ -48,7 +52,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_secret_scan, op2_toxicity, op4_personal_data, op6_benchmark_leaks, op7_exact_top_k, op8_token_counts, op9_token_files, op10_pareto_mix)
+    found = (op1_secret_scan, op2_toxicity, op3_order_minhash, op4_personal_data, op6_benchmark_leaks, op7_exact_top_k, op8_token_counts, op9_token_files, op10_pareto_mix)
     return {f.__name__: f for f in found}
 
 
