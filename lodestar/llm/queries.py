@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, mixing, omh, pii, secrets, tokencount, tokenfile, topk, toxicity
+from lodestar.llm import decontaminate, mixing, omh, pii, rlindex, secrets, tokencount, tokenfile, topk, toxicity
 from lodestar.llm.common import SharedTables
 
 
@@ -29,6 +29,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op5_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlindex.remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +56,7 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_secret_scan, op2_toxicity, op3_order_minhash, op4_personal_data, op6_benchmark_leaks, op7_exact_top_k, op8_token_counts, op9_token_files, op10_pareto_mix)
+    found = (op1_secret_scan, op2_toxicity, op3_order_minhash, op4_personal_data, op5_run_length_index, op6_benchmark_leaks, op7_exact_top_k, op8_token_counts, op9_token_files, op10_pareto_mix)
     return {f.__name__: f for f in found}
 
 
