@@ -25,10 +25,12 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from lodestar.llm.common import WordHashes, input_columns, map_texts, mix64, shingle_hashes
+from lodestar.llm.common import WordHashes, input_columns, map_texts, mix64, shingle_hashes, slices
 
 SCHEMA = "doc_id bigint, item_id bigint, n_shingles int, containment double"
 
@@ -94,51 +96,90 @@ def candidates(shingles: np.ndarray, starts: np.ndarray, items: Items, seeds: np
     return found
 
 
+def _matcher(items: Items, threshold: float, hashes: int, words: int):
+    """A function from texts to (text's index, item's index, containment), verified."""
+
+    def make():
+        of, seeds = WordHashes(), _seeds(hashes)
+
+        def match(texts: list[str]) -> list[tuple[int, int, float]]:
+            per_doc = [shingle_hashes(of.of(t.lower().split()), words) for t in texts]
+            starts = np.cumsum([0, *map(len, per_doc)])
+            if not starts[-1] or not items.ids:
+                return []
+            found, distinct = [], {}
+            for d, m in sorted(candidates(np.concatenate(per_doc), starts, items, seeds)):
+                if d not in distinct:
+                    distinct[d] = np.unique(per_doc[d])
+                own, item = distinct[d], items.shingles[m]
+                at = np.minimum(np.searchsorted(own, item), len(own) - 1)
+                share = float((own[at] == item).mean())
+                if share >= threshold:
+                    found.append((d, m, share))
+            return found
+
+        return match
+
+    return make
+
+
 def contained(docs: DataFrame, items: Items, threshold: float, hashes: int, words: int) -> DataFrame:
     """(doc_id, item_id) of one block of items, verified."""
+    matcher = _matcher(items, threshold, hashes, words)
 
     def make():
-        of, seeds = WordHashes(), _seeds(hashes)
+        match = matcher()
 
         def call(batch, texts):
             ids = batch.column("doc_id").to_pylist()
-            per_doc = [shingle_hashes(of.of(t.lower().split()), words) for t in texts]
-            starts = np.cumsum([0, *map(len, per_doc)])
-            rows = []
-            if starts[-1]:
-                distinct: dict[int, np.ndarray] = {}
-                for d, m in sorted(candidates(np.concatenate(per_doc), starts, items, seeds)):
-                    if d not in distinct:
-                        distinct[d] = np.unique(per_doc[d])
-                    own, item = distinct[d], items.shingles[m]
-                    at = np.minimum(np.searchsorted(own, item), len(own) - 1)
-                    share = float((own[at] == item).mean())
-                    if share >= threshold:
-                        rows.append((ids[d], items.ids[m], len(item), share))
-            columns = list(zip(*rows)) or [[], [], [], []]
-            return dict(zip(("doc_id", "item_id", "n_shingles", "containment"), columns))
+            rows = [(ids[d], items.ids[m], len(items.shingles[m]), share) for d, m, share in match(texts)]
+            return dict(zip(("doc_id", "item_id", "n_shingles", "containment"), list(zip(*rows)) or [[], [], [], []]))
 
         return call
 
     return map_texts(docs, "text", None, SCHEMA, make=make)
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
-               item_text_col: str = "text", threshold: float = 0.8, hashes: int = 48, words: int = 5, block: int = 20_000) -> DataFrame:
+def _flagged(docs: DataFrame, text_col: str, flag: str, items: Items, threshold: float, hashes: int, words: int) -> DataFrame:
+    """docs with a column that tells whether the row's text holds an item."""
+    matcher = _matcher(items, threshold, hashes, words)
+
+    def run(batches):
+        match = matcher()
+        for whole in batches:
+            for part in slices(whole, text_col):
+                has = np.zeros(part.num_rows, bool)
+                has[[d for d, _, _ in match([t or "" for t in part.column(text_col).to_pylist()])]] = True
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(has)], names=[*part.schema.names, flag])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(flag, BooleanType())]))
+
+
+def _item_blocks(benchmark: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8,
+                 hashes: int = 48, words: int = 5, block: int = 20_000):
+    """The items in blocks of about `block`, dealt by a hash, each with the search's options."""
+    known = benchmark.select(F.col(item_id_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text"))
+    n_blocks = max(1, -(-known.count() // block))
+    for k in range(n_blocks):
+        rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).toArrow()
+        texts = [t or "" for t in rows.column("text").to_pylist()]
+        yield Items(rows.column("item_id").to_pylist(), texts, hashes, words), (threshold, hashes, words)
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Pairs (doc_id, item_id, n_shingles, containment) with containment >= threshold."""
     texts = input_columns(docs, id_col, text_col)
-    known = benchmark.select(F.col(item_id_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text"))
-    blocks = []
-    n = known.count()
-    for k in range(max(1, -(-n // block))):
-        # whole blocks by a hash of the item; none grows much beyond `block`
-        of_block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-n // block)))) == k
-        rows = known.where(of_block).toArrow()
-        items = Items(rows.column("item_id").to_pylist(), [t or "" for t in rows.column("text").to_pylist()], hashes, words)
-        blocks.append(contained(texts, items, threshold, hashes, words))
-    return functools.reduce(DataFrame.unionAll, blocks)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Distinct ids of the documents that hold an item."""
-    return find_items(docs, benchmark, **options).select("doc_id").distinct()
+    return functools.reduce(DataFrame.unionAll, (contained(texts, items, *how) for items, how in _item_blocks(benchmark, **options)))
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the documents that hold an item; all columns stay.
+
+    A row goes by its own text: ids may be null or shared. The search is run where the texts
+    are read, so that nothing is joined or shuffled.
+    """
+    flag = "_has_item"
+    out = docs.drop(flag)
+    for items, (threshold, hashes, words) in _item_blocks(benchmark, **options):
+        out = _flagged(out, text_col, flag, items, threshold, hashes, words).where(~F.col(flag)).drop(flag)
+    return out.select(docs.columns)

@@ -188,6 +188,15 @@ def mix_sizes(
     )
 
 
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as it has copies, all columns kept."""
+    source_col, id_col = options.get("source_col", "source"), options.get("id_col", "doc_id")
+    rows = docs.select(F.struct(docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(options.get("text_col", "text")).alias("text"))
+    kept = {k: v for k, v in options.items() if not k.endswith("_col")}
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return mix(rows, **kept).where("copies > 0").select("row", copies).select("row.*")
+
+
 #: The same rule over a table `documents` in DuckDB; one window per source does there.
 ORACLE_SQL = r"""
 WITH sized AS (
