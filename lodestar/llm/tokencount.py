@@ -23,20 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import DataFrameSchema, SharedTables, input_columns, map_texts, slices
-from lodestar.llm.tokens import CUT, PreTokens, default_path, _ragged
+from lodestar.llm.tokens import PreTokens, cut, default_path
 
-#: Distinct units that a task holds before it passes their counts on.
-HELD = 400_000
-
-
-def _units(text: str) -> list[str]:
-    """The units of a text, the space before each included."""
-    if not text:
-        return []
-    parts = text.split(" ")
-    if any(map(_ragged, parts)):
-        parts = CUT.split(text)
-    return [parts[0], *(" " + p for p in parts[1:])]
+#: Distinct units that a task holds before it passes their counts on, or remembers.
+HELD = 600_000
 
 
 def pretoken_frequencies(texts: DataFrame, path: str) -> DataFrame:
@@ -44,15 +34,17 @@ def pretoken_frequencies(texts: DataFrame, path: str) -> DataFrame:
     schema = DataFrameSchema("pretoken string, n bigint")
 
     def run(batches):
-        cut = PreTokens(path)
+        pre = PreTokens(path)
         held: Counter = Counter()
+        firsts: Counter = Counter()
 
         def flush():
             found: Counter = Counter()
-            for unit, n in held.items():
-                for p in cut.of(unit):
-                    found[p] += n
-            held.clear()
+            for lead, counts in (("", firsts), (" ", held)):
+                for unit, n in counts.items():
+                    for p in pre.of(lead + unit):
+                        found[p] += n
+                counts.clear()
             keys = list(found)
             for at in range(0, len(keys), 100_000):
                 run_ = keys[at : at + 100_000]
@@ -61,8 +53,11 @@ def pretoken_frequencies(texts: DataFrame, path: str) -> DataFrame:
         for whole in batches:
             for part in slices(whole, "text"):
                 for text in part.column("text").to_pylist():
-                    held.update(_units(text or ""))
-                if len(held) > HELD:
+                    units, _ = cut(text or "", held)
+                    if units:
+                        firsts[units[0]] += 1
+                        held.update(units[1:])
+                if len(held) + len(firsts) > HELD:
                     yield from flush()
         yield from flush()
 
@@ -73,8 +68,8 @@ def piece_counts(frequencies: DataFrame, path: str) -> DataFrame:
     """pretoken, n, pieces: each distinct pre-token is tokenised once."""
 
     def make():
-        cut = PreTokens(path)
-        return lambda batch, texts: {"pretoken": batch.column("pretoken"), "n": batch.column("n"), "pieces": cut.pieces(texts)}
+        pre = PreTokens(path)
+        return lambda batch, texts: {"pretoken": batch.column("pretoken"), "n": batch.column("n"), "pieces": pre.pieces(texts)}
 
     return map_texts(frequencies, "pretoken", None, "pretoken string, n bigint, pieces int", make=make)
 
@@ -110,38 +105,48 @@ def _per_document(texts: DataFrame, known, path: str) -> DataFrame:
     """Per row: the pieces of its common pre-tokens, and the frequencies of its rarer ones."""
 
     def make():
-        cut, pieces = PreTokens(path), known.value
-        memo: dict[str, tuple[int, tuple[str, ...]]] = {}
+        pre, pieces = PreTokens(path), known.value
+        common: dict[str, int] = {}  # unit -> pieces of its common pre-tokens
+        rarer: dict[str, list[str]] = {}  # unit -> its rarer pre-tokens, if any
         first = TaskContext.get().partitionId() << 36
-        seen = [0]
-
-        def of(unit: str) -> tuple[int, tuple[str, ...]]:
-            total, rest = 0, []
-            for p in cut.of(unit):
-                if (n := pieces.get(p)) is None:
-                    rest.append(p)
-                else:
-                    total += n
-            if len(memo) > HELD:
-                memo.clear()
-            value = memo[unit] = (total, tuple(rest))
-            return value
-
-        def call(batch, rows):
+        seen = 0
+
+        def learn(unit: str, lead: str) -> tuple[int, list[str]]:
+            found = pre.of(lead + unit)
+            return sum(pieces.get(p, 0) for p in found), [p for p in found if p not in pieces]
+
+        def call(batch, texts):
+            nonlocal seen
             sums, rests = [], []
-            for text in rows:
+            for text in texts:
+                units, new = cut(text, common)
                 total, rest = 0, Counter()
-                for unit in _units(text):
-                    n, more = memo.get(unit) or of(unit)
-                    total += n
-                    if more:
-                        rest.update(more)
+                if units:
+                    total, more = learn(units.pop(0), "")
+                    rest.update(more)
+                    if len(common) < HELD:
+                        for u in new:
+                            common[u], more = learn(u, " ")
+                            if more:
+                                rarer[u] = more
+                    elif new:
+                        # no more room: new units are worked out where they stand
+                        for u in units:
+                            if u in new:
+                                n, more = learn(u, " ")
+                                total += n
+                                rest.update(more)
+                        units = [u for u in units if u not in new]
+                    total += sum(map(common.__getitem__, units))
+                    for u in units:
+                        if u in rarer:
+                            rest.update(rarer[u])
                 sums.append(total)
                 rests.append([{"pretoken": p, "n": n} for p, n in rest.items()])
-            start = first + seen[0]
-            seen[0] += len(rows)
+            start = first + seen
+            seen += len(texts)
             return {
-                "row": range(start, start + len(rows)), "doc_id": batch.column("doc_id"),
+                "row": range(start, start + len(texts)), "doc_id": batch.column("doc_id"),
                 "n_bytes": batch.column("n_bytes"), "known": sums, "rest": rests,
             }
 

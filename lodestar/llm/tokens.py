@@ -54,10 +54,10 @@ def cut(text: str, known) -> tuple[list[str], set[str]]:
     if not text:
         return [], set()
     parts = text.split(" ")
-    new = set(parts).difference(known)
+    new = {u for u in set(parts) if u not in known}
     if any(map(_ragged, new)):
         parts = CUT.split(text)
-        new = set(parts).difference(known)
+        new = {u for u in set(parts) if u not in known}
     return parts, new
 
 
