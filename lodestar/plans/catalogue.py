@@ -1,11 +1,13 @@
-"""The catalogue of named queries."""
+"""The catalogue of named queries, by area."""
 
 from __future__ import annotations
 
+from lodestar.plans import base, geometry, registry, sparse, telemetry  # noqa: F401  registration
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.ORACLES)
