@@ -167,3 +167,36 @@ def blend_mode(alpha_mode: Column, has_alpha_texture: Column) -> Column:
 def material_index(mat_id: Column, materials: Column) -> Column:
     """-1 stands for the last (default) material."""
     return F.when(mat_id == -1, F.size(materials) - 1).otherwise(mat_id)
+
+
+def projection_matrix(fx: Column, fy: Column, cx: Column, cy: Column, near: float, far: float) -> Column:
+    """Normalised intrinsics as a 4x4 clip matrix, row by row."""
+    z = F.lit(0.0)
+    depth = F.lit(far / (far - near))
+    return F.array(
+        2 * fx, z, 2 * cx - 1, z,
+        z, -2 * fy, -2 * cy + 1, z,
+        z, z, depth, F.lit(near * far / (near - far)),
+        z, z, F.lit(1.0), z,
+    )
+
+
+def absolute_error(a: Column, b: Column) -> Column:
+    return F.abs(a - b)
+
+
+def relative_error(a: Column, b: Column) -> Column:
+    """The difference against the larger of both sizes; 0 where both are 0."""
+    most = F.greatest(F.abs(a), F.abs(b))
+    return F.when(most > 0, F.abs(a - b) / most).otherwise(0.0)
+
+
+def unit_vector(v: tuple[Column, Column, Column]) -> list[Column]:
+    length = F.sqrt(sum((c * c for c in v), F.lit(0.0)))
+    return [F.when(length > 0, c / length).otherwise(0.0) for c in v]
+
+
+def scene_normalised(points: DataFrame, by: list[str]) -> DataFrame:
+    """Scaled by 1 / the largest extent, then moved so that the box's centre is the origin."""
+    box = bounding_box(points, by).where("extent > 0").select(*by, "extent", *(f"centre_{a}" for a in "xyz"))
+    return points.join(box, by).withColumns({a: (F.col(a) - F.col(f"centre_{a}")) / F.col("extent") for a in "xyz"}).drop("extent", *(f"centre_{a}" for a in "xyz"))

@@ -80,3 +80,20 @@ def coordinate_mismatch(left: DataFrame, right: DataFrame, on: list[str]) -> Dat
     """Coordinates that only one of two tables has, with the side that has it."""
     l, r = left.select(on).distinct().withColumn("_l", F.lit(1)), right.select(on).distinct().withColumn("_r", F.lit(1))
     return l.join(r, on, "full_outer").where("_l is null or _r is null").select(*on, F.when(F.col("_r").isNull(), "left").otherwise("right").alias("side"))
+
+
+def zipped(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Positional join of two equally long arrays per key: (key, pos, a, b)."""
+    l, r = left.select(key, F.posexplode(a).alias("pos", a)), right.select(key, F.posexplode(b).alias("pos", b))
+    return l.join(r, [key, "pos"])
+
+
+def merged_maps(a: str, b: str):
+    """Two maps as one; a key in both is an error (Spark's default policy raises)."""
+    return F.map_concat(a, b)
+
+
+def first_existing(candidates: DataFrame, key: str, paths: str, files: DataFrame) -> DataFrame:
+    """Per key the first of its candidate paths that is among the files."""
+    rows = candidates.select(key, F.posexplode(paths).alias("pos", "path"))
+    return rows.join(files.select("path"), "path", "left_semi").groupBy(key).agg(F.min_by("path", "pos").alias("path"))

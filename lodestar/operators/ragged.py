@@ -215,3 +215,49 @@ def budget_search(cells: DataFrame, low: int, high: int, budget: int, step: int
     counts = candidates.select("batch_id", "resolution", *quant).distinct().groupBy("resolution").agg(F.count("*").alias("n"))
     fits = (F.col("n") < budget) | (F.col("resolution") == floor)
     return counts.where(fits).agg(F.max(F.struct("resolution", "n")).alias("best")).select("best.*")
+
+
+def pixel_unshuffled(df: DataFrame, factor: int, channel: str = "c") -> DataFrame:
+    """Moves each factor^3 block of cells into channels: c' = c factor^3 + the place in the block."""
+    place = (F.pmod(F.col("x"), F.lit(factor)) * factor + F.pmod(F.col("y"), F.lit(factor))) * factor + F.pmod(F.col("z"), F.lit(factor))
+    moved = df.withColumn(channel, (F.col(channel) * factor**3 + place).cast("int"))
+    return moved.withColumns({a: cell(a, factor) for a in XYZ})
+
+
+def pixel_shuffled(df: DataFrame, factor: int, channel: str = "c") -> DataFrame:
+    """The inverse: channels back to cells of a grid `factor` times as fine."""
+    place = F.pmod(F.col(channel), F.lit(factor**3))
+    steps = {"x": F.floor(place / factor**2), "y": F.pmod(F.floor(place / factor), F.lit(factor)), "z": F.pmod(place, F.lit(factor))}
+    fine = {a: (F.col(a) * factor + s).cast("int") for a, s in steps.items()}
+    return df.withColumns({**fine, channel: F.floor(F.col(channel) / factor**3).cast("int")})
+
+
+def patches(df: DataFrame, size: int) -> DataFrame:
+    """Adds the patch of each cell and the cell's place in it."""
+    place = (F.pmod(F.col("x"), F.lit(size)) * size + F.pmod(F.col("y"), F.lit(size))) * size + F.pmod(F.col("z"), F.lit(size))
+    return df.withColumns({**{f"p{a}": cell(a, size) for a in XYZ}, "place": place.cast("int")})
+
+
+def collated(samples: DataFrame, sample: str, batch: str = "batch_id") -> DataFrame:
+    """Numbers the samples of one batch 0, 1, ... in the order of their keys.
+
+    The keys of a batch are few: they are numbered on their own and joined back.
+    """
+    numbers = samples.select(sample).distinct().withColumn(batch, (F.row_number().over(Window.orderBy(sample)) - 1).cast("int"))
+    return samples.join(numbers, sample)
+
+
+def attention(df: DataFrame, batch: str, token: str, q: str, k: str, v: str) -> DataFrame:
+    """Softmax attention within each batch; batches are short sequences, and meet by an equi-join.
+
+    The greatest score is taken off before `exp`, as is usual, which changes nothing but overflow.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    left, right = df.select(batch, F.col(token).alias("_t"), F.col(q).alias("_q")), df.select(batch, F.col(k).alias("_k"), F.col(v).alias("_v"))
+    scored = left.join(right, batch).withColumn("_s", dot("_q", "_k") / F.sqrt(F.size("_q").cast("double")))
+    row = Window.partitionBy(batch, "_t")
+    weighed = scored.withColumn("_w", F.exp(F.col("_s") - F.max("_s").over(row)))
+    parts = weighed.select(batch, "_t", "_w", F.posexplode("_v").alias("_i", "_x")).groupBy(batch, "_t", "_i")
+    cells = parts.agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_y"))
+    out = cells.groupBy(batch, F.col("_t").alias(token)).agg(F.array_sort(F.collect_list(F.struct("_i", "_y"))).alias("_a"))
+    return out.select(batch, token, F.transform("_a", lambda e: e["_y"]).alias("out"))

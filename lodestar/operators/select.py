@@ -87,3 +87,15 @@ def first_available(df: DataFrame, choices: list[str]) -> Column:
         if c in df.columns:
             return F.count(c)
     return F.count("*")
+
+
+def split_rejects(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep all rules, rows that break one with the names of the rules they break)."""
+    broken = F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items())))
+    marked = df.withColumn("broken", broken)
+    return marked.where(F.size("broken") == 0).drop("broken"), marked.where(F.size("broken") > 0)
+
+
+def visible(hidden_flags: list[str]) -> Column:
+    """None of the flags hides the row; a missing flag doesn't."""
+    return ~any_true(hidden_flags)

@@ -68,3 +68,19 @@ def lpt_pack(df: DataFrame, batch: str, item: str, load: str, bins: int, equal_s
         return rows.assign(bin=where)[[batch, item, load, "bin"]]
 
     return df.select(batch, item, F.col(load).cast("bigint").alias(load)).groupBy(batch).applyInPandas(pack, schema)
+
+
+def chosen_view(key: Column, seed: str, n: Column) -> Column:
+    """One of n views per key, uniform and the same on every run."""
+    return F.pmod(F.conv(F.substring(uniform_key(key, seed), 1, 15), 16, 10).cast("bigint"), n).cast("int")
+
+
+def chosen_views(key: Column, seed: str, n: int, k: int) -> Column:
+    """k different views of n per key: those whose digests come first."""
+    views = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda v: F.struct(F.md5(F.concat_ws("|", F.lit(seed), key.cast("string"), v.cast("string"))).alias("u"), v.alias("v")))
+    return F.array_sort(F.transform(F.slice(F.array_sort(views), 1, k), lambda s: s["v"]))
+
+
+def latest_step(names: Column) -> Column:
+    """The greatest step among checkpoint names such as denoiser_step0001000.pt (an aggregate)."""
+    return F.max(F.regexp_extract(names, r"step(\d+)", 1).try_cast("bigint"))

@@ -86,3 +86,15 @@ def bce_with_logits(x: Column, y: Column) -> Column:
 
 def kl_to_unit(mean: Column, logvar: Column) -> Column:
     return 0.5 * (mean * mean + F.exp(logvar) - logvar - 1)
+
+
+def norms(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Per group the Euclidean norm over all its values."""
+    return df.groupBy(*by).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("norm"))
+
+
+def ranks_disagree(df: DataFrame, rank: str, norm: str, tolerance: float = 1e-3) -> DataFrame:
+    """One row: whether any rank's norm is off from the first rank's by more than the tolerance."""
+    first = F.min_by(norm, rank)
+    spread = F.greatest(F.abs(F.max(norm) - first), F.abs(F.min(norm) - first))
+    return df.agg(first.alias("reference"), (spread / first).alias("off"), (spread / first > tolerance).alias("disagree"))

@@ -108,3 +108,63 @@ def read_ply_ascii(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     parts = F.when(F.col("c")[0] == 3, tri).when(F.col("c")[0] == 4, quad)
     faces = f.select("path", "f_idx", F.posexplode(parts).alias("part", "t")).select("path", "f_idx", "part", *(F.col("t")[i].alias(f"v{i}") for i in range(3)))
     return vertices, faces
+
+
+def verified_files(spark: SparkSession, path: str, expected: DataFrame, key: str = "sha256") -> DataFrame:
+    """path, key of the files whose content has an expected SHA-256."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias(key))
+    return found.join(expected.select(key), key, "left_semi").select("path", key)
+
+
+#: File extensions by the importer that reads them. Fixed values.
+IMPORTERS = {
+    "obj": "obj", "glb": "gltf", "gltf": "gltf", "usd": "usd", "usda": "usd", "usdz": "usd", "fbx": "fbx",
+    "stl": "stl", "dae": "collada", "ply": "ply", "abc": "alembic", "blend": "append",
+}
+
+
+def importer_of(name: Column) -> Column:
+    """The importer for a file's extension in any letter case; null if there is none."""
+    pairs = [x for e, i in IMPORTERS.items() for x in (F.lit(e), F.lit(i))]
+    return F.element_at(F.create_map(*pairs), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)))
+
+
+def read_ply_binary(spark: SparkSession, path: str) -> DataFrame:
+    """path, kind ('vertex' or 'face'), idx, part and three values of binary little-endian PLY files.
+
+    Vertices are float32 x, y, z first; faces are lists with a uint8 length and int32 indices.
+    Quads become two triangles; faces of other lengths are an error.
+    """
+
+    def parse(batches):
+        import numpy as np
+        import pandas as pd
+
+        for rows in batches:
+            for name, content in zip(rows["path"], rows["content"]):
+                end = content.index(b"end_header\n") + len(b"end_header\n")
+                counts, widths, kind = {}, {}, ""
+                for line in content[:end].decode("ascii").splitlines():
+                    words = line.split()
+                    if words[:1] == ["element"]:
+                        kind, counts[words[1]] = words[1], int(words[2])
+                    elif words[:1] == ["property"] and kind == "vertex":
+                        widths.setdefault(kind, []).append({"float": 4, "float32": 4, "uchar": 1, "uint8": 1, "double": 8, "int": 4}[words[1]])
+                stride, n = sum(widths["vertex"]), counts["vertex"]
+                raw = np.frombuffer(content, np.uint8, n * stride, end).reshape(n, stride)
+                xyz = raw[:, :12].copy().view("<f4").astype(float)
+                yield pd.DataFrame({"path": name, "kind": "vertex", "idx": range(n), "part": 0, "a": xyz[:, 0], "b": xyz[:, 1], "c": xyz[:, 2]})
+                out, at = [], end + n * stride
+                for f in range(counts.get("face", 0)):
+                    size = content[at]
+                    if size not in (3, 4):
+                        raise ValueError(f"{name}: a face of {size} corners")
+                    v = np.frombuffer(content, "<i4", size, at + 1)
+                    out.append((name, "face", f, 0, *map(float, v[:3])))
+                    if size == 4:
+                        out.append((name, "face", f, 1, float(v[0]), float(v[2]), float(v[3])))
+                    at += 1 + 4 * size
+                yield pd.DataFrame(out, columns=["path", "kind", "idx", "part", "a", "b", "c"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(parse, "path string, kind string, idx int, part int, a double, b double, c double")
