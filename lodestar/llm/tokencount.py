@@ -19,7 +19,7 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import DataFrameSchema, SharedTables, input_columns, map_texts, slices
@@ -81,7 +81,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     tables = SharedTables(spark, "tokencount")
     texts = input_columns(docs, id_col, text_col)
     pieces = tables.write(piece_counts(pretoken_frequencies(texts, path), path), "pieces")
-    top = pieces.orderBy(F.desc("n"), "pretoken").limit(common).select("pretoken", "pieces").toArrow()
+    top = pieces.where(F.col("n") >= _least_common(pieces, common)).select("pretoken", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column("pretoken").to_pylist(), top.column("pieces").to_pylist())))
     tables.write(_per_document(texts, known, path), "documents")
     done = spark.read.schema(_ROWS).parquet(tables.path("documents"))
@@ -98,6 +98,16 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     )
 
 
+def _least_common(pieces: DataFrame, common: int) -> int:
+    """The least frequency such that at most `common` pre-tokens have it or more.
+
+    One row per distinct frequency is looked at, so no task sorts the pre-tokens themselves.
+    """
+    above = F.sum("of").over(Window.orderBy(F.desc("n")))
+    by_n = pieces.groupBy("n").agg(F.count("*").alias("of")).withColumn("above", above)
+    return by_n.where(F.col("above") <= common).agg(F.coalesce(F.min("n"), F.lit((1 << 63) - 1))).first()[0]
+
+
 _ROWS = "row bigint, doc_id bigint, n_bytes bigint, known bigint, rest array<struct<pretoken:string,n:int>>"
 
 
