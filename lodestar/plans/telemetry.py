@@ -146,3 +146,14 @@ def events_rollup(t: Tables) -> DataFrame:
     """Subtotals per day and over all (an extension beyond the reference)."""
     rows = t.events.withColumn("day", F.to_date("ts"))
     return rows.rollup("day", "event_type").agg(F.count("*").alias("n"), F.grouping("event_type").cast("int").alias("all_types"))
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM s GROUP BY user_id, k
+""")
+def event_sessions(t: Tables) -> DataFrame:
+    """Runs of a user's events with gaps below half an hour (an extension beyond the reference)."""
+    out = windows.sessions(t.events, "30 minutes")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")

@@ -8,7 +8,7 @@ from lodestar.streaming import ingest, windows
 
 
 def test_lists_and_optional_tables(spark, tmp_path):
-    (tmp_path / "keys.txt").write_text("\n# note\nabo/k1\nk2 \nabo/k1\n")
+    (tmp_path / "keys.txt").write_text("\n# note\nset/k1\nk2 \nset/k1\n")
     assert sorted(r.key for r in readers.read_key_list(spark, str(tmp_path / "keys.txt")).collect()) == ["k1", "k2"]
     assert readers.read_optional(spark, str(tmp_path / "none.csv"), "a int").count() == 0
     assert sorted(r.key for r in readers.keys_of(spark, "a,b").collect()) == ["a", "b"]
