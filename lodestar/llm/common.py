@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -118,6 +119,24 @@ class DataFrameSchema:
         return self._arrow
 
 
+class Covered:
+    """The union of some intervals; tells by binary search whether another one meets it."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect.bisect_left(self.starts, end) - 1
+        return i >= 0 and self.ends[i] > start
+
+
 def input_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The id (as bigint `doc_id`) and text columns alone, so that extra columns can't clash."""
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

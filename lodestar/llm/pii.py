@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import input_columns, map_texts
+from lodestar.llm.common import Covered, input_columns, map_texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds of added spans: local phone numbers, identity numbers and account numbers.
@@ -237,6 +237,10 @@ def trained(steps: int = 300, rate: float = 0.15, decay: float = 2e-3) -> tuple[
     return emit, step
 
 
+#: Tokens of one decoded batch, padding included (a longer sequence is a batch of its own).
+TOKENS = 1 << 16
+
+
 def viterbi(sequences: list[tuple[list[int], list[int]]], weights: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """The best labels of each sequence; sequences of like length are decoded together."""
     emit, step = weights
@@ -245,8 +249,8 @@ def viterbi(sequences: list[tuple[list[int], list[int]]], weights: tuple[np.ndar
     at = 0
     while at < len(order):
         longest = 2 * len(sequences[order[at]][0]) + 8
-        stop = at
-        while stop < len(order) and stop - at < 2048 and len(sequences[order[stop]][0]) <= longest:
+        stop = at + 1
+        while stop < len(order) and (stop - at + 1) * len(sequences[order[stop]][0]) <= TOKENS and len(sequences[order[stop]][0]) <= longest:
             stop += 1
         x, lengths = _padded([sequences[i] for i in order[at:stop]])
         n, width = x.shape[:2]
@@ -314,6 +318,7 @@ def _plausible(kind: int, span: str) -> bool:
 def find_in_texts(texts: list[str], weights: tuple[np.ndarray, np.ndarray], context: int = 3) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) per text, by kind, then start."""
     finds = [base_spans(t) if t else [] for t in texts]
+    taken = [Covered([(a, b) for _, a, b in f]) for f in finds]
     where, sequences, spans = [], [], []
     for n, text in enumerate(texts):
         for a, b in windows(text, context):
@@ -329,7 +334,7 @@ def find_in_texts(texts: list[str], weights: tuple[np.ndarray, np.ndarray], cont
                 j += 1
             if kind := int(path[i]):
                 s, e = a + tokens[i][0], a + tokens[j - 1][1]
-                if _plausible(kind, texts[n][s:e]) and not any(x < e and s < y for _, x, y in finds[n]):
+                if _plausible(kind, texts[n][s:e]) and not taken[n].meets(s, e):
                     finds[n].append((len(BASE_KINDS) + kind - 1, s, e))
             i = j
     return [sorted(x) for x in finds]

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import input_columns, map_texts
+from lodestar.llm.common import Covered, input_columns, map_texts
 
 #: Kinds in the order in which equal starts are listed; the last three are the linked weak ones.
 KINDS = ("assign", "access", "hex", "key", "secret", "endpoint")
@@ -72,10 +72,10 @@ def weak_parts(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int,
     secrets = []
     if endpoints or ids or any(k == 1 for _, k, _ in strong):
         secrets = [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if _opaque(m[0])]
-    taken = sorted(strong)
+    taken = Covered([(s, e) for s, _, e in strong])
     found: list[tuple[int, int, int]] = []
     for s, k, e in sorted([*ids, *endpoints, *secrets], key=lambda x: (x[0], -x[2], x[1])):
-        if any(a < e and s < b for a, _, b in taken) or (found and found[-1][2] > s):
+        if taken.meets(s, e) or (found and found[-1][2] > s):
             continue
         found.append((s, k, e))
     return found
