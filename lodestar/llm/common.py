@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled by one call of a per-batch function; bounds a Python worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +56,17 @@ class SharedTables:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch; Spark's default of 64 MB is much for workers that hold texts in several forms.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES, unless they are set to something else."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("64MB", f"{64 << 20}b", str(64 << 20)):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about SLICE_BYTES of text (one row at least)."""
     column = batch.column(text_col)
@@ -79,6 +90,7 @@ def map_texts(
     fn returns a dict of columns named as in the schema. With `make`, fn is made inside each
     task by make() (for state that should live as long as the task, as caches do).
     """
+    bound_batches(df.sparkSession)
     target = DataFrameSchema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

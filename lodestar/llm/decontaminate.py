@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from lodestar.llm.common import WordHashes, input_columns, map_texts, mix64, shingle_hashes, slices
+from lodestar.llm.common import WordHashes, bound_batches, input_columns, map_texts, mix64, shingle_hashes, slices
 
 SCHEMA = "doc_id bigint, item_id bigint, n_shingles int, containment double"
 
@@ -142,6 +142,7 @@ def contained(docs: DataFrame, items: Items, threshold: float, hashes: int, word
 
 def _flagged(docs: DataFrame, text_col: str, flag: str, items: Items, threshold: float, hashes: int, words: int) -> DataFrame:
     """docs with a column that tells whether the row's text holds an item."""
+    bound_batches(docs.sparkSession)
     matcher = _matcher(items, threshold, hashes, words)
 
     def run(batches):

@@ -24,7 +24,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -149,7 +148,11 @@ def unpack(payload: bytes, checkpoints: np.ndarray, sizes: np.ndarray, table: np
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_ids and ids (little-endian, the end id last) of every whole text."""
+    """doc_id, n_ids and ids (little-endian, the end id last) of every whole text.
+
+    The first row of each batch also has the batch's counts of ids, as pairs (id, count), so
+    that counting needs no second look at the ids.
+    """
 
     def make():
         encoder = shared_encoder(path)
@@ -159,29 +162,27 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str, text_
             ids, sizes = encoder.encode_column(batch.column("text"), end_id)
             ends = np.concatenate([[0], np.cumsum(sizes * width)]).astype(np.int64)
             raw = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids.tobytes())])
-            return {"doc_id": batch.column("doc_id"), "n_ids": sizes, "ids": raw.cast(pa.binary())}
+            found = np.bincount(ids)
+            some = np.flatnonzero(found)
+            counts = np.stack([some, found[some]], axis=1).astype("<i8").tobytes()
+            return {"doc_id": batch.column("doc_id"), "n_ids": sizes, "ids": raw.cast(pa.binary()), "counts": [counts] + [None] * (len(sizes) - 1)}
 
         return call
 
-    return map_slices(input_columns(docs, id_col, text_col), "text", make, "doc_id bigint, n_ids bigint, ids binary")
+    return map_slices(input_columns(docs, id_col, text_col), "text", make, "doc_id bigint, n_ids bigint, ids binary, counts binary")
 
 
-def count_ids(encoded: DataFrame, dtype: np.dtype) -> np.ndarray:
+def count_ids(encoded: DataFrame) -> np.ndarray:
     """Counts of all ids over the whole corpus; one row per id reaches the driver."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for part in _runs(pc.binary_length(batch.column("ids")).to_numpy(), 1 << 22):
-                raw = b"".join(batch.column("ids").slice(part.start, part.stop - part.start).to_pylist())
-                found = np.bincount(np.frombuffer(raw, dtype))
-                if len(found) > len(total):
-                    total = np.pad(total, (0, len(found) - len(total)))
-                total[: len(found)] += found
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
-
-    rows = encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+            pairs = np.frombuffer(b"".join(x for x in batch.column("counts").to_pylist() if x), "<i8").reshape(-1, 2)
+            found = np.bincount(pairs[:, 0], pairs[:, 1]).astype(np.int64)
+            some = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(found[some], pa.int64())], names=["id", "n"])
+
+    rows = encoded.select("counts").where("counts is not null").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = (rows.column(c).to_numpy() for c in ("id", "n"))
     counts = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
     counts[ids] = n
@@ -205,7 +206,7 @@ def write_tokens(docs: DataFrame, tables: SharedTables, path: str | None = None,
     spark = docs.sparkSession
     dtype = np.dtype("<u2") if tokenizer(path).get_vocab_size() <= 1 << 16 else np.dtype("<u4")
     encoded = tables.write(encode_documents(docs, path, end_id, id_col, text_col), "encoded")
-    lengths = code_lengths(count_ids(encoded, dtype))
+    lengths = code_lengths(count_ids(encoded))
     used = np.flatnonzero(lengths)
     code = pa.table({"id": pa.array(used, pa.int32()), "length": pa.array(lengths[used], pa.int32())})
     tables.write(spark.createDataFrame(code).coalesce(1), "code")
@@ -227,7 +228,7 @@ def write_tokens(docs: DataFrame, tables: SharedTables, path: str | None = None,
 
     # only code streams, not ids, are shuffled
     streams = map_texts(
-        encoded.withColumn("hash", F.xxhash64("ids")), None, coded,
+        encoded.drop("counts").withColumn("hash", F.xxhash64("ids")), None, coded,
         "doc_id bigint, n_ids bigint, hash bigint, marks binary, stream binary",
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,7 +10,6 @@ it (up to a bound).
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 
 import numpy as np
@@ -86,6 +85,45 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(edges[:size])
 
 
+class Numbers:
+    """64-bit keys to their numbers 0, 1, ...: open addressing in two arrays, a batch at a time.
+
+    A dict of as many entries takes several times the memory.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.size, self.most = 0, most
+        slots = 1 << max(4, int(1.5 * most).bit_length())
+        self.mask = np.uint64(slots - 1)
+        self.keys, self.numbers = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for unknown ones."""
+        out = np.full(len(keys), -1, np.int64)
+        todo, slot = np.arange(len(keys)), keys & self.mask
+        while len(todo):
+            number = self.numbers[slot]
+            same = (number >= 0) & (self.keys[slot] == keys[todo])
+            out[todo[same]] = number[same]
+            on = (number >= 0) & ~same
+            todo, slot = todo[on], (slot[on] + np.uint64(1)) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Numbers for different keys that aren't known yet."""
+        numbers = np.arange(self.size, self.size + len(keys), dtype=np.int32)
+        todo, slot = np.arange(len(keys)), keys & self.mask
+        while len(todo):
+            free = np.flatnonzero(self.numbers[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]  # one key for each free slot
+            self.keys[slot[won]], self.numbers[slot[won]] = keys[todo[won]], numbers[todo[won]]
+            on = np.ones(len(todo), bool)
+            on[won] = False
+            todo, slot = todo[on], (slot[on] + np.uint64(1)) & self.mask
+        self.size += len(keys)
+
+
 class Encoder:
     """Texts to ids by the tokenizers library, unit by unit, on whole Arrow columns.
 
@@ -98,7 +136,7 @@ class Encoder:
     #: Units encoded as one text.
     RUN = 4000
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 1_300_000) -> None:
         self.tok = tokenizer(path)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         added = self.tok.get_added_tokens_decoder()
@@ -110,7 +148,7 @@ class Encoder:
         self.letter = rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + rng.integers(0, 2, 256, np.uint64)
         self.base = np.uint64(0x9E3779B97F4A7C15)
         self.powers, self.inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
-        self.known: dict[int, int] = {}  # hash -> number of the unit
+        self.known = Numbers(limit)
         self.limit = limit
         self.pool = np.zeros(1 << 20, self.dtype)  # ids of the remembered units, one after another
         self.ends = np.zeros(1 << 18, np.int64)
@@ -149,14 +187,14 @@ class Encoder:
         return np.concatenate([*ids, np.zeros(0, self.dtype)]), sizes
 
     def _remember(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, used = len(self.known), self.n_pool
+        n, used = self.known.size, self.n_pool
         while len(self.pool) < used + len(ids):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while len(self.ends) < n + len(sizes) + 1:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.pool[used : used + len(ids)] = ids
         self.ends[n + 1 : n + 1 + len(sizes)] = used + np.cumsum(sizes)
-        self.known.update(zip(hashes.tolist(), range(n, n + len(sizes))))
+        self.known.add(hashes)
         self.n_pool = used + len(ids)
 
     def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -171,11 +209,11 @@ class Encoder:
             return np.full(n * (end_id is not None), end_id or 0, self.dtype), np.full(n, int(end_id is not None))
         ends = np.append(starts[1:], len(data))
         distinct, first, of = np.unique(self._hashes(data, starts, ends), return_index=True, return_inverse=True)
-        number = np.fromiter(map(self.known.get, distinct.tolist(), itertools.repeat(-1)), np.int64, len(distinct))
+        number = self.known.find(distinct)
         new = np.flatnonzero(number < 0)
         ids, sizes = self._encode_units(data, starts[first[new]], ends[first[new]])
-        if len(self.known) + len(new) <= self.limit:
-            number[new] = np.arange(len(self.known), len(self.known) + len(new))
+        if self.known.size + len(new) <= self.limit:
+            number[new] = np.arange(self.known.size, self.known.size + len(new))
             self._remember(distinct[new], ids, sizes)
             pool, begin, size = self.pool, self.ends[number], self.ends[number + 1] - self.ends[number]
         else:
@@ -200,7 +238,7 @@ class Encoder:
         return self.encode_column(pa.array([text]))[0]
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def shared_encoder(path: str) -> Encoder:
     """One encoder for each Python worker; what it remembers serves all of its tasks."""
     return Encoder(path)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodestar.llm.common import WordHashes, input_columns, map_texts, slices
+from lodestar.llm.common import WordHashes, bound_batches, input_columns, map_texts, slices
 
 WORD = re.compile(r"\w+")
 
@@ -82,8 +82,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     rows = positive + unlabelled
     if not positive:
         return Model(np.zeros(size, np.float32), -50.0, prior)
-    ids = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    ids = np.concatenate([*rows, np.zeros(0, np.int32)])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     in_pos = np.bincount(ids[owner < len(positive)], minlength=size)
     in_all = np.bincount(ids, minlength=size)
     n_pos, n_unl = len(positive), max(1, len(unlabelled))
@@ -140,12 +140,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     positive = texts.join(F.broadcast(positives), "doc_id")
     mask = (1 << bits) - 1
     rows = [
-        [np.asarray(x, np.int32) for x in part.toArrow().column("words").to_pylist()]
+        _arrays(part.toArrow().column("words").combine_chunks())
         for part in (_bounded(positive, mask, 2 * max_positive), _bounded(unlabelled, mask, 2 * max_unlabelled))
     ]
     return fit(rows[0], rows[1], prior, bits)
 
 
+def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column as views of one array."""
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return np.split(values[ends[0] : ends[-1]], ends[1:-1] - ends[0]) if len(lists) else []
+
+
 def _bounded(texts: DataFrame, mask: int, most: int) -> DataFrame:
     """Word buckets of the sampled texts, in id order; repeated rows can't exceed the bound."""
     found = map_texts(texts, "text", None, "doc_id bigint, words array<int>", make=_features(mask))
@@ -186,6 +192,7 @@ def _scorer(model: Model):
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score column; for stages that go on with all columns (a clashing one is replaced)."""
+    bound_batches(docs.sparkSession)
     base = docs.drop(score_col)
     schema = StructType([*base.schema.fields, StructField(score_col, DoubleType())])
     make = _scorer(model)
