@@ -13,8 +13,8 @@ corpus is never sorted as a whole. Instead:
    run, what stands before a suffix also stands before its neighbour, so the statistic is the
    previous position's less one; only at run ends is it looked up. Windows whose statistic is
    at least `length` repeat. In repetitive text, runs and so samples are few.
-3. An anchor with more than `most` different segments is indexed at full width: with grams as
-   long as windows each window is its own anchor, and step 1 alone decides it.
+3. Segments of an anchor that more than `most` different ones share are cut again by longer
+   grams, up to whole windows, which set them apart without gathering them.
 4. Marks are joined to the texts and the bytes removed.
 
 Two equal strings of bytes always get equal keys; different ones may only share an anchor and
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import DataFrameSchema, SharedTables, map_texts
 from lodestar.llm.omh import node_of
-from lodestar.llm.segments import Hashes, segments
+from lodestar.llm.segments import segments
 
 # --- the index of a block ------------------------------------------------------------------
 
@@ -51,11 +51,11 @@ class RunLengthIndex:
     def __init__(self, strings: list[bytes]) -> None:
         sizes = np.fromiter(map(len, strings), np.int64, len(strings))
         self.starts = np.cumsum(sizes + 1) - sizes - 1
-        self.text = np.zeros(int((sizes + 1).sum()), np.int64)
+        self.text = np.zeros(int((sizes + 1).sum()), np.int16)
         inside = np.ones(len(self.text), bool)
         inside[self.starts + sizes] = False
-        self.text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-        self.room = np.repeat(self.starts + sizes, sizes + 1) - np.arange(len(self.text))
+        self.text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
+        self.room = (np.repeat(self.starts + sizes, sizes + 1) - np.arange(len(self.text))).astype(np.int32)
         self._sort(int(sizes.max(initial=0)) + 1)
         self._sample()
 
@@ -68,15 +68,16 @@ class RunLengthIndex:
         while True:
             order = np.argsort(key)
             ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.append(1, ordered[1:] != ordered[:-1]))
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(np.append(1, ordered[1:] != ordered[:-1]), dtype=np.int32)
             self.ranks.append((width, rank))
+            del ordered, key
             if width >= longest or rank[order[-1]] == n:
                 break
             bits = int(n).bit_length()
             joined = max(2, 63 // bits)
             joined = min(joined, 3)
-            key = rank
+            key = rank.astype(np.int64)
             for k in range(1, joined):
                 key = (key << bits) | self._shifted(rank, k * width)
             width *= joined
@@ -116,9 +117,9 @@ class RunLengthIndex:
         self.n_runs = len(self.heads) + 1
         head, tail = sa[self.heads], sa[self.heads - 1]
         common = self._common(tail, head)
-        self.sampled = np.full(len(self.text), -1, np.int64)
-        np.maximum.at(self.sampled, head, common)
-        np.maximum.at(self.sampled, tail, common)
+        self.sampled = np.full(len(self.text), -1, np.int32)
+        np.maximum.at(self.sampled, head, common.astype(np.int32))
+        np.maximum.at(self.sampled, tail, common.astype(np.int32))
 
     def matching_statistics(self) -> np.ndarray:
         """Per text position the length of the longest match that starts elsewhere."""
@@ -186,22 +187,49 @@ def _indexed_marks(length: int):
     return run
 
 
-def _whole_windows(texts: DataFrame, length: int) -> DataFrame:
-    """anchor, window hashes and place of each window of very contested segments."""
+_PIECES = "anchor bigint, digest bigint, n bigint, node bigint, first int, windows int, bytes binary"
+
+
+def _recut(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Segments of segments, by anchors of a longer gram. rows: n, node, first, bytes."""
 
     def call(batch, _):
-        columns = {k: [] for k in ("node", "start", "low", "high", "n")}
+        out = {k: [] for k in ("anchor", "digest", "n", "node", "first", "windows", "bytes")}
         for row in batch.to_pylist():
-            data = np.frombuffer(row["bytes"], np.uint8)
-            columns["low"].append(Hashes(data).every(length).view(np.int64))
-            columns["high"].append(Hashes(data, 1).every(length).view(np.int64))
-            k = len(columns["low"][-1])
-            columns["start"].append(row["first"] + np.arange(k))
-            columns["node"].append(np.full(k, row["node"]))
-            columns["n"].append(np.full(k, row["n"]))
-        return {k: np.concatenate([*v, np.zeros(0, np.int64)]) for k, v in columns.items()}
+            first, windows, anchor, digest = segments(np.frombuffer(row["bytes"], np.uint8), length, gram)
+            out["anchor"] += anchor.view(np.int64).tolist()
+            out["digest"] += digest.view(np.int64).tolist()
+            out["first"] += (row["first"] + first).tolist()
+            out["windows"] += windows.tolist()
+            out["bytes"] += [row["bytes"][a : a + w - 1 + length] for a, w in zip(first.tolist(), windows.tolist())]
+            out["n"] += [row["n"]] * len(first)
+            out["node"] += [row["node"]] * len(first)
+        return out
+
+    return map_texts(rows.select("n", "node", "first", "bytes"), None, call, _PIECES)
 
-    return map_texts(texts, None, call, "node bigint, start int, low bigint, high bigint, n bigint")
+
+def _crowded_marks(rows: DataFrame, tables: SharedTables, length: int) -> DataFrame:
+    """Repeats among the segments of anchors that too many different segments share.
+
+    They are cut again by longer and longer grams. A gram that reaches beyond what the segments
+    share sets them apart, so each round leaves a fraction; the last gram is a whole window,
+    where equal anchors mean equal windows. rows: n (over 1: marked already), node, first, bytes.
+    """
+    marks = None
+    for level, gram in enumerate((length * 16 // 25, length * 22 // 25, length)):
+        cut = tables.write(_recut(rows, length, gram), f"crowd-{level}")
+        anchors = cut.groupBy("anchor").agg(F.count("*").alias("of"), (F.min("digest") == F.max("digest")).alias("uniform"))
+        met = tables.write(cut.join(tables.write(anchors.where("of > 1").select("anchor", "uniform"), f"crowd-anchors-{level}"), "anchor"), f"crowd-met-{level}")
+        kinds = met.where("not uniform").groupBy("anchor", "digest")
+        kinds = tables.write(kinds.agg(F.count("*").alias("of"), F.min(F.struct("node", "first")).alias("one")), f"crowd-kinds-{level}")
+        known = met.join(kinds, ["anchor", "digest"], "left")
+        whole = known.where("n = 1 and (uniform or of > 1)").select("node", F.col("first").alias("start"), _end("first", "windows", length))
+        marks = whole if marks is None else marks.unionAll(whole)
+        # of equal segments one goes on, to bear witness for others; it is marked already
+        on = known.where("not uniform and one.node = node and one.first = first")
+        rows = on.select(F.when(F.col("of") > 1, F.greatest("n", F.lit(2))).otherwise(F.col("n")).alias("n"), "node", "first", "bytes")
+    return marks
 
 
 def repeated_marks(texts: DataFrame, tables: SharedTables, length: int, gram: int, block: int, most: int) -> DataFrame:
@@ -228,17 +256,16 @@ def repeated_marks(texts: DataFrame, tables: SharedTables, length: int, gram: in
         F.collect_list(F.struct("anchor", "digest", "n", "first", "windows", F.coalesce("crowd", F.lit(False)).alias("crowd"))).alias("asked")
     )
     asked = tables.write(asked.join(owner, "node").withColumnRenamed("node", "asked_node"), "asked")
-    on = (F.col("node") == F.col("asked_node")) & F.col("doc_id").eqNullSafe(F.col("owner"))
+    # the row of least id, said as a range: then this join and the last one deal out texts alike,
+    # by the node alone, and Spark shuffles them once for both
+    last = F.lit((1 << 63) - 1)
+    on = (F.col("node") == F.col("asked_node")) & (F.coalesce("doc_id", last) <= F.coalesce("owner", last))
     cut = _cut_bytes(texts.join(asked, on).select("node", "text", "asked"), length)
     quiet = cut.where("not crowd").withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks)).cast("int"))
     indexed = quiet.groupBy("block").applyInArrow(_indexed_marks(length), _MARKS)
     marks = whole.unionAll(copied).unionAll(indexed)
     if not crowded.isEmpty():
-        windows = tables.write(_whole_windows(cut.where("crowd"), length), "windows")
-        again = windows.groupBy("low", "high").agg(F.sum("n").alias("total")).where("total > 1")
-        marks = marks.unionAll(
-            windows.where("n = 1").join(again, ["low", "high"], "left_semi").select("node", "start", (F.col("start") + length).alias("stop"))
-        )
+        marks = marks.unionAll(_crowded_marks(cut.where("crowd").dropDuplicates(["anchor", "digest"]), tables, length))
     return marks
 
 
@@ -262,14 +289,17 @@ _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 32,
-                   block: int = 1 << 20, most: int = 4096, with_kept: bool = True) -> DataFrame:
+                   block: int = 1 << 19, most: int = 16_384, with_kept: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     tables = SharedTables(docs.sparkSession, "rlindex")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = texts.select("doc_id", node_of(F.col("text")).alias("node"), "text")
+    texts = texts.select("doc_id", F.coalesce(node_of(F.col("text")), F.lit(0)).alias("node"), "text")
     marks = repeated_marks(texts, tables, length, gram, block, most)
     per_text = marks.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
-    joined = texts.join(per_text.withColumnRenamed("node", "marked"), F.col("node") == F.col("marked"), "left").select("doc_id", "text", "marks")
+    # a key of its own makes Spark deal out the marks again, which lets it split a node that a
+    # third of all rows share; the aggregate's own partitioning would forbid that
+    per_text = per_text.select(F.col("node").bitwiseXOR(F.lit(0)).alias("marked"), "marks")
+    joined = texts.join(per_text, F.col("node") == F.col("marked"), "left").select("doc_id", "text", "marks")
 
     def call(batch, rows):
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
