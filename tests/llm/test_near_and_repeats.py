@@ -191,3 +191,32 @@ def test_containment_search_is_exhaustive(spark):
     kept = {r.doc_id for r in decontaminate.without_items(df, bench).collect()}
     assert kept == set(range(60)) - {d for d, _ in want} | {90, 91}
     assert decontaminate.find_items(df, bench.limit(0)).count() == 0 and decontaminate.find_items(df.limit(0), bench).count() == 0
+
+
+def test_rest_tries_every_two_classes_of_a_bucket(spark):
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    # many texts that share a passage and little else; some are near duplicates of one another
+    texts = []
+    for _ in range(24):
+        own = [f"w{rng.randrange(9000)}" for _ in range(rng.randint(30, 50))]
+        texts.append(passage + own)
+        if rng.random() < 0.4:
+            texts.append(edited(rng, passage + own, rng.randint(10, 14)))
+    nodes = list(range(len(texts)))
+    rng.shuffle(nodes)
+    kept = spark.createDataFrame([(n, " ".join(t)) for n, t in zip(nodes, texts)], "node bigint, text string")
+    members = spark.createDataFrame([(1, n, len(t)) for n, t in zip(nodes, texts)], "value bigint, node bigint, n_words int")
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    tables = SharedTables(spark, "test")
+    links, tried = omh._further_rounds(members, none, none, kept, tables, 0.8)
+    links = omh._rest(members, tried, links, kept, tables, 0.8)
+    got = {r.node: r.root for r in components.connected_components(links, tables).collect()}
+    parent = {n: n for n in nodes}
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for i, a in zip(nodes, texts):
+        for j, b in zip(nodes, texts):
+            if i < j and distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert any(find(n) != n for n in nodes)
+    assert all(got.get(n, n) == find(n) for n in nodes)
