@@ -2,9 +2,9 @@
 
 The field works on word shapes. It is trained here, from the small table of marked lines
 below, by maximum likelihood (forward-backward in numpy), and decoded by Viterbi over padded
-numpy batches. Every kind it knows shows a digit, so it reads the words around each digit run
-of a text: `context` words to either side, runs that meet being read as one. Its spans are
-added where they overlap no base span; base spans always stay.
+numpy batches. Every kind it knows shows a digit, so it reads the text around each digit run, as
+far as to tokens that no path labels: what it finds is what it would find in the whole text. Its
+spans are added where they overlap no base span; base spans always stay.
 
 Defined results: a null or empty text has no finds; rows are kept one for one, so repeated
 rows, null ids and ties give equal rows; an empty table gives an empty result; extra columns
@@ -273,39 +273,57 @@ def viterbi(sequences: list[tuple[list[int], list[int]]], weights: tuple[np.ndar
     return out
 
 
-def _window(text: str, a: int, b: int, context: int) -> tuple[int, int]:
-    """The stretch around a digit run with `context` words to either side."""
-    for _ in range(context + 1):
-        if (a := max(text.rfind(" ", 0, max(a, 0)), text.rfind("\n", 0, max(a, 0)))) < 0:
-            break
-    for _ in range(context + 1):
-        found = [p for p in (text.find(" ", b + 1), text.find("\n", b + 1)) if p >= 0]
-        if not found:
-            b = len(text)
-            break
-        b = min(found)
-    return a + 1, b
-
-
-#: A window never reaches further than this from its digits, however long the words are.
-FARTHEST = 160
-
-
-def windows(text: str, context: int) -> list[tuple[int, int]]:
-    """Disjoint stretches that the field reads: around each digit run, runs that meet as one."""
-    out: list[list[int]] = []
-    for m in DIGITS.finditer(text):
-        if out and m.end() <= out[-1][1] - FARTHEST // 2:
-            continue
-        low, high = max(0, m.start() - FARTHEST), min(len(text), m.end() + FARTHEST)
-        piece = text[low:high]
-        a, b = _window(piece, m.start() - low, m.end() - low, context)
-        a, b = low + a, low + b
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def _sure(shapes: list[int], cues: list[int], weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which tokens bear no label on the best path, whatever labels stand beside them."""
+    emit, step = weights
+    score = emit[_padded([(shapes, cues)])[0][0]].sum(axis=1)
+    before = np.maximum(0, (step - step[:, :1]).max(axis=0))
+    after = np.maximum(0, (step - step[:1]).max(axis=1))
+    return (score[:, :1] - score > before + after)[:, 1:].all(axis=1)
+
+
+#: Characters read at first on either side of a digit run.
+REACH = 120
+#: Tokens that a token's features look back (shapes and cues) and ahead (shapes).
+BACK, AHEAD = 5, 3
+
+Encoded = tuple[list[tuple[int, int]], list[int], list[int]]
+
+
+def stretches(text: str, weights: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int, Encoded]]:
+    """Stretches (start, first digit, end of digits, encoded), whose digits are decoded as in the whole text.
+
+    On both sides of its digits a stretch has a token that is sure to bear no label, and whose
+    features lie within, or it ends with the text. Best paths go through these tokens without
+    a label, so what lies between them doesn't depend on the text beyond.
+    """
+    runs = [m.span() for m in DIGITS.finditer(text)]
+    out: list[tuple[int, int, int, Encoded]] = []
+    at = 0
+    while at < len(runs):
+        left = right = REACH
+        first = last = at
+        while True:
+            low, high = max(0, runs[first][0] - left), runs[last][1] + right
+            while last + 1 < len(runs) and runs[last + 1][0] - REACH <= high:
+                last += 1
+                high = runs[last][1] + right
+            high = min(len(text), high)
+            encoded = encode(text[low:high])
+            spans = encoded[0]
+            sure = _sure(encoded[1], encoded[2], weights)
+            # the first and last token may be cut in two
+            ready = np.flatnonzero(sure[: len(sure) - AHEAD - 1 if high < len(text) else None])
+            ready = ready[ready > BACK] if low > 0 else ready
+            starts = [low + spans[i][0] for i in ready]
+            open_left = low > 0 and not (starts and starts[0] < runs[first][0])
+            open_right = high < len(text) and not (starts and starts[-1] >= runs[last][1])
+            if not open_left and not open_right:
+                break
+            left, right = (4 * left if open_left else left), (4 * right if open_right else right)
+        out.append((low, runs[first][0], runs[last][1], encoded))
+        at = last + 1
+    return out
 
 
 def _plausible(kind: int, span: str) -> bool:
@@ -315,18 +333,17 @@ def _plausible(kind: int, span: str) -> bool:
     return digits == 9 if kind == 2 else 8 <= digits <= 34
 
 
-def find_in_texts(texts: list[str], weights: tuple[np.ndarray, np.ndarray], context: int = 3) -> list[list[tuple[int, int, int]]]:
+def find_in_texts(texts: list[str], weights: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) per text, by kind, then start."""
     finds = [base_spans(t) if t else [] for t in texts]
     taken = [Covered([(a, b) for _, a, b in f]) for f in finds]
     where, sequences, spans = [], [], []
     for n, text in enumerate(texts):
-        for a, b in windows(text, context):
-            tokens, shapes, cues = encode(text[a:b])
-            where.append((n, a))
+        for a, first, last, (tokens, shapes, cues) in stretches(text, weights):
+            where.append((n, a, first, last))
             spans.append(tokens)
             sequences.append((shapes, cues))
-    for (n, a), tokens, path in zip(where, spans, viterbi(sequences, weights)):
+    for (n, a, first, last), tokens, path in zip(where, spans, viterbi(sequences, weights)):
         i = 0
         while i < len(path):
             j = i
@@ -334,18 +351,19 @@ def find_in_texts(texts: list[str], weights: tuple[np.ndarray, np.ndarray], cont
                 j += 1
             if kind := int(path[i]):
                 s, e = a + tokens[i][0], a + tokens[j - 1][1]
-                if _plausible(kind, texts[n][s:e]) and not taken[n].meets(s, e):
+                # other digits belong to other stretches
+                if s < last and e > first and _plausible(kind, texts[n][s:e]) and not taken[n].meets(s, e):
                     finds[n].append((len(BASE_KINDS) + kind - 1, s, e))
             i = j
-    return [sorted(x) for x in finds]
+    return [sorted(set(x)) for x in finds]
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = 3) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id and its finds (kind, start, end in code points)."""
     weights = trained()  # a few kB, whatever the input
 
     def scan(batch, texts):
-        rows = find_in_texts(texts, weights, context)
+        rows = find_in_texts(texts, weights)
         return {
             "doc_id": batch.column("doc_id"),
             "finds": [[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in row] for row in rows],

@@ -95,3 +95,24 @@ def test_digest(spark):
     assert row.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
     empty = secrets.digest(secrets.find_credentials(df.select("doc_id", F.lit("").alias("text")))).first()
     assert empty.base_sha256 == hashlib.sha256(b"").hexdigest() and empty.spans == ""
+
+
+def test_stretches_decode_as_whole_texts():
+    w, rng = pii.trained(), random.Random(9)
+    pieces = ["account", "phone", "the", "number", "with", "bank", "IBAN", "ssn", "word " * 30, "longer" * 40, "-", "(", ")", ":", ".", "\n", "DE89 3704 0044 0532 0130 00",
+              "12345678", "555-123-4567", "123-45-6789", "1999", "é"]
+    texts = [rng.choice(["", " "]).join(rng.choice(pieces) for _ in range(rng.randint(1, 300))) for _ in range(150)]
+    texts += ["bank account with the number 12345678", "account" + " x" * 4 + " " * 300 + "12345678 " + "y " * 300]
+    for text in texts:
+        spans, shapes, cues = pii.encode(text)
+        path = pii.viterbi([(shapes, cues)], w)[0].tolist()
+        covered, want, i = pii.Covered([(a, b) for _, a, b in pii.base_spans(text)]), pii.base_spans(text), 0
+        while i < len(path):
+            j = i
+            while j < len(path) and path[j] == path[i]:
+                j += 1
+            s, e = spans[i][0], spans[j - 1][1]
+            if path[i] and pii._plausible(path[i], text[s:e]) and not covered.meets(s, e):
+                want.append((len(pii.BASE_KINDS) + path[i] - 1, s, e))
+            i = j
+        assert pii.find_in_texts([text], w) == [sorted(want)]
