@@ -33,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{24,}+")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,11}://[A-Za-z0-9.@:_/?&=%~-]{4,}+")
 ENDPOINT_LABEL = re.compile(r"""\b(?:host|hostname|endpoint|server)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.:-]{4,}+)""", re.I | re.A)
 WEAK_ID = re.compile(r"""\b(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{12,}+|\b(?:access|client|account|user)[_-]?(?:key_?)?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}+""", re.I | re.A)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,80}+={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 
 SCHEMA = "doc_id bigint, finds array<struct<kind:string,start:int,end:int>>"

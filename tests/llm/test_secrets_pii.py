@@ -97,6 +97,15 @@ def test_digest(spark):
     assert empty.base_sha256 == hashlib.sha256(b"").hexdigest() and empty.spans == ""
 
 
+def test_long_tokens_and_values_after_an_equals_sign_are_parts():
+    opaque = ("a8Kd72LqPz0Xw19TbVnm3E" * 4)[:86]
+    kinds = lambda x: {secrets.KINDS[k] for _, k, _ in secrets.scan_texts([x])[0]}
+    assert kinds(f"https://store.example.org {opaque}==") == {"endpoint", "secret"}
+    text = f"https://store.example.org AccountKey={opaque[:40]} x"
+    assert kinds(text) == {"endpoint", "secret"}
+    assert [text[a:b] for a, k, b in secrets.scan_texts([text])[0] if k == 4] == [opaque[:40]]
+
+
 def test_stretches_decode_as_whole_texts():
     w, rng = pii.trained(), random.Random(9)
     pieces = ["account", "phone", "the", "number", "with", "bank", "IBAN", "ssn", "word " * 30, "longer" * 40, "-", "(", ")", ":", ".", "\n", "DE89 3704 0044 0532 0130 00",
