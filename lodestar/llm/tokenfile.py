@@ -14,8 +14,9 @@ Layout of a token file set (Parquet tables, written by Spark's committing writer
 The only things that pass the driver are the counts and code lengths of the vocabulary.
 
 Defined results: a null or empty text is the end id alone; null ids come first; rows with
-equal ids are ordered by a hash of their ids, then by the ids; repeated rows are written each;
-an empty table gives an empty file set; extra columns are left out.
+equal ids are ordered by a hash of their token ids; repeated rows are written each, and may lie in
+several shards; a text of any length is one document of one block; an empty table gives an empty
+file set; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from lodestar.llm.tokens import default_path, shared_encoder, tokenizer
 
 #: Longest code; a decoding table has 2**LONGEST entries. Ids between two checkpoints. Ids of a block.
 LONGEST, LANE, BLOCK = 20, 256, 1 << 20
+#: Coded bytes of a shard, until there are so many shards that they must grow.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 20_000
 
 
 # --- the code ------------------------------------------------------------------------------
@@ -226,14 +229,17 @@ def write_tokens(docs: DataFrame, tables: SharedTables, path: str | None = None,
                 marks.append((offsets[cuts[k - 1] if k else 0 : cuts[k]] - 8 * a).astype("<u8").tobytes())
         return {"doc_id": batch.column("doc_id"), "n_ids": sizes, "hash": batch.column("hash"), "marks": marks, "stream": streams}
 
-    # only code streams, not ids, are shuffled
+    # only code streams, not ids, are shuffled; written first, as ranges are drawn from a look at all rows
     streams = map_texts(
         encoded.drop("counts").withColumn("hash", F.xxhash64("ids")), None, coded,
         "doc_id bigint, n_ids bigint, hash bigint, marks binary, stream binary",
     )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = (F.col("doc_id").asc_nulls_first(), "hash")
-    sorted_ = streams.repartitionByRange(n, *key).sortWithinPartitions(*key, "stream")
+    # a number of its own lets rows with the same id and text lie in several shards
+    streams = tables.write(streams.withColumn("row", F.monotonically_increasing_id()), "streams")
+    tables.drop("encoded")
+    n_bytes = streams.agg(F.coalesce(F.sum(F.octet_length("stream")), F.lit(0))).first()[0]
+    key = (F.col("doc_id").asc_nulls_first(), "hash", "row")
+    sorted_ = streams.repartitionByRange(min(MOST_SHARDS, n_bytes // SHARD_BYTES + 1), *key).sortWithinPartitions(*key)
     schema = DataFrameSchema(_BLOCKS)
 
     def blocks(batches):
@@ -258,7 +264,7 @@ def write_tokens(docs: DataFrame, tables: SharedTables, path: str | None = None,
             yield made()
 
     tables.write(sorted_.select("doc_id", "n_ids", "marks", "stream").mapInArrow(blocks, _BLOCKS), "blocks")
-    tables.drop("encoded")
+    tables.drop("streams")
 
 
 def read_tokens(spark: SparkSession, tables: SharedTables) -> DataFrame:

@@ -146,25 +146,31 @@ class Encoder:
             self.byte_lengths[i] = len(added[i].content.encode()) if i in added else len(token)
         rng = np.random.default_rng(20240229)
         self.letter = rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + rng.integers(0, 2, 256, np.uint64)
-        self.base = np.uint64(0x9E3779B97F4A7C15)
-        self.powers, self.inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        at, byte = np.divmod(np.arange(self.NEAR << 8, dtype=np.uint64), np.uint64(256))
+        self.near = self._drawn(byte, at)
         self.known = Numbers(limit)
         self.limit = limit
         self.pool = np.zeros(1 << 20, self.dtype)  # ids of the remembered units, one after another
         self.ends = np.zeros(1 << 18, np.int64)
         self.n_pool = 0
 
-    def _powers(self, n: int) -> None:
-        if len(self.powers) < n:
-            inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-            self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, self.base)]), dtype=np.uint64)
-            self.inverses = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse)]), dtype=np.uint64)
+    #: Places within a unit whose numbers are looked up.
+    NEAR = 64
+
+    def _drawn(self, byte: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A number for each byte at each place of a unit, as if drawn at random for the two together."""
+        return mix64(self.letter[byte] ^ (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._powers(len(data) + 1)
+        """Sums of the numbers drawn for (byte, place): no rule ties two places, as powers of a base do,
+        so that no two units collide but by chance."""
+        at = np.arange(len(data)) - np.repeat(starts, ends - starts)
+        drawn = self.near[(np.minimum(at, self.NEAR - 1) << 8) | data]
+        far = np.flatnonzero(at >= self.NEAR)
+        drawn[far] = self._drawn(data[far], at[far])
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.letter[data] * self.powers[: len(data)], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        np.cumsum(drawn, out=sums[1:])
+        return mix64(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
 
     def _encode_units(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of the given units, one after another, and how many each has."""

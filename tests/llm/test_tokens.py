@@ -27,6 +27,21 @@ def test_units_encode_as_the_library_does(limit):
         assert ids.tolist() == [i for w in want for i in [*w, 0]]
 
 
+def swaps(n, a, b):
+    """The word of n letters that collides with its complement under sums of powers, whatever the base."""
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("lead", ["", "x "])
+def test_units_made_to_collide_are_told_apart(lead):
+    encoder = tokens.Encoder(tokens.default_path())
+    for n in (1024, 2048, 4096):
+        texts = [lead + swaps(n, "a", "b"), lead + swaps(n, "b", "a")]
+        want = [encoder.tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert encoder.encode_column(pa.array(texts))[0].tolist() == [*want[0], *want[1]]
+        assert [encoder.ids(t).tolist() for t in texts] == want
+
+
 def test_pretokens_are_the_librarys():
     pre = tokens.PreTokens(tokens.default_path())
     for text in random_texts(2000, 14, 2):
