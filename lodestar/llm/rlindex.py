@@ -17,8 +17,9 @@ corpus is never sorted as a whole. Instead:
    grams, up to whole windows, which set them apart without gathering them.
 4. Marks are joined to the texts and the bytes removed.
 
-Two equal strings of bytes always get equal keys; different ones may only share an anchor and
-a segment digest (128 bits together) by chance.
+Two equal strings of bytes always get equal keys. Different ones are taken for equal only if they
+share an anchor and a segment's xxh3 digest (64 bits), by chance; strings made to share an anchor
+still differ in their digests.
 
 Defined results: a null or empty text has 0 bytes; a text shorter than `length` loses nothing;
 rows with the same text of `length` bytes or more lose all of it; rows are kept one for one
@@ -31,11 +32,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import DataFrameSchema, SharedTables, map_texts
-from lodestar.llm.omh import node_of
 from lodestar.llm.segments import segments
 
 # --- the index of a block ------------------------------------------------------------------
@@ -130,27 +130,34 @@ class RunLengthIndex:
 
 # --- steps over tables ---------------------------------------------------------------------
 
-_SEGMENTS = "node bigint, anchor bigint, digest bigint, first int, windows int"
+_SEGMENTS = "node binary, anchor bigint, digest bigint, first int, windows int"
+
+
+def text_digest(text: Column) -> Column:
+    """128 bits of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def _segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """All segments of all texts. A text met a third time in a task adds nothing new."""
 
     def make():
-        met: dict[int, int] = {}
+        met: dict[bytes, int] = {}
 
         def call(batch, rows):
-            columns = [[], [], [], [], []]
-            for node, text in zip(batch.column("node").to_pylist(), rows):
+            columns, owner = [[], [], [], []], []
+            for i, (node, text) in enumerate(zip(batch.column("node").to_pylist(), rows)):
                 data = np.frombuffer(text.encode(), np.uint8)
                 if len(data) < length or (seen := met.get(node, 0)) >= 2:
                     continue
                 if seen or len(met) < 1_000_000:
                     met[node] = seen + 1
                 first, windows, anchor, digest = segments(data, length, gram)
-                for to, x in zip(columns, (np.full(len(first), node), anchor.view(np.int64), digest.view(np.int64), first, windows)):
+                owner.append(np.full(len(first), i))
+                for to, x in zip(columns, (anchor.view(np.int64), digest.view(np.int64), first, windows)):
                     to.append(x)
-            return dict(zip(("node", "anchor", "digest", "first", "windows"), (np.concatenate([*c, np.zeros(0, np.int64)]) for c in columns)))
+            found = dict(zip(("anchor", "digest", "first", "windows"), (np.concatenate([*c, np.zeros(0, np.int64)]) for c in columns)))
+            return found | {"node": batch.column("node").take(pa.array(np.concatenate([*owner, np.zeros(0, np.int64)])))}
 
         return call
 
@@ -161,7 +168,7 @@ def _end(first: str, windows: str, length: int):
     return (F.col(first) + F.col(windows) + F.lit(length - 1)).alias("stop")
 
 
-_MARKS = "node bigint, start int, stop int"
+_MARKS = "node binary, start int, stop int"
 
 
 def _indexed_marks(length: int):
@@ -180,14 +187,14 @@ def _indexed_marks(length: int):
                 continue  # marked as a whole already
             hit = np.flatnonzero(np.diff(np.concatenate([[False], repeats[at : at + n], [False]]).astype(np.int8)))
             for a, b in zip(hit[::2].tolist(), hit[1::2].tolist()):
-                for to, x in zip(out, (node, first + a, first + b - 1 + length)):
-                    to.append(int(x))
+                for to, x in zip(out, (node, int(first + a), int(first + b - 1 + length))):
+                    to.append(x)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema.arrow())], schema=schema.arrow())
 
     return run
 
 
-_PIECES = "anchor bigint, digest bigint, n bigint, node bigint, first int, windows int, bytes binary"
+_PIECES = "anchor bigint, digest bigint, n bigint, node binary, first int, windows int, bytes binary"
 
 
 def _recut(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -281,7 +288,7 @@ def _cut_bytes(rows: DataFrame, length: int) -> DataFrame:
                 out["bytes"].append(data[a["first"] : a["first"] + a["windows"] - 1 + length])
         return out
 
-    schema = "anchor bigint, digest bigint, n bigint, node bigint, first int, windows int, crowd boolean, bytes binary"
+    schema = "anchor bigint, digest bigint, n bigint, node binary, first int, windows int, crowd boolean, bytes binary"
     return map_texts(rows, "text", call, schema)
 
 
@@ -293,12 +300,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     tables = SharedTables(docs.sparkSession, "rlindex")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = texts.select("doc_id", F.coalesce(node_of(F.col("text")), F.lit(0)).alias("node"), "text")
+    texts = texts.select("doc_id", text_digest(F.col("text")).alias("node"), "text")
     marks = repeated_marks(texts, tables, length, gram, block, most)
     per_text = marks.groupBy("node").agg(F.collect_list(F.struct("start", "stop")).alias("marks"))
     # a key of its own makes Spark deal out the marks again, which lets it split a node that a
     # third of all rows share; the aggregate's own partitioning would forbid that
-    per_text = per_text.select(F.col("node").bitwiseXOR(F.lit(0)).alias("marked"), "marks")
+    per_text = per_text.select(F.concat("node", F.lit(b"")).alias("marked"), "marks")
     joined = texts.join(per_text, F.col("node") == F.col("marked"), "left").select("doc_id", "text", "marks")
 
     def call(batch, rows):

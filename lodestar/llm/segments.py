@@ -4,16 +4,21 @@ Every window of `length` bytes holds a least `gram`-byte string by a fixed hash
 of equals): its anchor. Equal windows have equal anchors wherever they stand. Neighbouring
 windows that share an anchor at one place form a segment, so a text of n bytes has about
 2n / (length - gram) segments, and each window lies in exactly one of them.
+
+Anchors may use a hash that is easy to compute over all places at once, since different strings
+that share one only meet in vain. Whether two segments are equal is told by another one (xxh3),
+so that texts made to collide under the first are still told apart.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from lodestar.llm.common import mix64
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-_LETTERS = np.random.default_rng(7).integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTERS = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _tables: dict = {"n": 0}
 
 
@@ -29,15 +34,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Hashes of substrings of one byte array, from prefix sums; kind picks one of two hashes."""
+    """Hashes of substrings of one byte array, from prefix sums."""
 
-    def __init__(self, data: np.ndarray, kind: int = 0) -> None:
+    def __init__(self, data: np.ndarray) -> None:
         powers, self.inverses = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LETTERS[kind][data] * powers[: len(data)], out=self.sums[1:])
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[ends] - self.sums[starts]) * self.inverses[starts])
+        np.cumsum(_LETTERS[data] * powers[: len(data)], out=self.sums[1:])
 
     def every(self, width: int) -> np.ndarray:
         """Of all substrings of one width."""
@@ -81,13 +83,14 @@ def segments(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
     for at in range(0, n, piece):
         size = min(n - at, piece)
         part = data[at : at + size + length - 1]
-        hashes, other = Hashes(part), Hashes(part, 1)
-        grams = hashes.every(gram)
+        grams = Hashes(part).every(gram)
         place = anchors(grams, length - gram + 1)
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         count = np.diff(np.append(first, size))
         anchor = mix64(grams[place[first]])
         end = first + count - 1 + length
-        digest = mix64(other.of(first, end) + hashes.of(first, end) * np.uint64(3) + (place[first] - first).astype(np.uint64))
+        raw = part.tobytes()
+        digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), end.tolist())), np.uint64, len(first))
+        digest = mix64(digest + (place[first] - first).astype(np.uint64))
         out.append((at + first, count, anchor, digest))
     return tuple(np.concatenate(x) for x in zip(*out))

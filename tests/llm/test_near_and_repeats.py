@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from lodestar.llm import align, components, decontaminate, omh, rlindex
+from lodestar.llm import align, components, decontaminate, omh, rlindex, segments
 from lodestar.llm.common import SharedTables, WordHashes, shingle_hashes
 
 
@@ -220,3 +220,10 @@ def test_rest_tries_every_two_classes_of_a_bucket(spark):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     assert any(find(n) != n for n in nodes)
     assert all(got.get(n, n) == find(n) for n in nodes)
+
+
+def test_segments_made_to_collide_are_told_apart():
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    a, b = (segments.segments(np.frombuffer(x.encode(), np.uint8), 2048, 2048) for x in (word, other))
+    assert len(a[3]) == len(b[3]) == 1 and a[3][0] != b[3][0]
