@@ -53,17 +53,36 @@ def test_top_k_edges(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_threshold_walk_stops_early_and_right():
+def test_threshold_walk_is_right():
     rng = np.random.default_rng(1)
-    for n, dim, scale in ((3, 2, 5), (500, 3, 50), (4000, 4, 1000), (300, 64, 256)):
+    for n, dim, scale in ((1, 3, 2), (3, 2, 5), (500, 3, 50), (4000, 4, 1000), (300, 64, 256), (500, 70, 1 << 28)):
         v = rng.integers(-scale, scale + 1, (n, dim))
         ids = np.arange(n)
         q_ids = np.array([0, n + 5])
-        found = topk.threshold_search(q_ids, v[[0, n - 1]], ids, v, 5)
-        for q, row in zip(q_ids.tolist(), v[[0, n - 1]]):
-            scores = v @ row
-            want = sorted(((-int(s), int(i)) for i, s in zip(ids, scores) if i != q))[:5]
-            assert sorted((-s, i) for a, i, s in found if a == q) == want
+        for floors in (None, np.array([topk.LEAST, sorted(v @ v[n - 1])[-min(5, n)]])):
+            found = topk.threshold_search(q_ids, v[[0, n - 1]], ids, v, 5, None, floors)
+            for (i, rows, scores, _, _), q, row in zip(found, q_ids.tolist(), v[[0, n - 1]]):
+                want = sorted(((-int(s), int(j)) for j, s in zip(ids, v @ row) if j != q))[:5]
+                assert [(-int(s), int(j)) for s, j in zip(scores, rows)] == want
+
+
+def test_walk_reads_little_where_components_are_skewed():
+    rng = np.random.default_rng(2)
+    n = 20_000
+    v = (rng.pareto(1.5, (n, 8)) * 20).astype(np.int64) * rng.choice([-1, 1], (n, 8))
+    found = topk.threshold_search(np.arange(20), v[:20], np.arange(n), v, 5)
+    for i, rows, scores, read, met in found:
+        best = np.lexsort((np.arange(n), -(v @ v[i])))
+        assert rows.tolist() == [j for j in best[:6].tolist() if j != i][:5]
+    assert sum(read for *_, read, _ in found) < 20 * n / 4 and sum(met for *_, met in found) < 20 * n / 8
+
+
+def test_bars_of_the_first_block_hold_in_all_others(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.standard_normal((400, 6)), 2).tolist()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    whole = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    assert len(whole) == 40 and sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0, block_bytes=2000, query_bytes=100).collect())) == whole
 
 
 def toxic_corpus(spark, n=1500):
