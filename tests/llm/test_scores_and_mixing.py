@@ -40,6 +40,39 @@ def test_mixing_edges(spark):
     assert all(r.target == 0 for r in mixing.mix_sizes(docs.where("doc_id = 1")).collect())
 
 
+def test_equal_and_null_ids_meet_their_targets(spark):
+    """One id for all rows, null ids, and equal rows: within one document of each target, as SQL takes them."""
+    import duckdb
+
+    rng = random.Random(5)
+    tables = [
+        [(7, s, f"w{i} " * rng.choice([1, 3, 9])) for i in range(400) for s in ("a", "b", "c")],
+        [(None, s, "w " * rng.choice([1, 3, 9])) for _ in range(300) for s in ("a", "b", None)],
+        [(7, s, "same text") for _ in range(500) for s in ("a", "b", "c")] + [(i, "c", "x y z") for i in range(50)],
+    ]
+    for rows in tables:
+        docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+        got = mixing.mix_sizes(docs.repartition(5)).toPandas()
+        longest = max(len(t.split()) for _, _, t in rows)
+        by_target = got.groupby(["source_size", "target"]).agg(taken=("taken", "sum"), n=("size", "sum")).reset_index()
+        # sources of equal size and target come as one
+        off = (by_target.taken - by_target.target * by_target.n / by_target.source_size).abs()
+        assert (off <= longest * by_target.n / by_target.source_size).all()
+        documents = docs.toPandas()  # noqa: F841
+        want = duckdb.sql(mixing.ORACLE_SQL).df()
+        key = lambda df: sorted(map(tuple, df[["doc_id", "size", "source_size", "target", "taken"]].astype(float).round(6).fillna(-1).values.tolist()))
+        assert key(got) == key(want)
+        mixed = mixing.repeated(docs.withColumn("_mix_size", F.lit(7)).withColumn("_mix_source", F.lit("x")).withColumn("q", F.lit(1.5)))
+        assert mixed.columns == ["doc_id", "source", "text", "_mix_size", "_mix_source", "q"]
+        assert mixed.where("_mix_size = 7 and _mix_source = 'x' and q = 1.5").agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == got.taken.sum()
+
+
+def test_mix_keeps_clashing_columns_and_sizes_long_texts(spark):
+    docs = spark.createDataFrame([(1, "a", "w " * 300_000, 7, 8, 9), (2, "b", "x", 7, 8, 9)], "doc_id bigint, source string, text string, _mix_share int, q int, bin int")
+    got = mixing.mix(docs).collect()
+    assert {(r["_mix_share"], r.q, r.bin) for r in got} == {(7, 8, 9)} and {r["size"] for r in got} == {300_000, 1}
+
+
 def test_mixing_needs_no_python(spark):
     plan = mixing.mix(spark.createDataFrame([(1, "a", "x y")], "doc_id bigint, source string, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
