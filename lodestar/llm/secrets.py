@@ -9,9 +9,10 @@ reported only if a complementary part (strong or weak) meets it.
 All parts of a text are in that text, so the join runs where the text is: a sorted interval
 join (binary search over part positions) of a whole batch of texts, without a shuffle.
 
-Defined results: a null or empty text has no finds; rows are kept one for one, so repeated
-rows, null ids and ties give equal rows; an empty table gives an empty result; extra columns
-are left out.
+Defined results: a null or empty text has no finds; texts and tokens of any length are read
+whole; rows are kept one for one, so repeated rows, null ids and ties give equal rows; of parts that
+overlap the one that starts first stays, of equal starts the longest; an empty table gives an empty
+result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 HEX = re.compile(r"[0-9a-f]{24,}+")
 ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,11}://[A-Za-z0-9.@:_/?&=%~-]{4,}+")
 ENDPOINT_LABEL = re.compile(r"""\b(?:host|hostname|endpoint|server)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.:-]{4,}+)""", re.I | re.A)
-WEAK_ID = re.compile(r"""\b(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{12,}+|\b(?:access|client|account|user)[_-]?(?:key_?)?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}+""", re.I | re.A)
+PREFIXED_ID = re.compile(r"\b(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{12,}+")
+LABELLED_ID = re.compile(r"""\b(?:access|client|account|user)[_-]?(?:key_?)?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}+""", re.I | re.A)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 
@@ -61,14 +63,16 @@ def _opaque(token: str) -> bool:
 
 
 def weak_parts(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Weak parts that overlap no strong find; only sought where something could complement them."""
+    """Weak parts that overlap no strong find.
+
+    A pattern is tried only where a text has the characters that each of its matches holds, and
+    secrets only where something is there that could complement them.
+    """
     endpoints = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)] if "://" in text else []
-    ids: list[tuple[int, int, int]] = []
+    ids = [(m.start(), 3, m.end()) for m in PREFIXED_ID.finditer(text)] if "A" in text else []
     if ":" in text or "=" in text:
         endpoints += [(m.start(), 5, m.end()) for m in ENDPOINT_LABEL.finditer(text) if "." in m[1] or ":" in m[1]]
-        ids += [(m.start(), 3, m.end()) for m in WEAK_ID.finditer(text)]
-    elif "ASIA" in text or "AROA" in text or "AIDA" in text or "AGPA" in text:
-        ids += [(m.start(), 3, m.end()) for m in WEAK_ID.finditer(text)]
+        ids += [(m.start(), 3, m.end()) for m in LABELLED_ID.finditer(text)]
     secrets = []
     if endpoints or ids or any(k == 1 for _, k, _ in strong):
         secrets = [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if _opaque(m[0])]
