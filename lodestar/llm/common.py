@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled by one call of a per-batch function; bounds a Python worker's memory.
@@ -20,11 +20,13 @@ SLICE_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (as in tests on one machine) a local folder takes its place.
+    Only where that is unset and all tasks run on this machine, as in tests, a local folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(shared_dir, "_own", None)
     if own is None:
         own = shared_dir._own = "file://" + tempfile.mkdtemp(prefix="lodestar-")
@@ -118,6 +120,22 @@ def map_slices(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Rec
     return map_texts(df, text_col, None, schema, make=whole, as_list=False)
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed so that no column of df bears them (Spark ignores case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 class DataFrameSchema:
     """A DDL schema that gives its Arrow form inside tasks."""
 

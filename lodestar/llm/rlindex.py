@@ -32,10 +32,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import DataFrameSchema, SharedTables, map_texts
+from lodestar.llm.common import DataFrameSchema, SharedTables, map_texts, text_digest
 from lodestar.llm.segments import segments
 
 # --- the index of a block ------------------------------------------------------------------
@@ -133,11 +133,6 @@ class RunLengthIndex:
 _SEGMENTS = "node binary, anchor bigint, digest bigint, first int, windows int"
 
 
-def text_digest(text: Column) -> Column:
-    """128 bits of a text; null counts as empty."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
-
-
 def _segments(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """All segments of all texts. A text met a third time in a task adds nothing new."""
 

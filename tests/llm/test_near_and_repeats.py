@@ -94,6 +94,45 @@ def test_classes_are_those_of_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in range(len(texts))} | {900, 902})
 
 
+def test_short_texts_are_classed_as_all_pairs_would(spark):
+    rng = random.Random(12)
+    texts = []
+    for n in (10, 12, 15, 20, 25, 30, 40) * 3:
+        a = [f"w{rng.randrange(4000)}" for _ in range(n)]
+        texts += [" ".join(x) for x in (a, edited(rng, a, n // 5), edited(rng, a, n // 10))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in omh.classify(docs).collect()}
+    words, links = [t.split() for t in texts], []
+    for i in range(len(texts)):
+        links += [(j, i) for j in range(i) if distance(words[i], words[j]) <= int(0.2 * max(len(words[i]), len(words[j])) + 1e-9)]
+    found = sum(got[i] == got[j] for i, j in links)
+    assert len(links) >= 40 and found >= 0.9 * len(links)
+    assert all(got[i] == got[j] or (j, i) not in links for i in range(len(texts)) for j in range(i) if abs(i - j) > 2)
+
+
+def test_recall_by_length_and_similarity():
+    from omh_recall import recall
+
+    for n in (10, 20, 40, 100, 125, 126, 150, 300, 1000):
+        assert recall(n, 0.8) >= 0.88 and recall(n, 0.9) >= 0.99, n
+
+
+def test_hubs_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(omh, "PER_PART", 3)
+    texts = [" ".join(f"w{i}" for i in range(30))] + [" ".join(f"w{i}" for i in range(30) if i != k) for k in range(20)] + ["a b c"]
+    words = omh._hashed_words(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string"))
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 22)] + [(k, 20) for k in range(1, 20)], "a bigint, b bigint")
+    got = sorted((r.a, r.b) for r in omh._verified(pairs, words, SharedTables(spark, "test"), 0.8, "links").collect())
+    assert got == sorted([(0, k) for k in range(1, 21)] + [(k, 20) for k in range(1, 20)])
+
+
+def test_clashing_names_survive_and_long_texts_are_read_whole(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long, 7, 8, "x"), (2, long + " end", 7, 8, "x"), (3, "a", 7, 8, "x")], "doc_id bigint, text string, own_id int, _omh_id int, digest string")
+    kept = omh.one_per_class(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("own_id = 7 and _omh_id = 8 and digest = 'x'").collect()) == [1, 3]
+
+
 def test_one_of_equal_rows_stays(spark):
     docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (7, "d e f"), (7, "d e f")], "doc_id bigint, text string")
     assert sorted(str(r.doc_id) for r in omh.one_per_class(docs).collect()) == ["7", "None"]
@@ -209,9 +248,8 @@ def test_rest_tries_every_two_classes_of_a_bucket(spark):
     members = spark.createDataFrame([(1, n, len(t)) for n, t in zip(nodes, texts)], "value bigint, node bigint, n_words int")
     none = spark.createDataFrame([], "a bigint, b bigint")
     tables = SharedTables(spark, "test")
-    links, tried = omh._further_rounds(members, none, none, kept, tables, 0.8)
-    links = omh._rest(members, tried, links, kept, tables, 0.8)
-    got = {r.node: r.root for r in components.connected_components(links, tables).collect()}
+    words = tables.write(omh._hashed_words(kept), "words")
+    got = {r.node: r.root for r in omh._rest(members, none, none.toDF("node", "root"), words, tables, 0.8).collect()}
     parent = {n: n for n in nodes}
     find = lambda i: i if parent[i] == i else find(parent[i])
     for i, a in zip(nodes, texts):
