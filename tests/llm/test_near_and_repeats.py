@@ -232,7 +232,7 @@ def test_containment_search_is_exhaustive(spark):
     assert decontaminate.find_items(df, bench.limit(0)).count() == 0 and decontaminate.find_items(df.limit(0), bench).count() == 0
 
 
-def test_rest_tries_every_two_classes_of_a_bucket(spark):
+def test_every_two_classes_of_a_bucket_are_tried(spark):
     rng = random.Random(8)
     passage = [f"p{i}" for i in range(40)]
     # many texts that share a passage and little else; some are near duplicates of one another
@@ -249,7 +249,7 @@ def test_rest_tries_every_two_classes_of_a_bucket(spark):
     none = spark.createDataFrame([], "a bigint, b bigint")
     tables = SharedTables(spark, "test")
     words = tables.write(omh._hashed_words(kept), "words")
-    got = {r.node: r.root for r in omh._rest(members, none, none.toDF("node", "root"), words, tables, 0.8).collect()}
+    got = {r.node: r.root for r in omh._beyond_ends(members, none, none.toDF("node", "root"), words, tables, 0.8).collect()}
     parent = {n: n for n in nodes}
     find = lambda i: i if parent[i] == i else find(parent[i])
     for i, a in zip(nodes, texts):
