@@ -16,8 +16,8 @@ Words are what lies between white space, in lower case. A document or item of fe
 words is one shingle of all its words.
 
 Defined results: null or empty documents and items match nothing; repeated items each match;
-repeated documents each have their rows; null ids are kept; an empty table on either side
-gives an empty result; extra columns are left out.
+repeated documents each have their rows; texts of any length are read whole; null ids are kept; an empty table on either side
+gives an empty result; extra columns are left out (`without_items` keeps all, whatever their names).
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from lodestar.llm.common import WordHashes, bound_batches, input_columns, map_texts, mix64, shingle_hashes, slices
+from lodestar.llm.common import WordHashes, bound_batches, fresh, input_columns, map_texts, mix64, shingle_hashes, slices
 
 SCHEMA = "doc_id bigint, item_id bigint, n_shingles int, containment double"
 
@@ -157,10 +157,11 @@ def _flagged(docs: DataFrame, text_col: str, flag: str, items: Items, threshold:
 
 
 def _item_blocks(benchmark: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8,
-                 hashes: int = 48, words: int = 5, block: int = 20_000):
-    """The items in blocks of about `block`, dealt by a hash, each with the search's options."""
+                 hashes: int = 48, words: int = 5, block: int = 20_000, block_bytes: int = 8 << 20):
+    """The items in blocks of about `block` items and `block_bytes` of text, dealt by a hash, each with the search's options."""
     known = benchmark.select(F.col(item_id_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text"))
-    n_blocks = max(1, -(-known.count() // block))
+    n, n_bytes = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()
+    n_blocks = max(1, -(-n // block), -(-n_bytes // block_bytes))
     for k in range(n_blocks):
         rows = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).toArrow()
         texts = [t or "" for t in rows.column("text").to_pylist()]
@@ -179,8 +180,8 @@ def without_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A row goes by its own text: ids may be null or shared. The search is run where the texts
     are read, so that nothing is joined or shuffled.
     """
-    flag = "_has_item"
-    out = docs.drop(flag)
+    (flag,) = fresh(docs, "has_item")
+    out = docs
     for items, (threshold, hashes, words) in _item_blocks(benchmark, **options):
         out = _flagged(out, text_col, flag, items, threshold, hashes, words).where(~F.col(flag)).drop(flag)
-    return out.select(docs.columns)
+    return out

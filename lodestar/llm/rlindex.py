@@ -23,7 +23,8 @@ still differ in their digests.
 
 Defined results: a null or empty text has 0 bytes; a text shorter than `length` loses nothing;
 rows with the same text of `length` bytes or more lose all of it; rows are kept one for one
-(null ids too); an empty table gives an empty result; extra columns are left out.
+(null ids too); texts of any length are cut whole; an empty table gives an empty result; extra
+columns are left out.
 """
 
 from __future__ import annotations

@@ -5,10 +5,12 @@
 2. Per document, pre-token frequencies are joined to these numbers and summed. Word
    frequencies are heavy-tailed, so the join is in two parts: the `common` most frequent
    pre-tokens (a fixed number, so their broadcast has a bound that doesn't grow with the data)
-   are joined where the text is read; what is rarer goes through a shuffle join on the
-   pre-token and back by row. A pre-token that could make a hot key is common by definition.
+   of at most SHORT bytes are joined where the text is read; what is rarer or longer goes through
+   a shuffle join on the pre-token and back by row. What could make a hot key is common by
+   definition, unless it is long; Spark splits such a key when it joins.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; rows are kept one for one
+Defined results: a null or empty text has 0 bytes and 0 tokens; texts and pre-tokens of any length
+are counted whole; rows are kept one for one
 (repeated rows and null ids too); special strings inside texts count as the library counts
 them; an empty table gives an empty result; extra columns are left out.
 """
@@ -27,6 +29,8 @@ from lodestar.llm.tokens import PreTokens, cut, default_path
 
 #: Distinct units that a task holds before it passes their counts on, or remembers.
 HELD = 600_000
+#: Bytes of a pre-token that may be broadcast; longer ones are joined by shuffle.
+SHORT = 64
 
 
 def pretoken_frequencies(texts: DataFrame, path: str) -> DataFrame:
@@ -81,7 +85,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     tables = SharedTables(spark, "tokencount")
     texts = input_columns(docs, id_col, text_col)
     pieces = tables.write(piece_counts(pretoken_frequencies(texts, path), path), "pieces")
-    top = pieces.where(F.col("n") >= _least_common(pieces, common)).select("pretoken", "pieces").toArrow()
+    short = pieces.where(F.octet_length("pretoken") <= SHORT)
+    top = short.where(F.col("n") >= _least_common(short, common)).select("pretoken", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column("pretoken").to_pylist(), top.column("pieces").to_pylist())))
     tables.write(_per_document(texts, known, path), "documents")
     done = spark.read.schema(_ROWS).parquet(tables.path("documents"))

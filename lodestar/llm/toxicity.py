@@ -10,13 +10,15 @@ from driving the estimated negative risk below zero. The prior is the share of t
 among the labelled ones of the training folds.
 
 Fitting uses a bounded sample: at most `max_positive` toxic labelled rows and about
-`max_unlabelled` other rows, both picked by a hash of the id. All else covers every row:
+`max_unlabelled` other rows, both picked by a hash of the id, and of each no more than have `max_words`
+distinct words in all, so that what reaches the driver is bounded in bytes. All else covers every row:
 each whole text is scored where it is read, without a shuffle.
 
 Labels are learned only from rows with crc32(id as text) mod 5 other than 0. Scores depend on
 the text alone.
 
-Defined results: a null or empty text is scored like one without any known word; rows are
+Defined results: a null or empty text is scored like one without any known word; texts of any
+length are scored whole; rows are
 kept one for one; null ids count as the text "" for the fold; a document with several label
 rows is toxic if one of them says so; without any positive every score is 0; an empty table
 gives an empty result; extra columns are left out.
@@ -29,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -70,6 +72,21 @@ def _features(mask: int):
     return make
 
 
+def risk(g_pos: np.ndarray, g_unl: np.ndarray, prior: float) -> tuple[float, float]:
+    """(p E_pos[l(+g)], the bracket that estimates the risk of the negatives) of scores g."""
+    bracket = np.logaddexp(0, g_unl).sum() / max(1, len(g_unl)) - prior * np.logaddexp(0, g_pos).sum() / len(g_pos)
+    return prior * np.logaddexp(0, -g_pos).sum() / len(g_pos), bracket
+
+
+def slopes(g_pos: np.ndarray, g_unl: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient by each score: of the risk, or of the reversed bracket where that is below zero."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    s_pos, s_unl, n = sig(g_pos), sig(g_unl), max(1, len(g_unl))
+    if risk(g_pos, g_unl, prior)[1] >= 0:
+        return np.concatenate([prior * (s_pos - 1) / len(g_pos) - prior * s_pos / len(g_pos), s_unl / n])
+    return np.concatenate([prior * s_pos / len(g_pos), -s_unl / n])
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int, steps: int = 250,
         rate: float = 0.05, decay: float = 1e-4, least: int = 5, apart: float = 4.0) -> Model:
     """Minimise the non-negative risk by full-batch Adam.
@@ -96,19 +113,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     k = int(used.sum())
     w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         g = b + np.bincount(owner, w[ids], minlength=len(rows))
-        s = sig(g)
-        softplus = np.logaddexp(0, g)  # the loss of calling a text negative
-        bracket = softplus[n_pos:].sum() / n_unl - prior * softplus[:n_pos].sum() / n_pos
-        grad = np.empty(len(rows))
-        if bracket >= 0:
-            grad[:n_pos] = prior * (s[:n_pos] - 1) / n_pos - prior * s[:n_pos] / n_pos
-            grad[n_pos:] = s[n_pos:] / n_unl
-        else:
-            grad[:n_pos] = prior * s[:n_pos] / n_pos
-            grad[n_pos:] = -s[n_pos:] / n_unl
+        grad = slopes(g[:n_pos], g[n_pos:], prior)
         gw = np.bincount(ids, grad[owner], minlength=k)[:k] + decay * w
         gb = grad.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
@@ -122,7 +129,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          bits: int = 18, max_positive: int = 4000, max_unlabelled: int = 12000) -> Model:
+          bits: int = 18, max_positive: int = 4000, max_unlabelled: int = 12000, max_words: int = 8 << 20) -> Model:
     """Fit on the bounded sample; only its word buckets, not its texts, come to the driver."""
     marked = (
         labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
@@ -141,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     mask = (1 << bits) - 1
     rows = [
         _arrays(part.toArrow().column("words").combine_chunks())
-        for part in (_bounded(positive, mask, 2 * max_positive), _bounded(unlabelled, mask, 2 * max_unlabelled))
+        for part in (_bounded(positive, mask, 2 * max_positive, max_words), _bounded(unlabelled, mask, 2 * max_unlabelled, max_words))
     ]
     return fit(rows[0], rows[1], prior, bits)
 
@@ -152,11 +159,13 @@ def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
     return np.split(values[ends[0] : ends[-1]], ends[1:-1] - ends[0]) if len(lists) else []
 
 
-def _bounded(texts: DataFrame, mask: int, most: int) -> DataFrame:
-    """Word buckets of the sampled texts, in id order; repeated rows can't exceed the bound."""
+def _bounded(texts: DataFrame, mask: int, most: int, max_words: int) -> DataFrame:
+    """Word buckets of the sampled texts, in hash order of the ids; repeated rows can't exceed the bounds."""
     found = map_texts(texts, "text", None, "doc_id bigint, words array<int>", make=_features(mask))
     packed = found.select("doc_id", "words").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return packed.select("words")
+    # a window over at most `most` rows; the first row always stays
+    upto = F.sum(F.size("words")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "words").rowsBetween(Window.unboundedPreceding, -1))
+    return packed.withColumn("upto", F.coalesce(upto, F.lit(0))).where((F.col("upto") == 0) | (F.col("upto") + F.size("words") <= max_words)).select("words")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -265,3 +265,11 @@ def test_segments_made_to_collide_are_told_apart():
     other = word.translate(str.maketrans("ab", "ba"))
     a, b = (segments.segments(np.frombuffer(x.encode(), np.uint8), 2048, 2048) for x in (word, other))
     assert len(a[3]) == len(b[3]) == 1 and a[3][0] != b[3][0]
+
+
+def test_without_items_keeps_clashing_columns_and_reads_long_texts(spark):
+    item = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, "a " * 200_000 + item, 7, 8), (2, "plain", 7, 8)], "doc_id bigint, text string, has_item int, _has_item int")
+    bench = spark.createDataFrame([(5, item)], "item_id bigint, text string")
+    assert [tuple(r) for r in decontaminate.without_items(docs, bench, block_bytes=10).collect()] == [(2, "plain", 7, 8)]
+    assert [r.doc_id for r in decontaminate.find_items(docs, bench).collect()] == [1]

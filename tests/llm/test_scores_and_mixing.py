@@ -166,3 +166,32 @@ def test_risk_never_pays_for_negative_estimates():
     model = toxicity.fit(pos, unl, 0.1, 4)
     assert model.weights[0] + model.weights[1] > 0 > model.weights[2] + model.weights[3]
     assert np.abs(model.weights).max() < 50
+
+
+def test_slopes_are_those_of_the_plain_risk():
+    """Against finite differences of the risk, written out term by term; reversed where the bracket is negative."""
+    rng = np.random.default_rng(4)
+    for shift in (0.0, -4.0):
+        pos, unl, prior = rng.normal(size=5), rng.normal(size=9) + shift, 0.4
+        loss = lambda z: float(np.log(1 + np.exp(-z)))
+
+        def terms(p, u):
+            plus = 0.4 * sum(loss(x) for x in p) / 5
+            return plus, sum(loss(-x) for x in u) / 9 - 0.4 * sum(loss(-x) for x in p) / 5
+
+        plus, bracket = terms(pos, unl)
+        assert np.allclose(toxicity.risk(pos, unl, prior), (plus, bracket)) and (bracket < 0) == (shift < 0)
+        target = (lambda p, u: sum(terms(p, u))) if bracket >= 0 else (lambda p, u: -terms(p, u)[1])
+        both, got = np.concatenate([pos, unl]), toxicity.slopes(pos, unl, prior)
+        for i in range(14):
+            up, down = both.copy(), both.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            assert abs((target(up[:5], up[5:]) - target(down[:5], down[5:])) / 2e-5 - got[i]) < 1e-6
+
+
+def test_fitting_sample_is_bounded_in_words_and_long_texts_are_scored(spark):
+    docs, labels = toxic_corpus(spark, 300)
+    long = spark.createDataFrame([(9001, "vile " + "w1 " * 300_000, 0.0)], "doc_id bigint, text string, score double")
+    model = toxicity.train(docs.unionAll(long), labels, max_words=2000)
+    assert toxicity.score(docs.unionAll(long), model).count() == 301
