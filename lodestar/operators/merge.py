@@ -83,9 +83,16 @@ def coordinate_mismatch(left: DataFrame, right: DataFrame, on: list[str]) -> Dat
 
 
 def zipped(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Positional join of two equally long arrays per key: (key, pos, a, b)."""
-    l, r = left.select(key, F.posexplode(a).alias("pos", a)), right.select(key, F.posexplode(b).alias("pos", b))
-    return l.join(r, [key, "pos"])
+    """Positional join of two equally long arrays per key: (key, pos, a, b); unequal lengths are an error."""
+    both = left.select(key, a).join(right.select(key, b), key)
+    equal = F.when(F.size(a) == F.size(b), F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b")))
+    pairs = F.coalesce(equal, F.raise_error(F.concat(F.lit("arrays of unequal length for key "), F.col(key).cast("string"))))
+    return both.select(key, F.posexplode(pairs).alias("pos", "x")).select(key, "pos", F.col("x.a").alias(a), F.col("x.b").alias(b))
+
+
+def looked_up(df: DataFrame, table: DataFrame, on: str, key: str, column: str) -> DataFrame:
+    """Adds the table's value for each row's key; null where it has none. Keys of the table are unique."""
+    return df.join(table.select(F.col(key).alias(on), column), on, "left").select(*df.columns, column)
 
 
 def merged_maps(a: str, b: str):

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.shard import global_index, running_sum
+
 XYZ = ("x", "y", "z")
 
 
@@ -67,8 +69,7 @@ def reduced(df: DataFrame, value: str, batch: str = "batch_id", batches: DataFra
 def layout(df: DataFrame, batch: str = "batch_id") -> DataFrame:
     """batch, start, stop: where each batch would lie in a packed array. One row per batch."""
     n = df.groupBy(batch).agg(F.count("*").alias("n"))
-    stop = F.sum("n").over(Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, 0))
-    return n.withColumn("stop", stop).select(batch, (F.col("stop") - F.col("n")).alias("start"), "stop")
+    return running_sum(n, [F.col(batch)], "n", "stop").select(batch, (F.col("stop") - F.col("n")).alias("start"), "stop")
 
 
 def padded(df: DataFrame, batch: str, position: str, value: str, width: int) -> DataFrame:
@@ -157,10 +158,12 @@ def full_grid(spark, sizes: tuple[int, int, int]) -> DataFrame:
     return rows.select(*XYZ)
 
 
-def dense(sparse: DataFrame, sizes: tuple[int, int, int], value: str) -> DataFrame:
-    """All cells of a grid with the sparse table's value, 0 elsewhere."""
-    grid = full_grid(sparse.sparkSession, sizes)
-    return grid.join(sparse.select(*XYZ, value), list(XYZ), "left").withColumn(value, F.coalesce(value, F.lit(0)))
+def dense(sparse: DataFrame, sizes: tuple[int, int, int], value: str, batch: str = "batch_id") -> DataFrame:
+    """All cells of each batch's grid with the sparse table's value, 0 elsewhere."""
+    grid = sparse.select(batch).distinct()
+    for a, n in zip(XYZ, sizes):
+        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return grid.join(sparse.select(batch, *XYZ, value), [batch, *XYZ], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
 def gathered(dense_table: DataFrame, at: DataFrame, on: list[str]) -> DataFrame:
@@ -186,6 +189,18 @@ def broadcast_add(df: DataFrame, per_batch: DataFrame, feats: str, vector: str,
     return df.join(per_batch.select(batch, F.col(vector).alias("_v")), batch).withColumn(feats, F.zip_with(feats, "_v", lambda a, b: a + b)).drop("_v")
 
 
+def mse_per_instance(df: DataFrame, instance: str, a: str, b: str) -> DataFrame:
+    """Mean squared difference over all components of an instance's rows; partial sums combine before the shuffle."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
+    return df.groupBy(instance).agg((F.sum(apart) / F.sum(F.size(a))).alias("mse"))
+
+
+def corners(faces: DataFrame, vertices: DataFrame, face: list[str]) -> DataFrame:
+    """face, corner and the vertex's columns, for corners v0, v1, v2; corners without a vertex are left out."""
+    asked = faces.select(*face, F.posexplode(F.array("v0", "v1", "v2")).alias("corner", "v_idx"))
+    return asked.join(vertices, "v_idx").drop("v_idx")
+
+
 def standardised(feats: str | Column, mean: Column, std: Column) -> Column:
     return F.zip_with(F.zip_with(feats, mean, lambda x, m: x - m), std, lambda x, s: x / s)
 
@@ -243,8 +258,8 @@ def collated(samples: DataFrame, sample: str, batch: str = "batch_id") -> DataFr
 
     The keys of a batch are few: they are numbered on their own and joined back.
     """
-    numbers = samples.select(sample).distinct().withColumn(batch, (F.row_number().over(Window.orderBy(sample)) - 1).cast("int"))
-    return samples.join(numbers, sample)
+    numbers = global_index(samples.select(sample).distinct(), [F.col(sample)], batch)
+    return samples.join(numbers.withColumn(batch, F.col(batch).cast("int")), sample)
 
 
 def attention(df: DataFrame, batch: str, token: str, q: str, k: str, v: str) -> DataFrame:

@@ -32,6 +32,22 @@ def at_least(column: str, low: float) -> Column:
     return F.coalesce((F.col(column) >= low) & ~F.isnan(F.col(column).cast("double")), F.lit(False))
 
 
+def at_most(column: str, high: float) -> Column:
+    """column <= high; NULL and NaN fail."""
+    return F.coalesce((F.col(column) <= high) & ~F.isnan(F.col(column).cast("double")), F.lit(False))
+
+
+def with_suffix(df: DataFrame, columns: list[str], resolution: int) -> DataFrame:
+    """Columns named for a resolution: size -> size_256."""
+    return df.withColumnsRenamed({c: f"{c}_{resolution}" for c in columns})
+
+
+def without_suffix(df: DataFrame, resolution: int) -> DataFrame:
+    """The inverse, for all columns of that resolution."""
+    end = f"_{resolution}"
+    return df.withColumnsRenamed({c: c.removesuffix(end) for c in df.columns if c.endswith(end)})
+
+
 def if_column(df: DataFrame, column: str, then: Column, otherwise: Column | None = None) -> DataFrame:
     """Filter by `then` if the table has the column, else by `otherwise` (or not at all)."""
     if column in df.columns:

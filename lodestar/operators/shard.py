@@ -1,8 +1,8 @@
 """Shards, permutations and packings.
 
 A global row number would pull all rows through one task. Numbers are therefore given in two
-levels: rows are range-sorted into buckets, buckets are counted, and only the counts (one row
-per bucket) are accumulated.
+levels: rows are range-sorted into parts, which are written and counted, and only the counts (one
+row per part) are accumulated.
 """
 
 from __future__ import annotations
@@ -11,21 +11,44 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.sources.scratch import written
 
-def global_index(df: DataFrame, order: list[Column], name: str = "i", buckets: int = 256) -> DataFrame:
-    """Adds the row's 0-based place in a total order, without a one-task sort.
 
-    Buckets are ranges of the first order column's rank; ties across a bucket's edge can't
-    happen, since a bucket is made of whole values of the ordering columns.
+#: Bits of the numbers that Spark gives within a partition.
+_WITHIN = (1 << 33) - 1
+
+
+def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df in ranges of the order, written once, with each row's range and place in it.
+
+    Ranges are drawn from a sample. Drawn twice, for counts and for rows, they need not be the same; so
+    they are drawn once, and counts and rows read the table that came of it.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    return local.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.struct(df.columns).alias("row"), F.monotonically_increasing_id().alias("at"))
+    rows = written(rows, "ranges")
+    return rows.select("row", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit(_WITHIN)).alias("place"))
+
+
+def _before(parts: DataFrame, value: str) -> DataFrame:
+    """part, before: the sum of all earlier parts; one row per range goes through this window."""
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("part", F.coalesce(F.sum(value).over(earlier), F.lit(0)).alias("before"))
+
+
+def global_index(df: DataFrame, order: list[Column], name: str = "i") -> DataFrame:
+    """Adds the row's 0-based place in a total order, without a one-task sort; equal rows get different places."""
+    rows = _ranged(df, order)
+    before = _before(rows.groupBy("part").agg(F.count("*").alias("n")), "n")
+    return rows.join(before, "part").select("row.*", (F.col("before") + F.col("place")).alias(name))
+
+
+def running_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds the sum of the value up to and with each row, in two levels as global_index does."""
+    rows = _ranged(df, order).withColumn("n", F.col(f"row.{value}"))
+    before = _before(rows.groupBy("part").agg(F.sum("n").alias("n")), "n")
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("within", within).join(before, "part").select("row.*", (F.col("before") + F.col("within")).alias(name))
 
 
 def contiguous_shard(index: Column, n: Column, world: int) -> Column:

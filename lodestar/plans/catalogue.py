@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.plans import base, further, geometry, registry, sparse, telemetry  # noqa: F401  registration
+from lodestar.plans import base, files, further, geometry, registry, sparse, telemetry  # noqa: F401  registration
 
 
 def queries() -> dict:

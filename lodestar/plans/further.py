@@ -26,13 +26,13 @@ def zip_join(t: Tables) -> DataFrame:
     return merge.zipped(roles, sizes, "conv_id", "role", "size")
 
 
-@query("SELECT conv_id, map_from_entries(list({'k': 't' || turn::VARCHAR, 'v': length(text)} ORDER BY turn))::VARCHAR AS sizes FROM conversations WHERE turn < 2 GROUP BY conv_id HAVING count(DISTINCT turn) = 2")
+@query("SELECT conv_id, string_agg(printf('t%03d=', turn) || length(text)::VARCHAR, ', ' ORDER BY turn) AS sizes FROM conversations GROUP BY conv_id")
 def map_merge(t: Tables) -> DataFrame:
-    size = F.length("text").cast("bigint")
-    at = lambda turn: t.conversations.where(F.col("turn") == turn).select("conv_id", F.create_map(F.lit(f"t{turn}"), size).alias(f"m{turn}"))
-    joined = at(0).join(at(1), "conv_id").withColumn("m", merge.merged_maps("m0", "m1"))
-    entries = F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return joined.select("conv_id", F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}")).alias("sizes"))
+    entry = F.struct(F.format_string("t%03d", "turn").alias("k"), F.length("text").cast("bigint").alias("v"))
+    half = lambda odd: F.map_from_entries(F.collect_list(F.when(F.col("turn") % 2 == odd, entry)))
+    joined = t.conversations.groupBy("conv_id").agg(half(0).alias("m0"), half(1).alias("m1")).withColumn("m", merge.merged_maps("m0", "m1"))
+    entries = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return joined.select("conv_id", F.array_join(entries, ", ").alias("sizes"))
 
 
 @query("""
@@ -76,9 +76,9 @@ def two_views(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", shard.chosen_views(F.col("doc_id"), "s", 6, 2).alias("views"))
 
 
-@query("SELECT max(o_orderkey) AS step FROM orders WHERE o_orderkey % 7 = 0")
+@query("SELECT max(o_orderkey) AS step FROM orders")
 def latest_checkpoint(t: Tables) -> DataFrame:
-    names = t.orders.where("o_orderkey % 7 = 0").select(F.format_string("denoiser_step%07d.pt", "o_orderkey").alias("name"))
+    names = t.orders.select(F.format_string("denoiser_step%07d.pt", "o_orderkey").alias("name"))
     return names.agg(shard.latest_step(F.col("name")).alias("step"))
 
 
@@ -103,9 +103,9 @@ def gather_truncate(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).orderBy("event_id").limit(64)
 
 
-@query(f"WITH {_CELLS}, s AS (SELECT DISTINCT batch_id AS sample FROM c WHERE batch_id <> 1), n AS (SELECT sample, (row_number() OVER (ORDER BY sample) - 1)::INTEGER AS batch_id FROM s) SELECT sample, n.batch_id, x, y, z, f FROM c JOIN n ON c.batch_id = n.sample")
+@query(f"WITH {_CELLS}, s AS (SELECT DISTINCT 10 - 3 * batch_id AS sample FROM c), n AS (SELECT sample, (row_number() OVER (ORDER BY sample) - 1)::INTEGER AS batch_id FROM s) SELECT sample, n.batch_id, x, y, z, f FROM c JOIN n ON 10 - 3 * c.batch_id = n.sample")
 def collate_samples(t: Tables) -> DataFrame:
-    rows = _cells(t).where("batch_id <> 1").withColumnRenamed("batch_id", "sample")
+    rows = _cells(t).withColumn("sample", 10 - 3 * F.col("batch_id")).drop("batch_id")
     return ragged.collated(rows, "sample").select("sample", "batch_id", "x", "y", "z", "f")
 
 
@@ -125,14 +125,15 @@ def patchify(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT vec_id // 8 AS seq, vec_id AS tok, embedding[1:4]::DOUBLE[] AS q, embedding[5:8]::DOUBLE[] AS k, embedding[9:10]::DOUBLE[] AS v FROM embeddings),
-s AS (SELECT a.seq, a.tok, exp(list_dot_product(a.q, b.k) / 2) AS w, b.v FROM e a JOIN e b ON a.seq = b.seq)
-SELECT seq, tok, [round(sum(w * v[1]) / sum(w), 5) + 0.0, round(sum(w * v[2]) / sum(w), 5) + 0.0] AS out FROM s GROUP BY seq, tok
+WITH e AS (SELECT vec_id // 8 AS seq, vec_id AS tok, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.seq, a.tok, exp(list_dot_product(a.v, b.v) / 8) AS w, b.v FROM e a JOIN e b ON a.seq = b.seq),
+u AS (SELECT seq, tok, w, unnest(v) AS x, unnest(range(0, 64)) AS i FROM s),
+m AS (SELECT seq, tok, i, round(sum(w * x) / sum(w), 5) + 0.0 AS y FROM u GROUP BY seq, tok, i)
+SELECT seq, tok, list(y ORDER BY i) AS out FROM m GROUP BY seq, tok
 """)
 def attention_by_sequence(t: Tables) -> DataFrame:
-    part = lambda at, n: F.transform(F.slice("embedding", at, n), lambda x: x.cast("double"))
-    rows = t.embeddings.select(F.floor(F.col("vec_id") / 8).alias("seq"), F.col("vec_id").alias("tok"), part(1, 4).alias("q"), part(5, 4).alias("k"), part(9, 2).alias("v"))
-    out = ragged.attention(rows, "seq", "tok", "q", "k", "v")
+    rows = t.embeddings.select(F.floor(F.col("vec_id") / 8).alias("seq"), F.col("vec_id").alias("tok"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    out = ragged.attention(rows, "seq", "tok", "v", "v", "v")
     return out.select("seq", "tok", F.transform("out", lambda x: F.round(x, 5) + 0.0).alias("out"))
 
 

@@ -174,13 +174,13 @@ def euler_schedule(t: Tables) -> DataFrame:
 
 @query("""
 WITH u AS (SELECT label, ('0x' || substr(md5('cfg|' || label::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT label FROM embeddings))
-SELECT vec_id, label, u.u < 0.3 AS dropped, CASE WHEN u.u < 0.3 THEN 0.0 ELSE embedding[1]::DOUBLE END AS first FROM embeddings JOIN u USING (label)
+SELECT vec_id, label, u.u < 0.3 AS dropped, list_transform(embedding, lambda x: CASE WHEN u.u < 0.3 THEN 0.0 ELSE x::DOUBLE END) AS kept FROM embeddings JOIN u USING (label)
 """)
 def cfg_dropout(t: Tables) -> DataFrame:
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("cfg"), F.col("label").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     batches = t.embeddings.select("label").distinct().withColumn("dropped", u < 0.3)
     rows = t.embeddings.join(batches, "label")
-    return rows.select("vec_id", "label", "dropped", F.when(F.col("dropped"), 0.0).otherwise(F.col("embedding")[0].cast("double")).alias("first"))
+    return rows.select("vec_id", "label", "dropped", F.transform("embedding", lambda x: F.when(F.col("dropped"), 0.0).otherwise(x.cast("double"))).alias("kept"))
 
 
 @query()

@@ -178,12 +178,12 @@ def pivot_view_flags(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, (SELECT count(*) FROM orders) AS n FROM orders)
-SELECT o_orderkey, i, floor(((i + 1) * 7 - 1)::DOUBLE / n)::INTEGER AS shard FROM r
+WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, (SELECT count(*) FROM orders) AS n FROM orders)
+SELECT o_orderkey, o_custkey, o_orderpriority, i, floor(((i + 1) * 7 - 1)::DOUBLE / n)::INTEGER AS shard FROM r
 """)
 def rank_shard(t: Tables) -> DataFrame:
     n = t.orders.count()
-    rows = shard.global_index(t.orders.select("o_orderkey"), [F.col("o_orderkey")])
+    rows = shard.global_index(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"), [F.col("o_orderkey")])
     return rows.withColumn("shard", shard.contiguous_shard(F.col("i"), F.lit(n), 7))
 
 
@@ -204,31 +204,32 @@ def task_shard(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT o_orderkey, o_custkey % 10 AS batch, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) - 1 AS i,
-                  count(*) OVER (PARTITION BY o_custkey % 10) AS n FROM orders)
+WITH r AS (SELECT o_orderkey, o_orderkey // 1024 AS batch, row_number() OVER (PARTITION BY o_orderkey // 1024 ORDER BY o_orderkey) - 1 AS i,
+                  count(*) OVER (PARTITION BY o_orderkey // 1024) AS n FROM orders)
 SELECT o_orderkey, batch, floor(((i + 1) * 3 - 1)::DOUBLE / n)::INTEGER AS micro FROM r
 """)
 def micro_batch_split(t: Tables) -> DataFrame:
     batch = Window.partitionBy("batch")
-    rows = t.orders.select("o_orderkey", (F.col("o_custkey") % 10).alias("batch"))
+    # a batch has a bounded number of rows, as a loader's has; more rows are more batches
+    rows = t.orders.select("o_orderkey", F.expr("o_orderkey div 1024").alias("batch"))
     i, n = F.row_number().over(batch.orderBy("o_orderkey")) - 1, F.count("*").over(batch)
     return rows.select("o_orderkey", "batch", shard.contiguous_shard(i, n, 3).alias("micro"))
 
 
 @query("""
-WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7|' || doc_id::VARCHAR), doc_id) - 1 AS i FROM documents)
-SELECT doc_id, (i % 4)::INTEGER AS rank, floor(i / 4.0)::BIGINT AS place FROM r WHERE floor(i / 4.0) > 9
+WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY md5('7|' || doc_id::VARCHAR), doc_id) - 1 AS i FROM documents)
+SELECT doc_id, source, (i % 4)::INTEGER AS rank, floor(i / 4.0)::BIGINT AS place FROM r WHERE floor(i / 4.0) > 9
 """)
 def epoch_permutation_resume(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", shard.uniform_key(F.col("doc_id"), "7").alias("u"))
+    rows = t.documents.select("doc_id", "source", shard.uniform_key(F.col("doc_id"), "7").alias("u"))
     rows = shard.global_index(rows, [F.col("u"), F.col("doc_id")])
     rank, place = shard.epoch_positions(F.col("i"), F.lit(0), 4)
-    return rows.select("doc_id", rank.alias("rank"), place.alias("place")).where("place > 9")
+    return rows.select("doc_id", "source", rank.alias("rank"), place.alias("place")).where("place > 9")
 
 
 @query()
 def lpt_pack(t: Tables) -> DataFrame:
-    return shard.lpt_pack(t.documents.withColumn("batch", F.col("doc_id") % 16), "batch", "doc_id", "n_chars", 4)
+    return shard.lpt_pack(t.documents.withColumn("batch", F.expr("doc_id div 256")), "batch", "doc_id", "n_chars", 4)
 
 
 @query("""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import geometry
-from lodestar.operators import merge, ragged
+from lodestar.operators import merge, ragged, shard
 from lodestar.plans.base import Tables, query
 
 _VOXELS = """v AS (SELECT (l_orderkey % 4)::INTEGER AS batch_id, (l_partkey % 32)::INTEGER AS x, (l_suppkey % 32)::INTEGER AS y,
@@ -45,8 +45,7 @@ def voxel_pool_max(t: Tables) -> DataFrame:
 SELECT *, ((batch_id::BIGINT * 4 + x) * 4 + y) * 4 + z AS code, row_number() OVER (ORDER BY batch_id, x, y, z) - 1 AS inverse FROM d""")
 def voxel_distinct_inverse(t: Tables) -> DataFrame:
     cells = ragged.distinct_cells(_voxels(t), 8).withColumn("code", ragged.linear_code(4))
-    # one row per occupied coarse cell: at most the grid's size
-    return cells.withColumn("inverse", (F.row_number().over(Window.orderBy("code")) - 1).cast("bigint"))
+    return shard.global_index(cells, [F.col("code")], "inverse")
 
 
 @query(f"WITH {_VOXELS} SELECT DISTINCT batch_id, x // 2 AS x, y // 2 AS y, z // 2 AS z FROM v")
@@ -77,10 +76,10 @@ def segment_std_pop(t: Tables) -> DataFrame:
     return _reduced(t, "std_pop")
 
 
-@query("SELECT l_suppkey, round(product(1 + l_discount), 6) AS prod FROM lineitem WHERE l_linenumber = 7 GROUP BY l_suppkey")
+@query("SELECT l_orderkey, round(product(1 + l_discount), 6) AS prod FROM lineitem GROUP BY l_orderkey")
 def segment_prod(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_linenumber = 7").select("l_suppkey", (1 + F.col("l_discount")).alias("v"))
-    return ragged.reduced(rows, "v", "l_suppkey").select("l_suppkey", F.round("prod", 6).alias("prod"))
+    rows = t.lineitem.select("l_orderkey", (1 + F.col("l_discount")).alias("v"))
+    return ragged.reduced(rows, "v", "l_orderkey").select("l_orderkey", F.round("prod", 6).alias("prod"))
 
 
 @query("""
@@ -160,12 +159,11 @@ def batch_select(t: Tables) -> DataFrame:
     return ragged.select_batches(t.embeddings.select("vec_id", "label"), [3, 1, 3], "label")
 
 
-@query(f"""WITH {_CELLS}, g AS (SELECT x.x, y.y, z.z FROM range(0, 8) x(x), range(0, 8) y(y), range(0, 8) z(z)),
-s AS (SELECT x // 4 AS x, y // 4 AS y, z // 4 AS z, sum(f) AS f FROM c WHERE batch_id = 0 AND x % 3 = 0 GROUP BY ALL)
-SELECT g.x::INTEGER AS x, g.y::INTEGER AS y, g.z::INTEGER AS z, coalesce(f, 0) AS f FROM g LEFT JOIN s ON g.x = s.x AND g.y = s.y AND g.z = s.z""")
+@query(f"""WITH {_CELLS}, g AS (SELECT b.batch_id, x.x, y.y, z.z FROM (SELECT DISTINCT batch_id FROM c) b, range(0, 8) x(x), range(0, 8) y(y), range(0, 8) z(z)),
+s AS (SELECT batch_id, x // 4 AS x, y // 4 AS y, z // 4 AS z, sum(f) AS f FROM c GROUP BY ALL)
+SELECT g.batch_id, g.x::INTEGER AS x, g.y::INTEGER AS y, g.z::INTEGER AS z, coalesce(f, 0) AS f FROM g LEFT JOIN s ON g.batch_id = s.batch_id AND g.x = s.x AND g.y = s.y AND g.z = s.z""")
 def dense_scatter(t: Tables) -> DataFrame:
-    some = _cells(t).where("batch_id = 0 and x % 3 = 0")
-    sparse = some.groupBy(*(ragged.cell(a, 4).alias(a) for a in "xyz")).agg(F.sum("f").alias("f"))
+    sparse = _cells(t).groupBy("batch_id", *(ragged.cell(a, 4).alias(a) for a in "xyz")).agg(F.sum("f").alias("f"))
     return ragged.dense(sparse, (8, 8, 8), "f")
 
 

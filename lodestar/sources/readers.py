@@ -25,6 +25,25 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str, fmt: st
     return nan_to_null(reader.format(fmt).load(path))
 
 
+def read_parts(spark: SparkSession, paths: list[str], schema: StructType | str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """(rows, skipped): a table of many parts, and the files of which nothing could be read."""
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").format(fmt).load(paths)
+    there = spark.read.format("binaryFile").load(paths).select(F.col("path"))
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    return nan_to_null(rows), there.join(rows.select(name(F.input_file_name()).alias("name")).distinct(), name(F.col("path")) == F.col("name"), "left_anti")
+
+
+def listed_values(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """The values of a layout column for which a folder of files is there; contents are not read."""
+    return list_files(spark, path, ".parquet").select(F.regexp_extract("path", rf"{column}=([^/]+)/", 1).alias(column)).distinct()
+
+
+def parts_after(spark: SparkSession, path: str, schema: str, after: int | None) -> DataFrame:
+    """Records of a stage's parts, or of those ingested after a time; earlier folders are not read."""
+    rows = spark.read.schema(f"{schema}, ingest_ts bigint").parquet(path)
+    return rows if after is None else rows.where(F.col("ingest_ts") > after)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -79,11 +98,17 @@ TRANSFORMS = (
 )
 
 
-def frames_of(documents: DataFrame) -> DataFrame:
-    """One row per view of each transforms document; the angle falls back to the document's."""
+def frames_of(documents: DataFrame, required: bool = False) -> DataFrame:
+    """One row per view of each transforms document; the angle falls back to the document's.
+
+    If it is required, a view with neither ends the job with an error.
+    """
     own = F.col("camera_angle_x") if "camera_angle_x" in documents.columns else F.lit(None).cast("double")
     rows = documents.select("*", F.posexplode("frames").alias("view_idx", "frame"))
-    return rows.withColumn("camera_angle_x", F.coalesce("frame.camera_angle_x", own)).drop("frames")
+    angle = [F.col("frame.camera_angle_x"), own]
+    if required:
+        angle.append(F.raise_error(F.lit("a view has no camera angle, nor has its document")).cast("double"))
+    return rows.withColumn("camera_angle_x", F.coalesce(*angle)).drop("frames")
 
 
 _PLY_HEADER = r"^(ply|format|comment|element|property|end_header)\b"

@@ -22,7 +22,9 @@ def fold_records(spark: SparkSession, new_records: str, schema: StructType, key:
 
     def fold(batch: DataFrame, number: int) -> None:
         previous = f"{state}/batch={number - 1}"
-        frames = [spark.read.schema(schema).parquet(previous)] if number and exists(spark, previous) else []
+        if number and not exists(spark, previous):
+            raise FileNotFoundError(f"the state before batch {number} is lost: {previous}")
+        frames = [spark.read.schema(schema).parquet(previous)] if number else []
         # of several records of a key in one batch the first non-null value counts, in row order
         rows = batch.withColumn("_row", F.monotonically_increasing_id())
         merged = merge_first([*frames, _first_rows(rows, key)], key, existing_wins=False)

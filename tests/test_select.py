@@ -51,3 +51,20 @@ def test_remaining_tasks(spark):
     need = tasks.required_tasks(spark.createDataFrame([("a",), ("b",)], "k string"), [0, 1], [256])
     done = spark.createDataFrame([("a", 0, 256)], "k string, view_idx int, resolution int")
     assert tasks.remaining_tasks(need, done, ["k", "view_idx", "resolution"]).count() == 3
+
+
+def test_places_are_unique_with_other_columns_and_many_rows(spark):
+    df = spark.range(1_000_000).select((F.hash("id") % 1000).alias("k"), "id", F.md5(F.col("id").cast("string")).alias("payload"))
+    got = shard.global_index(df, [F.col("k"), F.col("id")])
+    got.write.mode("overwrite").format("noop").save()
+    assert got.agg(F.count_distinct("i"), F.min("i"), F.max("i"), F.count("*")).first() == (1_000_000, 0, 999_999, 1_000_000)
+    assert got.where("i > 0").count() == 999_999 and got.orderBy("i").select("k").first()[0] == df.agg(F.min("k")).first()[0]
+
+
+def test_running_sums_pass_part_bounds(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("n"), F.lit("x").alias("part"))
+    got = {r.id: r.s for r in shard.running_sum(df, [F.col("id")], "n", "s").collect()}
+    total = 0
+    for i in range(1000):
+        total += i % 7
+        assert got[i] == total
