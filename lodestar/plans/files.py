@@ -23,7 +23,7 @@ def csv_round_trip(t: Tables) -> DataFrame:
 
 
 @query("SELECT s_suppkey, s_name, true AS there FROM supplier")
-def optional_tables(t: Tables) -> DataFrame:
+def missing_tables(t: Tables) -> DataFrame:
     path, schema = shared_folder(t.spark, "optional"), "s_suppkey bigint, s_name string"
     sinks.write_table(t.supplier.select("s_suppkey", "s_name"), f"{path}/there")
     found = [readers.read_optional(t.spark, f"{path}/{name}", schema, "parquet").withColumn("there", F.lit(name == "there")) for name in ("there", "missing")]
