@@ -121,8 +121,8 @@ def map_slices(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Rec
 
 
 def text_digest(text: Column) -> Column:
-    """128 bits of a text; null counts as empty."""
-    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+    """128 bits of a text; null counts as empty. Never null, so that joins by it add no filter of their own."""
+    return F.coalesce(F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")))), F.lit(b""))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
