@@ -68,3 +68,38 @@ def warm_up(step: Column, steps: int) -> Column:
 
 def memory_ratio(available: Column, target: float, k: Column, b: Column, n: Column, most: float) -> Column:
     return F.least(F.lit(most), F.greatest(F.lit(0.0), (available * target - b) / (k * n)))
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with the value worked out once a row; inside a lambda it would be worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sample_std(a: Column) -> Column:
+    """Standard deviation with n - 1 in the denominator."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    around = lambda v, mean: F.sqrt(total(F.transform(v, lambda x: (x - mean) * (x - mean))) / (F.size(v) - 1))
+    return bound(a, lambda v: bound(total(v) / F.size(v), lambda mean: around(v, mean)))
+
+
+def guided_rescaled(xt: Column, pos: Column, neg: Column, g: Column, t: Column, s: float, share: float) -> Column:
+    """`guided`, then x0 brought `share` of the way to the spread it has without guidance. Strengths of 1 and 0 stay as they are."""
+    mixed = guided(pos, neg, g)
+    spread = share * sample_std(recovered_x0(xt, pos, t, s))
+    back = lambda x0, factor: F.zip_with(xt, x0, lambda x, y: ((1 - s) * x - y * factor) / (F.lit(s) + (1 - s) * t))
+    rescaled = bound(recovered_x0(xt, mixed, t, s), lambda x0: bound(spread / sample_std(x0) + (1 - share), lambda factor: back(x0, factor)))
+    return F.when((g == 1) | (g == 0), mixed).otherwise(rescaled)
+
+
+def rotary(feats: Column, at: list[Column], width: int, scale: float = 1.0, period: float = 10_000.0) -> Column:
+    """Neighbouring pairs of a head of `width` features turned by phases of its coordinates.
+
+    Each axis has width // 2 // axes frequencies, scale / period**(i / their number); pairs left over aren't turned.
+    """
+    n = width // 2 // len(at)
+    axes = F.array(*(a.cast("double") for a in at))
+    phase = lambda j: F.when(j < n * len(at), F.get(axes, F.floor(j / n).cast("int")) * scale / F.pow(F.lit(period), (j % n) / n)).otherwise(0.0)
+
+    turn = lambda x, y, p: F.array(x * F.cos(p) - y * F.sin(p), x * F.sin(p) + y * F.cos(p))
+    pairs = F.sequence(F.lit(0), F.lit(width // 2 - 1))
+    return bound(feats, lambda f: F.flatten(F.transform(pairs, lambda j: bound(phase(j), lambda p: turn(F.get(f, 2 * j), F.get(f, 2 * j + 1), p)))))

@@ -200,3 +200,13 @@ def scene_normalised(points: DataFrame, by: list[str]) -> DataFrame:
     """Scaled by 1 / the largest extent, then moved so that the box's centre is the origin."""
     box = bounding_box(points, by).where("extent > 0").select(*by, "extent", *(f"centre_{a}" for a in "xyz"))
     return points.join(box, by).withColumns({a: (F.col(a) - F.col(f"centre_{a}")) / F.col("extent") for a in "xyz"}).drop("extent", *(f"centre_{a}" for a in "xyz"))
+
+
+def truth_view(x: Column, y: Column, z: Column, resolution: int) -> tuple[Column, Column, Column]:
+    """Cells turned to the projection grid's axes: x, the negated z, y."""
+    return x, F.lit(resolution - 1) - z, y
+
+
+def scaled_centre(c: Column, resolution: int, scale: Column) -> Column:
+    """A cell's centre in a unit cube that was shrunk by `scale`."""
+    return ((c + 0.5) / resolution - 0.5) / scale

@@ -45,3 +45,12 @@ def flat_entries(record: Column, separator: str = ".") -> Column:
         lambda x: F.struct(F.when(x["key"] == "", e["key"]).otherwise(F.concat_ws(separator, e["key"], x["key"])).alias("key"), x["value"].try_cast("double").alias("value")),
     ))
     return F.flatten(entries)
+
+
+def any_leaf(record: Column, test) -> Column:
+    """Whether a number of the record, at any depth that `flat_entries` reads, passes the test."""
+    return F.exists(flat_entries(record), lambda e: F.coalesce(test(e["value"]), F.lit(False)))
+
+
+def all_leaves(record: Column, test) -> Column:
+    return F.forall(flat_entries(record), lambda e: F.coalesce(test(e["value"]), F.lit(False)))

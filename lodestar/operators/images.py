@@ -42,14 +42,20 @@ def ssim(pairs: DataFrame, key: str, a: str, b: str, width: int) -> DataFrame:
     return pairs.select(key, a, b).mapInPandas(run, f"{key} {dict(pairs.dtypes)[key]}, ssim double")
 
 
-def alpha_box(images: DataFrame, key: str, pixels: str, width: int, threshold: float) -> DataFrame:
-    """Per image the box of pixels above the threshold and its least distance to the border."""
-    rows = images.select(key, F.size(pixels).alias("n"), F.posexplode(pixels).alias("i", "a")).where(F.col("a") > threshold)
+def alpha_box(images: DataFrame, key: str, pixels: str, width: int, threshold: float, far: int = 130) -> DataFrame:
+    """Per image the box of pixels above the threshold, its least distance to the border, and whether it touches or is far.
+
+    An image without such pixels has no box; its distance is its longer side, and it is far.
+    """
+    rows = images.select(key, F.size(pixels).alias("n"), F.posexplode(pixels).alias("i", "a"))
+    seen = F.col("a") > threshold
+    x, y = F.when(seen, F.col("i") % width), F.when(seen, F.floor(F.col("i") / width))
     height = F.max(F.floor(F.col("n") / width))
-    x, y = F.col("i") % width, F.floor(F.col("i") / width)
     box = rows.groupBy(key).agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), height.alias("h"))
-    border = F.least("x0", "y0", F.lit(width - 1) - F.col("x1"), F.col("h") - 1 - F.col("y1"))
-    return box.select(key, "x0", "x1", "y0", "y1", border.alias("border"), (border == 0).alias("touches"))
+    inside = F.least("x0", "y0", F.lit(width - 1) - F.col("x1"), F.col("h") - 1 - F.col("y1"))
+    border = F.when(F.col("x0").isNull(), F.greatest(F.lit(width), F.col("h"))).otherwise(inside)
+    touches = F.col("x0").isNotNull() & (border <= 0)
+    return box.select(key, "x0", "x1", "y0", "y1", border.alias("border"), touches.alias("touches"), (F.col("x0").isNull() | (border > far)).alias("too_far"))
 
 
 def pca_colours(df: DataFrame, key: str, feats: str, components: int = 3) -> DataFrame:

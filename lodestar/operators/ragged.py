@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.flow import bound
 from lodestar.operators.shard import global_index, running_sum
 
 XYZ = ("x", "y", "z")
@@ -211,12 +212,10 @@ def unstandardised(feats: str | Column, mean: Column, std: Column) -> Column:
 
 def layer_norm(feats: Column, eps: float = 1e-5) -> Column:
     """(x - mean) / sqrt(population variance + eps) within each row."""
-    n = F.size(feats)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    mean = total(F.transform(feats, lambda x: x.cast("double"))) / n
-    centred = F.transform(feats, lambda x: x.cast("double") - mean)
-    var = total(F.transform(centred, lambda x: x * x)) / n
-    return F.transform(centred, lambda x: x / F.sqrt(var + eps))
+    scaled = lambda c: bound(F.sqrt(total(F.transform(c, lambda x: x * x)) / F.size(c) + eps), lambda d: F.transform(c, lambda x: x / d))
+    centred = lambda v: bound(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean))
+    return bound(F.transform(feats, lambda x: x.cast("double")), lambda v: bound(centred(v), scaled))
 
 
 def budget_search(cells: DataFrame, low: int, high: int, budget: int, step: int = 128, floor: int = 1024) -> DataFrame:
@@ -276,3 +275,44 @@ def attention(df: DataFrame, batch: str, token: str, q: str, k: str, v: str) ->
     cells = parts.agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_y"))
     out = cells.groupBy(batch, F.col("_t").alias(token)).agg(F.array_sort(F.collect_list(F.struct("_i", "_y"))).alias("_a"))
     return out.select(batch, token, F.transform("_a", lambda e: e["_y"]).alias("out"))
+
+
+def from_dense(df: DataFrame, keys: list[str], values: str, width: int) -> DataFrame:
+    """keys, y, x, value: the places of a flat row-major image that aren't zero."""
+    rows = df.select(*keys, F.posexplode(values).alias("_i", "value")).where(F.col("value") != 0)
+    return rows.select(*keys, F.floor(F.col("_i") / width).cast("int").alias("y"), (F.col("_i") % width).alias("x"), "value")
+
+
+def unpatched(df: DataFrame, size: int) -> DataFrame:
+    """The inverse of `patches`: cells from patch and place."""
+    place = F.col("place")
+    steps = {"x": F.floor(place / size**2), "y": F.pmod(F.floor(place / size), F.lit(size)), "z": F.pmod(place, F.lit(size))}
+    return df.withColumns({a: (F.col(f"p{a}") * size + s).cast("int") for a, s in steps.items()}).drop("px", "py", "pz", "place")
+
+
+def group_norm(df: DataFrame, batch: str, feats: str, channels: int, groups: int, eps: float = 1e-5) -> DataFrame:
+    """Features standardised by the mean and variance of their batch and channel group.
+
+    Moments combine before the shuffle; only one row per batch is joined back.
+    """
+    per = channels // groups
+    values = df.select(batch, F.posexplode(feats).alias("_i", "_v")).select(batch, F.floor(F.col("_i") / per).alias("_g"), F.col("_v").cast("double").alias("_v"))
+    moments = values.groupBy(batch, "_g").agg(F.avg("_v").alias("mean"), F.var_pop("_v").alias("var"))
+    listed = moments.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("_g", "mean", "var"))).alias("_m"))
+    group = lambda i: F.get("_m", F.floor(i / per).cast("int"))
+    scaled = F.transform(feats, lambda x, i: (x.cast("double") - group(i)["mean"]) / F.sqrt(group(i)["var"] + eps))
+    return df.join(listed, batch).withColumn(feats, scaled).drop("_m")
+
+
+def convolved(df: DataFrame, value: str, kernel: Column, batch: str = "batch_id") -> DataFrame:
+    """Per occupied cell the sum over its 27 neighbours of kernel * value; kernel is of dx, dy, dz, seen from the cell.
+
+    Each cell sends its share to 27 places, where shares combine before the shuffle; those that
+    reach no occupied cell are dropped by a join on the same keys.
+    """
+    sent = df.select(batch, *XYZ, value)
+    for a in XYZ:
+        sent = sent.withColumn(f"d{a}", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+    share = (kernel * F.col(value)).alias("_share")
+    sent = sent.select(batch, *((F.col(a) - F.col(f"d{a}")).alias(a) for a in XYZ), share)
+    return sent.groupBy(batch, *XYZ).agg(F.sum("_share").alias(value)).join(df.select(batch, *XYZ), [batch, *XYZ], "left_semi")

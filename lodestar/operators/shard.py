@@ -107,3 +107,29 @@ def chosen_views(key: Column, seed: str, n: int, k: int) -> Column:
 def latest_step(names: Column) -> Column:
     """The greatest step among checkpoint names such as denoiser_step0001000.pt (an aggregate)."""
     return F.max(F.regexp_extract(names, r"step(\d+)", 1).try_cast("bigint"))
+
+
+def cycled(df: DataFrame, key: str, seed: str, start: int, count: int) -> DataFrame:
+    """df with step, for steps [start, start + count) of an endless walk over epochs.
+
+    Each epoch is a permutation of its own, so (epoch, place) = divmod(start, rows) is all that a
+    resumed run needs. Only the epochs that the steps touch are dealt out.
+    """
+    n = df.count()
+    if not n or count < 1:
+        return df.withColumn("step", F.lit(None).cast("bigint")).where("false")
+    first, last = start // n, (start + count - 1) // n
+    rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    rows = rows.withColumn("_u", F.md5(F.concat_ws("|", F.lit(seed), F.col("epoch").cast("string"), F.col(key).cast("string"))))
+    rows = global_index(rows, [F.col("epoch"), F.col("_u"), F.col(key)], "step").withColumn("step", F.col("step") + first * n)
+    return rows.where(F.col("step").between(start, start + count - 1)).drop("_u", "epoch")
+
+
+def replaced(df: DataFrame, key: str, good: Column, seed: str) -> DataFrame:
+    """key, used: a row that can't be used gives its place to a good one, drawn by seed and key; null if there is none."""
+    rows = written(df.select(key, F.coalesce(good, F.lit(False)).alias("_good")), "replaced")
+    there = global_index(rows.where("_good").select(F.col(key).alias("_other")), [F.col("_other")], "_at")
+    n = rows.where("_good").count()
+    bad = rows.where("not _good").withColumn("_at", chosen_view(F.col(key), seed, F.lit(max(n, 1))).cast("bigint"))
+    kept = rows.where("_good").select(key, F.col(key).alias("used"))
+    return kept.unionByName(bad.join(there, "_at", "left").select(key, F.col("_other").alias("used")))

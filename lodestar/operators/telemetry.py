@@ -98,3 +98,18 @@ def ranks_disagree(df: DataFrame, rank: str, norm: str, tolerance: float = 1e-3)
     first = F.min_by(norm, rank)
     spread = F.greatest(F.abs(F.max(norm) - first), F.abs(F.min(norm) - first))
     return df.agg(first.alias("reference"), (spread / first).alias("off"), (spread / first > tolerance).alias("disagree"))
+
+
+def normal_angle(df: DataFrame, by: list[str], a: tuple[str, str, str], b: tuple[str, str, str]) -> DataFrame:
+    """by, angle: mean angle in degrees between normals stored as colours in 0..1; -1 where none has a length."""
+    u, v = ([F.col(c) * 2 - 1 for c in names] for names in (a, b))
+    dot = lambda x, y: sum((p * q for p, q in zip(x, y)), F.lit(0.0))
+    size = F.sqrt(dot(u, u)) * F.sqrt(dot(v, v))
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v) / (size + 1e-9)))
+    return df.groupBy(*by).agg(F.coalesce(F.avg(F.when(size > 1e-9, F.degrees(F.acos(cosine)))), F.lit(-1.0)).alias("angle"))
+
+
+def parameter_counts(df: DataFrame, shape: str, trainable: str) -> DataFrame:
+    """One row: the numbers of all and of trainable parameters of tensors given by their shapes."""
+    n = F.aggregate(shape, F.lit(1).cast("bigint"), lambda s, x: s * x)
+    return df.agg(F.sum(n).alias("n_params"), F.sum(F.when(F.col(trainable), n).otherwise(0)).alias("n_trainable"))

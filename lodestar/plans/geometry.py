@@ -197,7 +197,13 @@ def pca_color(t: Tables) -> DataFrame:
     return images.pca_colours(t.embeddings, "vec_id", "embedding")
 
 
-@query()
+@query("""
+WITH p AS (SELECT vec_id, unnest(embedding) AS a, unnest(range(0, len(embedding)))::INTEGER AS i FROM embeddings),
+b AS (SELECT vec_id, min(i % 8) FILTER (WHERE a > 0.25) AS x0, max(i % 8) FILTER (WHERE a > 0.25) AS x1,
+      min(i // 8) FILTER (WHERE a > 0.25) AS y0, max(i // 8) FILTER (WHERE a > 0.25) AS y1 FROM p GROUP BY vec_id)
+SELECT vec_id, x0, x1, y0::BIGINT AS y0, y1::BIGINT AS y1, (CASE WHEN x0 IS NULL THEN 8 ELSE least(x0, y0, 7 - x1, 7 - y1) END)::BIGINT AS border,
+       x0 IS NOT NULL AND least(x0, y0, 7 - x1, 7 - y1) <= 0 AS touches, x0 IS NULL OR least(x0, y0, 7 - x1, 7 - y1) > 1 AS too_far FROM b
+""")
 def alpha_boxes(t: Tables) -> DataFrame:
     """The bounding box of each small image's bright pixels and its distance to the border."""
-    return images.alpha_box(t.embeddings.select("vec_id", "embedding"), "vec_id", "embedding", 8, 0.0)
+    return images.alpha_box(t.embeddings.select("vec_id", "embedding"), "vec_id", "embedding", 8, 0.25, far=1)
