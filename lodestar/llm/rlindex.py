@@ -246,7 +246,9 @@ def repeated_marks(texts: DataFrame, tables: SharedTables, length: int, gram: in
     place = F.min(F.struct("node", "first", "windows")).alias("place")
     distinct = contested.groupBy("anchor", "digest").agg(F.count("*").alias("n"), place)
     distinct = tables.write(distinct.select("anchor", "digest", "n", "place.*"), "distinct")
-    often = distinct.where("n > 1").select("anchor", "digest")
+    # a table of its own has its true size: small, it is sent to the rows, and a digest that very many
+    # rows share isn't dealt out by key; large, Spark splits such a key when it joins
+    often = tables.write(distinct.where("n > 1").select("anchor", "digest"), "often")
     copied = contested.join(often, ["anchor", "digest"], "left_semi").select("node", F.col("first").alias("start"), _end("first", "windows", length))
     crowded = distinct.groupBy("anchor").agg(F.count("*").alias("different")).where(F.col("different") > most).select("anchor")
     crowded = tables.write(crowded, "crowded")
