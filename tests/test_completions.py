@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.functions import flow
+from lodestar.functions import flow, text
+from lodestar.functions import geometry as g
 from lodestar.operators import images, ragged, shard
 from lodestar.operators import telemetry as tm
 from lodestar.sources import datasets
@@ -49,3 +50,18 @@ def test_rotation_keeps_lengths(spark):
 def test_unknown_dataset():
     with pytest.raises(KeyError, match="no dataset 'nothing'"):
         datasets.named("nothing")
+
+
+def test_normals_look_away_from_the_origin(spark):
+    c = lambda *v: [F.lit(float(x)) for x in v]
+    for corners in ((c(0, 0, 2), c(1, 0, 2), c(0, 1, 2)), (c(0, 0, 2), c(0, 1, 2), c(1, 0, 2))):
+        assert spark.range(1).select(*g.face_normal(*corners)).first() == (0.0, 0.0, 1.0)
+    below = spark.range(1).select(*g.face_normal(c(0, 0, -2), c(1, 0, -2), c(0, 1, -2))).first()
+    assert below[2] == -1.0
+
+
+def test_leaves_of_records(spark):
+    df = spark.createDataFrame([(1, '{"a": 1, "b": {"c": 5}}'), (2, '{"a": 7}'), (3, "{}")], "i int, r string")
+    small = lambda x: x < 3
+    rows = df.select("i", text.any_leaf(F.col("r"), small).alias("some"), text.all_leaves(F.col("r"), small).alias("every")).collect()
+    assert {r.i: (r.some, r.every) for r in rows} == {1: (True, False), 2: (False, False), 3: (False, True)}
