@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, mixing, omh, pii, rlindex, secrets, tokencount, tokenfile, topk, toxicity
+from lodestar.llm import centroids, decontaminate, mixing, omh, pii, rlindex, secrets, tokencount, tokenfile, topk, toxicity, vectorcodes, warc
 from lodestar.llm.common import SharedTables
 
 
@@ -55,10 +55,24 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
 
+def op11_elkan_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = SharedTables(spark, "warc")
+    warc.write_records(_table(spark, sf_dir, "pages"), tables)
+    return warc.page_records(warc.read_records(spark, tables.path("archives")))
+
+
 def queries() -> dict:
-    found = (op1_secret_scan, op2_toxicity, op3_order_minhash, op4_personal_data, op5_run_length_index, op6_benchmark_leaks, op7_exact_top_k, op8_token_counts, op9_token_files, op10_pareto_mix)
+    found = (op1_secret_scan, op2_toxicity, op3_order_minhash, op4_personal_data, op5_run_length_index, op6_benchmark_leaks, op7_exact_top_k, op8_token_counts, op9_token_files, op10_pareto_mix, op11_elkan_clusters, op12_vector_codes, op13_warc_records)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": topk.ORACLE_SQL, "op10_pareto_mix": mixing.ORACLE_SQL}
+    return {"op7_exact_top_k": topk.ORACLE_SQL, "op10_pareto_mix": mixing.ORACLE_SQL, "op11_elkan_clusters": centroids.oracle_sql(), "op12_vector_codes": vectorcodes.oracle_sql(), "op13_warc_records": warc.ORACLE_SQL}
