@@ -124,13 +124,49 @@ class Numbers:
         self.size += len(keys)
 
 
+def _before(sizes: np.ndarray) -> np.ndarray:
+    """Where each of some runs begins, one after another."""
+    return np.cumsum(sizes) - sizes
+
+
+class Pool:
+    """Runs of values, one after another, by number; arrays grow by doubling."""
+
+    def __init__(self, dtype: type) -> None:
+        self.values, self.ends = np.zeros(1 << 20, dtype), np.zeros(1 << 18, np.int64)
+        self.n, self.used = 0, 0
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        while len(self.values) < self.used + len(values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        while len(self.ends) < self.n + len(sizes) + 1:
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.values[self.used : self.used + len(values)] = values
+        self.ends[self.n + 1 : self.n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.n, self.used = self.n + len(sizes), self.used + len(values)
+
+    def with_more(self, values: np.ndarray, sizes: np.ndarray) -> Pool:
+        """Another pool that has further runs after these."""
+        out = object.__new__(Pool)
+        out.values = np.concatenate([self.values[: self.used], values])
+        out.ends = np.concatenate([self.ends[: self.n + 1], self.used + np.cumsum(sizes)])
+        out.n, out.used = self.n + len(sizes), self.used + len(values)
+        return out
+
+    def places(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Beginning and length of the runs of those numbers."""
+        begin = self.ends[number]
+        return begin, self.ends[number + 1] - begin
+
+
 class Encoder:
     """Texts to ids by the tokenizers library, unit by unit, on whole Arrow columns.
 
-    Units are told apart by 64-bit hashes of their bytes, found for a whole column at once.
-    New ones are encoded, run together, by one call of the library; the ids of a run are cut
-    at the units' ends by the byte lengths of the tokens. Up to `limit` units are remembered;
-    later ones are known during their batch alone.
+    Units are found by 64-bit hashes, for a whole column at once, and compared byte by byte with the
+    unit that was remembered under the hash; those that differ from it are encoded on their own. New
+    ones are encoded, run together, by one call of the library; the ids of a run are cut
+    at the units' ends by the byte lengths of the tokens. Up to `limit` units are remembered, with their
+    bytes; later ones are known during their batch alone.
     """
 
     #: Units encoded as one text.
@@ -150,9 +186,7 @@ class Encoder:
         self.near = self._drawn(byte, at)
         self.known = Numbers(limit)
         self.limit = limit
-        self.pool = np.zeros(1 << 20, self.dtype)  # ids of the remembered units, one after another
-        self.ends = np.zeros(1 << 18, np.int64)
-        self.n_pool = 0
+        self.pool, self.letters = Pool(self.dtype), Pool(np.uint8)  # ids and bytes of the remembered units
 
     #: Places within a unit whose numbers are looked up.
     NEAR = 64
@@ -162,8 +196,7 @@ class Encoder:
         return mix64(self.letter[byte] ^ (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Sums of the numbers drawn for (byte, place): no rule ties two places, as powers of a base do,
-        so that no two units collide but by chance."""
+        """Sums of the numbers drawn for (byte, place). Units with equal sums can be made: they only find a place to compare."""
         at = np.arange(len(data)) - np.repeat(starts, ends - starts)
         drawn = self.near[(np.minimum(at, self.NEAR - 1) << 8) | data]
         far = np.flatnonzero(at >= self.NEAR)
@@ -192,16 +225,13 @@ class Encoder:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.concatenate([*ids, np.zeros(0, self.dtype)]), sizes
 
-    def _remember(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, used = self.known.size, self.n_pool
-        while len(self.pool) < used + len(ids):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while len(self.ends) < n + len(sizes) + 1:
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.pool[used : used + len(ids)] = ids
-        self.ends[n + 1 : n + 1 + len(sizes)] = used + np.cumsum(sizes)
-        self.known.add(hashes)
-        self.n_pool = used + len(ids)
+    @staticmethod
+    def _differing(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, letters: np.ndarray, begin: np.ndarray, known_sizes: np.ndarray) -> np.ndarray:
+        """Which units aren't, byte by byte, the ones that were remembered under their hashes."""
+        at = np.arange(len(data)) + np.repeat(begin - starts, sizes)
+        np.minimum(at, len(letters) - 1, out=at)  # only beyond a unit of another length
+        wrong = np.flatnonzero(letters[at] != data)
+        return np.union1d(np.searchsorted(starts, wrong, side="right") - 1, np.flatnonzero(sizes != known_sizes))
 
     def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another (end_id after each), and how many each has."""
@@ -217,18 +247,28 @@ class Encoder:
         distinct, first, of = np.unique(self._hashes(data, starts, ends), return_index=True, return_inverse=True)
         number = self.known.find(distinct)
         new = np.flatnonzero(number < 0)
-        ids, sizes = self._encode_units(data, starts[first[new]], ends[first[new]])
+        first = first[new]
+        ids, sizes = self._encode_units(data, starts[first], ends[first])
+        raw = data[np.arange((ends - starts)[first].sum()) + np.repeat(starts[first] - _before((ends - starts)[first]), (ends - starts)[first])]
+        pools = self.pool, self.letters
+        number[new] = np.arange(self.known.size, self.known.size + len(new))
         if self.known.size + len(new) <= self.limit:
-            number[new] = np.arange(self.known.size, self.known.size + len(new))
-            self._remember(distinct[new], ids, sizes)
-            pool, begin, size = self.pool, self.ends[number], self.ends[number + 1] - self.ends[number]
-        else:
-            pool = np.concatenate([self.pool[: self.n_pool], ids])
-            old = number >= 0
-            begin, size = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
-            begin[old], size[old] = self.ends[number[old]], self.ends[number[old] + 1] - self.ends[number[old]]
-            begin[new], size[new] = self.n_pool + np.cumsum(sizes) - sizes, sizes
-        begin, size = begin[of], size[of]
+            self.known.add(distinct[new])
+            self.pool.add(ids, sizes)
+            self.letters.add(raw, (ends - starts)[first])
+        else:  # known during this batch alone
+            pools = self.pool.with_more(ids, sizes), self.letters.with_more(raw, (ends - starts)[first])
+        begin, size = pools[0].places(number[of])
+        pool = pools[0].values
+        odd = self._differing(data, starts, ends - starts, pools[1].values, *pools[1].places(number[of]))
+        if len(odd):
+            # each different one once
+            places: dict[bytes, int] = {}
+            of_odd = [places.setdefault(data[a:b].tobytes(), len(places)) for a, b in zip(starts[odd].tolist(), ends[odd].tolist())]
+            one = np.array(odd)[np.unique(of_odd, return_index=True)[1]]
+            ids, sizes = self._encode_units(data, starts[one], ends[one])
+            begin[odd], size[odd] = len(pool) + _before(sizes)[of_odd], sizes[of_odd]
+            pool = np.concatenate([pool, ids])
         after = np.cumsum(size)
         out = pool[np.repeat(begin - (after - size), size) + np.arange(after[-1])]
         # the number of ids before each text's first unit

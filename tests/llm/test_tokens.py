@@ -42,6 +42,27 @@ def test_units_made_to_collide_are_told_apart(lead):
         assert [encoder.ids(t).tolist() for t in texts] == want
 
 
+#: Two units whose sums are equal, found by a search of four lists.
+PAIR = ["ebwtehhfivgvhejxdjozcjsbkdbjcrdh", "kplanprlufarykzeglnemyunpzosnpii"]
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_units_of_equal_hashes_have_their_own_ids(limit, monkeypatch):
+    encoder = tokens.Encoder(tokens.default_path(), limit)
+    a, b = (np.frombuffer(x.encode(), np.uint8) for x in PAIR)
+    one = lambda x: encoder._hashes(x, np.array([0]), np.array([32]))[0]
+    assert one(a) == one(b)  # or the pair shows nothing
+    want = lambda texts: [encoder.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.encode_column(pa.array(PAIR))[0].tolist() == sum(want(PAIR), [])
+    assert [encoder.ids(t).tolist() for t in [*PAIR[::-1], *PAIR]] == want([*PAIR[::-1], *PAIR])
+    monkeypatch.setattr(tokens.Encoder, "_hashes", lambda self, data, starts, ends: np.full(len(starts), 5, np.uint64))
+    constant, texts = tokens.Encoder(tokens.default_path(), limit), random_texts(300, 14, 4)
+    for at in range(0, len(texts), 50):
+        some = texts[at : at + 50]
+        ids, sizes = constant.encode_column(pa.array(some))
+        assert ids.tolist() == sum(want(some), []) and sizes.tolist() == list(map(len, want(some)))
+
+
 def test_pretokens_are_the_librarys():
     pre = tokens.PreTokens(tokens.default_path())
     for text in random_texts(2000, 14, 2):
