@@ -18,6 +18,11 @@ from lodestar.sources.scratch import written
 _WITHIN = (1 << 33) - 1
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
     """df in ranges of the order, written once, with each row's range and place in it.
 
@@ -25,7 +30,7 @@ def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
     they are drawn once, and counts and rows read the table that came of it.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.struct(df.columns).alias("row"), F.monotonically_increasing_id().alias("at"))
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.struct(*map(quoted, df.columns)).alias("row"), F.monotonically_increasing_id().alias("at"))
     rows = written(rows, "ranges")
     return rows.select("row", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit(_WITHIN)).alias("place"))
 
@@ -45,7 +50,7 @@ def global_index(df: DataFrame, order: list[Column], name: str = "i") -> DataFra
 
 def running_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
     """Adds the sum of the value up to and with each row, in two levels as global_index does."""
-    rows = _ranged(df, order).withColumn("n", F.col(f"row.{value}"))
+    rows = _ranged(df, order).withColumn("n", F.col("row")[value])
     before = _before(rows.groupBy("part").agg(F.sum("n").alias("n")), "n")
     within = F.sum("n").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("within", within).join(before, "part").select("row.*", (F.col("before") + F.col("within")).alias(name))
