@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.plans import base, completions, files, further, geometry, registry, sparse, streams, telemetry  # noqa: F401  registration
+from lodestar.plans import base, completions, entities, files, further, geometry, registry, sparse, streams, telemetry  # noqa: F401  registration
 
 
 def queries() -> dict:
