@@ -316,3 +316,21 @@ def convolved(df: DataFrame, value: str, kernel: Column, batch: str = "batch_id"
     share = (kernel * F.col(value)).alias("_share")
     sent = sent.select(batch, *((F.col(a) - F.col(f"d{a}")).alias(a) for a in XYZ), share)
     return sent.groupBy(batch, *XYZ).agg(F.sum("_share").alias(value)).join(df.select(batch, *XYZ), [batch, *XYZ], "left_semi")
+
+
+def trilinear(points: DataFrame, cells: DataFrame, keys: list[str], batch: str, value: str) -> DataFrame:
+    """keys, value: a cell attribute at points (columns batch, px, py, pz), between the centres x, y, z of eight cells.
+
+    A corner without a cell, inside or beyond the grid, has no weight; the weights of those that are there are made to sum to
+    1. A point all of whose corners that have a weight are missing has null.
+    """
+    low = {a: F.floor(F.col(f"p{a}")) for a in "xyz"}
+    near = points.select(*keys, batch, *(c.cast("int").alias(a) for a, c in low.items()), *((F.col(f"p{a}") - c).alias(f"_w{a}") for a, c in low.items()))
+    corner = F.explode(F.array(*(F.struct(*(F.lit(k >> j & 1).alias(a) for j, a in enumerate("xyz"))) for k in range(8))))
+    weight = lambda a: F.when(F.col(f"_k.{a}") == 1, F.col(f"_w{a}")).otherwise(1 - F.col(f"_w{a}"))
+    corners = near.withColumn("_k", corner).withColumn("_w", weight("x") * weight("y") * weight("z"))
+    at = corners.select(*keys, "_w", F.col(batch).alias("_b"), *((F.col(a) + F.col(f"_k.{a}")).alias(f"_{a}") for a in "xyz"))
+    there = cells.select(F.col(batch).alias("_b"), *(F.col(a).alias(f"_{a}") for a in "xyz"), F.col(value).alias("_v"))
+    found = at.join(there, ["_b", "_x", "_y", "_z"], "left")
+    weights = F.sum(F.when(F.col("_v").isNotNull(), F.col("_w")))
+    return found.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(weights, F.lit(0.0))).alias(value))

@@ -7,10 +7,13 @@ row per part) are accumulated.
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.sources.readers import exists
 from lodestar.sources.scratch import written
 
 
@@ -87,17 +90,51 @@ def lpt_pack(df: DataFrame, batch: str, item: str, load: str, bins: int, equal_s
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([load, item], ascending=[False, False], kind="stable")
         most = -(-len(rows) // bins) if equal_size else len(rows)
-        loads, sizes, where = [0] * bins, [0] * bins, []
+        heap, sizes, where = [(0, b) for b in range(bins)], [0] * bins, []
         for x in rows[load]:
-            b = min((i for i in range(bins) if sizes[i] < most), key=lambda i: (loads[i], i))
-            loads[b] += x
+            filled, b = heap[0]
             sizes[b] += 1
+            if sizes[b] < most:
+                heapq.heapreplace(heap, (filled + x, b))
+            else:  # full bins take no more
+                heapq.heappop(heap)
             where.append(b)
         return rows.assign(bin=where)[[batch, item, load, "bin"]]
 
     return df.select(batch, item, F.col(load).cast("bigint").alias(load)).groupBy(batch).applyInPandas(pack, schema)
 
 
+def balanced_epoch(df: DataFrame, key: str, load: str, seed: str, epoch: int, world: int, size: int) -> DataFrame:
+    """key, i, batch, rank: one epoch, in which each global batch of world * size samples is packed by load.
+
+    The epoch is a permutation of its own; its first samples come again at its end until every rank has as
+    many. Every rank gets `size` samples of a batch, of about equal load; a last batch that isn't whole is left out.
+    """
+    rows = df.select(key, load, F.md5(F.concat_ws("|", F.lit(seed), F.lit(str(epoch)), F.col(key).cast("string"))).alias("_u"))
+    rows = global_index(rows, [F.col("_u"), F.col(key)], "_i").drop("_u")
+    n = rows.count()
+    total = n + epoch_padding(n, world)
+    # a sample's places: its own, and that of the padding if it is among the first
+    padded = rows.withColumn("i", F.explode(F.sequence("_i", F.lit(max(total - 1, 0)), F.lit(max(n, 1))))).drop("_i")
+    whole = padded.withColumn("batch", F.floor(F.col("i") / (world * size))).where(F.col("batch") < total // (world * size))
+    packed = lpt_pack(whole, "batch", "i", load, world, equal_size=True).withColumnRenamed("bin", "rank")
+    return whole.select(key, "i").join(packed.select("i", "batch", "rank"), "i").select(key, "i", "batch", "rank")
+
+
+def save_cursor(spark: SparkSession, path: str, step: int, rows: int) -> None:
+    """The place of an endless walk as a table of one row; it replaces the one before."""
+    epoch, place = divmod(step, max(rows, 1))
+    spark.createDataFrame([(epoch, place)], "epoch bigint, place bigint").coalesce(1).write.mode("overwrite").json(path)
+
+
+def saved_cursor(spark: SparkSession, path: str, rows: int) -> int:
+    """The step to go on from; 0 without a saved one."""
+    if not exists(spark, path):
+        return 0
+    epoch, place = spark.read.schema("epoch bigint, place bigint").json(path).first()
+    return epoch * rows + place
+
+
 def chosen_view(key: Column, seed: str, n: Column) -> Column:
     """One of n views per key, uniform and the same on every run."""
     return F.pmod(F.conv(F.substring(uniform_key(key, seed), 1, 15), 16, 10).cast("bigint"), n).cast("int")

@@ -2,34 +2,95 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import multiprocessing
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructType, _parse_datatype_string
 
+Func = Callable[[dict], dict | None]
 
-def per_row(df: DataFrame, key: str, func: Callable[[dict], dict | None], schema: str) -> DataFrame:
+
+def tried(func: Func, row: dict) -> tuple[dict | None, str | None]:
+    """What func gives for a row, and the error's type and text if it raises."""
+    try:
+        return func(row), None
+    except Exception as e:  # noqa: BLE001  whatever a row's function raises is that row's result
+        return None, f"{type(e).__name__}: {e}"
+
+
+class Child:
+    """A process of its own that func runs in. A row that takes too long, or ends the process, costs this
+    process and no other row: the next row gets a fresh one. It is a fork: func must not count on threads of the task."""
+
+    def __init__(self, func: Func, timeout: float) -> None:
+        self.func, self.timeout, self.process = func, timeout, None
+
+    def _start(self) -> None:
+        fork = multiprocessing.get_context("fork")  # func needs no pickling
+        self.ours, theirs = fork.Pipe()
+        self.process = fork.Process(target=self._serve, args=(self.ours, theirs), daemon=True)
+        self.process.start()
+        theirs.close()
+
+    def _serve(self, ours, theirs) -> None:
+        ours.close()  # so that the end of the worker is the end of its child
+        try:
+            while True:
+                theirs.send(tried(self.func, theirs.recv()))
+        except (EOFError, OSError):
+            pass
+
+    def __call__(self, row: dict) -> tuple[dict | None, str | None]:
+        if self.process is None:
+            self._start()
+        try:
+            self.ours.send(row)
+            if self.ours.poll(self.timeout):
+                return self.ours.recv()
+            error = f"TimeoutError: no result after {self.timeout:g} s"
+        except (EOFError, OSError):
+            self.process.join(self.timeout)
+            error = f"ProcessError: the process ended with {self.process.exitcode}"
+        self.end()
+        return None, error
+
+    def end(self) -> None:
+        """Ends the process, whatever it is doing."""
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.ours.close()
+            self.process = None
+
+
+def per_row(df: DataFrame, key: str, func: Func, schema: str, timeout: float | None = None) -> DataFrame:
     """key, the columns of schema as func(row) gives them, and error.
 
     A row for which func gives None has no result row. One that raises has nulls and the error's type
-    and text. Rows are handled one by one, in Arrow batches, wherever the table's partitions are.
+    and text. With a timeout in seconds, func runs in a child of the task, and a row that hangs or that ends the
+    process is an error row too. Rows are handled one by one, in Arrow batches, wherever the table's partitions are.
     """
     result = _parse_datatype_string(schema)
     out = StructType([df.schema[key], *result.fields]).add("error", StringType())
     arrow, names = to_arrow_schema(out), [f.name for f in result.fields]
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                try:
-                    found = func(row)
-                    if found is not None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        child = Child(func, timeout) if timeout else None
+        try:
+            for batch in batches:
+                rows = []
+                for row in batch.to_pylist():
+                    found, error = child(row) if child else tried(func, row)
+                    if error is not None:
+                        rows.append({key: row[key], **dict.fromkeys(names), "error": error})
+                    elif found is not None:
                         rows.append({key: row[key], **{n: found.get(n) for n in names}, "error": None})
-                except Exception as e:  # noqa: BLE001  whatever a row's function raises is that row's result
-                    rows.append({key: row[key], **dict.fromkeys(names), "error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        finally:
+            if child:
+                child.end()
 
     return df.mapInArrow(run, out)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import flow, geometry, text
-from lodestar.operators import ragged, select, shard
+from lodestar.operators import ragged, records, select, shard, worker
 from lodestar.operators import telemetry as tm
 from lodestar.plans.base import Tables, query
 from lodestar.plans.sparse import _CELLS, _cells, _rounded
@@ -177,3 +181,60 @@ def dataset_hooks(t: Tables) -> DataFrame:
     datasets.register("pages", datasets.Dataset(read("pages"), collate=lambda d: d.select(F.col("page_id").alias("key"))))
     one, two = (datasets.named(n).samples(t.spark, t.folder).select(F.lit(n).alias("dataset"), "key") for n in ("labelled", "pages"))
     return one.unionByName(two)
+
+
+@query("""
+WITH r AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations), e AS (
+  SELECT conv_id, turn, unnest([{'path': 'a.turn', 'leaf': turn::VARCHAR}, {'path': 'a.b.role', 'leaf': role}, {'path': 'a.b.c.d.e.n', 'leaf': n::VARCHAR},
+    {'path': 'a.b.c.list', 'leaf': '[' || turn || ',{"x":' || n || '}]'}, {'path': 'a.b.gone', 'leaf': NULL}, {'path': 'top', 'leaf': (n % 3)::VARCHAR}]) AS x FROM r)
+SELECT conv_id, turn, x.path AS path, x.leaf AS leaf FROM e
+""")
+def deep_leaves(t: Tables) -> DataFrame:
+    """Records six deep; arrays are leaves, empty objects have none."""
+    n = F.length("text")
+    b = F.concat(F.lit('{"role":'), F.to_json(F.array("role")).substr(F.lit(2), F.length(F.to_json(F.array("role"))) - 2), F.lit(',"empty":{},"gone":null,"c":{"list":['), F.col("turn"),
+                 F.lit(',{"x":'), n, F.lit('}],"d":{"e":{"n":'), n, F.lit("}}}}"))
+    record = F.concat(F.lit('{"a":{"turn":'), F.col("turn"), F.lit(',"b":'), b, F.lit('},"top":'), n % 3, F.lit("}"))
+    found = records.leaves(t.conversations.select("conv_id", "turn", record.alias("record")), ["conv_id", "turn"], "record")
+    return found.select("conv_id", "turn", "path", F.try_variant_get("leaf", "$", "string").alias("leaf"))
+
+
+@query("""
+WITH r AS (SELECT event_id, value AS a, user_id % 3 AS b, event_id % 4 AS c, event_id % 2 AS d FROM events)
+SELECT event_id, a < 10 OR b < 1 OR c < 1 OR d < 1 AS some, a < 10 AND b < 1 AND c < 1 AND d < 1 AS every FROM r
+""")
+def deep_leaf_tests(t: Tables) -> DataFrame:
+    """Numbers at four depths, one of them in an array."""
+    value, k = F.col("value"), F.col("event_id")
+    record = F.concat(F.lit('{"a":'), value - 9, F.lit(',"x":{"b":'), F.col("user_id") % 3, F.lit(',"y":{"z":['), k % 4, F.lit(',{"d":'), k % 2, F.lit("}]}}}"))
+    found = records.leaves(t.events.where("value IS NOT NULL").select("event_id", record.alias("record")), ["event_id"], "record", enter_arrays=True)
+    return records.leaf_tests(found, ["event_id"], lambda leaf: records.number() < 1)
+
+
+@query("""
+WITH k AS (SELECT event_id, (props->>'k')::BIGINT AS k FROM events)
+SELECT event_id, CASE WHEN event_id % 499 <> 7 AND event_id % 499 <> 13 THEN k END AS k,
+  CASE event_id % 499 WHEN 7 THEN 'TimeoutError: no result after 0.5 s' WHEN 13 THEN 'ProcessError: the process ended with 3' END AS error FROM k
+""")
+def row_worker_timeout(t: Tables) -> DataFrame:
+    """Some rows hang and some end their process; all others have their results."""
+
+    def parse(row: dict) -> dict:
+        if row["event_id"] % 499 == 7:
+            time.sleep(3600)
+        if row["event_id"] % 499 == 13:
+            os._exit(3)
+        return {"k": json.loads(row["props"])["k"]}
+
+    return worker.per_row(t.events.select("event_id", "props"), "event_id", parse, "k bigint", timeout=0.5)
+
+
+@query(f"""WITH {_CELLS}, k AS (SELECT dx, dy, dz, (CASE dx WHEN 1 THEN 0.25 ELSE 0.75 END * 0.5 * CASE dz WHEN 1 THEN 0.75 ELSE 0.25 END)::DOUBLE AS w FROM range(2) a(dx), range(2) b(dy), range(2) d(dz))
+SELECT p.batch_id, p.x, p.y, p.z, round(sum(w * c.f) / sum(w), 5) AS f FROM c p, k JOIN c ON c.batch_id = p.batch_id AND c.x = p.x + dx AND c.y = p.y + dy AND c.z = p.z + dz GROUP BY ALL""")
+def trilinear_query(t: Tables) -> DataFrame:
+    """A cell's attribute a quarter, a half and three quarters of the way to the next cells."""
+    cells = _cells(t)
+    at = {"px": F.col("x") + 0.25, "py": F.col("y") + 0.5, "pz": F.col("z") + 0.75}
+    points = cells.withColumns(at).select("batch_id", "x", "y", "z", *at)
+    named = points.withColumn("k", F.struct("batch_id", "x", "y", "z")).select("k", "batch_id", *at)
+    return ragged.trilinear(named, cells, ["k"], "batch_id", "f").select("k.*", F.round("f", 5).alias("f"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import flow, geometry, text
 from lodestar.operators import merge, ragged, select, worker
 from lodestar.plans.base import Tables, query
-from lodestar.sources import readers, sinks
+from lodestar.sources import entity_files, readers, sinks
 from lodestar.sources.scratch import shared_folder
 
 
@@ -30,13 +30,18 @@ def missing_tables(t: Tables) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-@query("SELECT 'row' AS kind, s_suppkey AS id FROM supplier UNION ALL SELECT 'skipped file', 1")
+@query("SELECT 'row' AS kind, s_suppkey AS id FROM supplier UNION ALL SELECT 'skipped b/part 0.parquet', 1")
 def tolerant_parts(t: Tables) -> DataFrame:
+    """A good part, a broken one of the same name, and a part without rows."""
     path, schema = shared_folder(t.spark, "parts"), "s_suppkey bigint, s_name string"
-    sinks.write_table(t.supplier.select("s_suppkey", "s_name"), f"{path}/good")
-    t.spark.range(1).select(F.lit("no table").alias("value")).coalesce(1).write.text(f"{path}/bad")
-    rows, skipped = readers.read_parts(t.spark, [f"{path}/good", f"{path}/bad"], schema)
-    return rows.select(F.lit("row").alias("kind"), F.col("s_suppkey").alias("id")).unionAll(skipped.groupBy(F.lit("skipped file").alias("kind")).agg(F.count("*").alias("id")))
+    rows = t.supplier.select("s_suppkey", "s_name").coalesce(1)
+    contents = readers.contents_of(t.spark, rows, f"{path}/made/all"), readers.contents_of(t.spark, rows.where("false"), f"{path}/made/none")
+    broken = t.spark.range(1).select(F.lit(b"no table").alias("content"))
+    for folder, content in (("a", contents[0]), ("b", broken), ("c", contents[1])):
+        entity_files.write_files(content.select(F.lit(f"{folder}/part 0.parquet").alias("name"), "content"), f"{path}/parts", "name", "content")
+    found, skipped = readers.read_parts(t.spark, [f"{path}/parts/*/{folder}" for folder in "abc"], schema)
+    told = skipped.groupBy(F.concat(F.lit("skipped "), F.regexp_extract("path", "[^/]+/[^/]+$", 0)).alias("kind")).agg(F.count("*").alias("id"))
+    return found.select(F.lit("row").alias("kind"), F.col("s_suppkey").alias("id")).unionAll(told)
 
 
 @query("""

@@ -56,13 +56,14 @@ def voxel_offsets(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE r AS (SELECT i, i AS rest, 0.0::DOUBLE AS v, 0.5::DOUBLE AS unit FROM range(0, 256) t(i)
+WITH RECURSIVE r AS (SELECT event_id AS i, event_id AS rest, 0.0::DOUBLE AS v, 0.5::DOUBLE AS unit FROM events
   UNION ALL SELECT i, rest // 2, v + (rest % 2) * unit, unit / 2 FROM r WHERE rest > 0)
-SELECT i, i / 256.0::DOUBLE AS u, max(v) AS v FROM r GROUP BY i
+SELECT i, i % 256 / 256.0::DOUBLE AS u, max(v) AS v FROM r GROUP BY i
 """)
 def hammersley_views(t: Tables) -> DataFrame:
-    u, v = g.hammersley(F.col("id"), 256)
-    return t.spark.range(256).select(F.col("id").alias("i"), u.alias("u"), v.alias("v"))
+    """Events as views: the first coordinate over rounds of 256, the second over all."""
+    i = F.col("event_id")
+    return t.events.select(i.alias("i"), g.hammersley(i % 256, 256)[0].alias("u"), g.hammersley(i, 256)[1].alias("v"))
 
 
 @query("""
@@ -167,9 +168,12 @@ def cfg_blend(t: Tables) -> DataFrame:
     return rows.select("vec_id", _flat(flow.guided(F.col("x0"), F.col("eps"), F.col("g"))).alias("v"))
 
 
-@query("SELECT i, round(5.0 * (1 - i / 12.0) / (1 + 4.0 * (1 - i / 12.0)), 9)::DOUBLE AS t FROM range(0, 13) r(i)")
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, (l_quantity % 13)::INTEGER AS i FROM lineitem)
+SELECT l_orderkey, l_linenumber, i, round(5.0 * (1 - i / 12.0) / (1 + 4.0 * (1 - i / 12.0)), 9)::DOUBLE AS t FROM r""")
 def euler_schedule(t: Tables) -> DataFrame:
-    return t.spark.range(13).select(F.col("id").alias("i"), F.round(flow.schedule(F.col("id"), 12, 5.0), 9).alias("t"))
+    """Lines at the steps 0 to 12 of a schedule."""
+    i = (F.col("l_quantity") % 13).cast("int")
+    return t.lineitem.select("l_orderkey", "l_linenumber", i.alias("i"), F.round(flow.schedule(i, 12, 5.0), 9).alias("t"))
 
 
 @query("""

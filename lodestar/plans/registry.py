@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as names
 from lodestar.operators import merge, select, shard, tasks
 from lodestar.plans.base import Tables, query
+from lodestar.sources.scratch import shared_folder
 from lodestar.sources import sinks
 from lodestar.sources.readers import stem
 
@@ -227,11 +228,48 @@ def epoch_permutation_resume(t: Tables) -> DataFrame:
     return rows.select("doc_id", "source", rank.alias("rank"), place.alias("place")).where("place > 9")
 
 
-@query()
+def _packing(rows: str, bins: int, most: str) -> str:
+    """CTEs of a greedy packing: rows has batch, item, load; each step gives the batch's next item to its least loaded open bin."""
+    return f"""o AS MATERIALIZED (SELECT batch, item, load, row_number() OVER (PARTITION BY batch ORDER BY load DESC, item DESC) AS i FROM {rows}),
+s AS (SELECT batch, 0::BIGINT AS i, NULL::BIGINT AS item, -1 AS bin, list_transform(range({bins}), lambda b: 0::BIGINT) AS loads, list_transform(range({bins}), lambda b: 0) AS sizes FROM o GROUP BY batch
+  UNION ALL SELECT batch, i, item, bin, list_transform(range({bins}), lambda b: loads[b + 1] + CASE WHEN b = bin THEN load ELSE 0 END), list_transform(range({bins}), lambda b: sizes[b + 1] + (b = bin)::INTEGER)
+  FROM (SELECT o.batch, o.i, o.item, o.load, s.loads, s.sizes, (list_position(e, list_min(e)) - 1)::INTEGER AS bin
+        FROM (SELECT *, list_transform(range({bins}), lambda b: CASE WHEN sizes[b + 1] < {most} THEN loads[b + 1] ELSE 1000000000000000 END) AS e FROM s) s JOIN o ON o.batch = s.batch AND o.i = s.i + 1))"""
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id // 256 AS batch, doc_id AS item, n_chars AS load FROM documents), {_packing("d", 4, "1000000000")}
+SELECT s.batch, s.item AS doc_id, load AS n_chars, bin FROM s JOIN o USING (batch, i)""")
 def lpt_pack(t: Tables) -> DataFrame:
     return shard.lpt_pack(t.documents.withColumn("batch", F.expr("doc_id div 256")), "batch", "doc_id", "n_chars", 4)
 
 
+@query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n, count(*) + (-count(*) % 3 + 3) % 3 AS total FROM documents),
+e AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY md5('5|2|' || doc_id::VARCHAR), doc_id) - 1 AS i FROM documents),
+p AS (SELECT doc_id, n_chars, i FROM e UNION ALL SELECT doc_id, n_chars, i + n FROM e, n WHERE i < total - n),
+d AS (SELECT i // 24 AS batch, i AS item, n_chars AS load, doc_id FROM p, n WHERE i // 24 < total // 24), {_packing("d", 3, "8")}
+SELECT doc_id, s.item AS i, s.batch, s.bin AS rank FROM s JOIN d ON d.item = s.item""")
+def balanced_epoch(t: Tables) -> DataFrame:
+    """Three ranks of eight samples each; the epoch is padded to whole ranks."""
+    return shard.balanced_epoch(t.documents, "doc_id", "n_chars", "5", 2, 3, 8)
+
+
+@query("""
+WITH n AS (SELECT count(*) AS n FROM documents), e AS (SELECT doc_id, e FROM documents, range(0, 2) t(e)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY e, md5('9|' || e::VARCHAR || '|' || doc_id::VARCHAR), doc_id) - 1 AS step FROM e)
+SELECT doc_id, step::BIGINT AS step, CASE WHEN step < n // 3 THEN 0 WHEN step < n THEN 1 ELSE 2 END AS run FROM r, n WHERE step < n + n // 2
+""")
+def resumed_walk(t: Tables) -> DataFrame:
+    """Three runs, each of which reads where the one before ended and saves where it ends itself."""
+    path, docs, out = shared_folder(t.spark, "cursor"), t.documents.select("doc_id"), None
+    n = docs.count()
+    for run, count in enumerate((n // 3, n - n // 3, n // 2)):
+        start = shard.saved_cursor(t.spark, path, n)
+        part = shard.cycled(docs, "doc_id", "9", start, count).withColumn("run", F.lit(run))
+        out = part if out is None else out.unionByName(part)
+        shard.save_cursor(t.spark, path, start + count, n)
+    return out
+
+
 @query("""
 WITH m AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)),
 s AS (SELECT count(*)::DOUBLE AS n_rows, count(quality)::DOUBLE AS n_quality, count(n_chars)::DOUBLE AS n_n_chars, count(*) FILTER (WHERE toxic = 1)::DOUBLE AS sum_is_toxic FROM m)
@@ -272,22 +310,27 @@ def content_sha256(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT spec, views FROM (VALUES ('0,1,2', [0, 1, 2]), ('0-5', [0, 1, 2, 3, 4, 5]), ('3,1-2,3', [1, 2, 3]), (' 4 , 2-2', [2, 4])) v(spec, views)
+WITH s AS (SELECT o_orderkey, o_orderkey % 7 AS a, o_custkey % 5 AS b, o_custkey % 5 + o_orderkey % 4 AS c FROM orders)
+SELECT o_orderkey, a || ', ' || b || '-' || c || ',' || a AS spec, list_transform(list_sort(list_distinct(list_append(range(b, c + 1), a))), lambda x: x::INTEGER) AS views FROM s
 """)
 def range_list_parse(t: Tables) -> DataFrame:
-    specs = t.spark.createDataFrame([("0,1,2",), ("0-5",), ("3,1-2,3",), (" 4 , 2-2",)], "spec string")
-    return specs.select("spec", names.range_list(F.col("spec")).alias("views"))
+    a, b, more = F.col("o_orderkey") % 7, F.col("o_custkey") % 5, F.col("o_orderkey") % 4
+    spec = F.concat(a.cast("string"), F.lit(", "), b.cast("string"), F.lit("-"), (b + more).cast("string"), F.lit(","), a.cast("string"))
+    specs = t.orders.select("o_orderkey", spec.alias("spec"))
+    return specs.select("o_orderkey", "spec", names.range_list(F.col("spec")).alias("views"))
 
 
 @query("""
-SELECT name, regexp_replace(name, '_\\d+$', '') AS kind, nullif(regexp_extract(name, '_(\\d+)$', 1), '')::INTEGER AS resolution,
-       regexp_matches(name, '_view(_fix)?(_\\d+)?$') AS by_view
-FROM (VALUES ('dual_grid_256'), ('dual_grid_view_512'), ('pbr_voxels_view_fix_1024'), ('renders_cond')) v(name)
-""".replace("\\\\", "\\"))
+WITH k AS (SELECT p_partkey, p_size, ['dual_grid', 'dual_grid_view', 'pbr_voxels_view_fix', 'renders_cond', 'viewer_3d'][p_partkey % 5 + 1] AS kind FROM part)
+SELECT p_partkey, kind || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '_' || p_size END AS name, kind, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS resolution, p_partkey % 5 IN (1, 2) AS by_view FROM k
+""")
 def dirname_classify(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("dual_grid_256",), ("dual_grid_view_512",), ("pbr_voxels_view_fix_1024",), ("renders_cond",)], "name string")
+    """Stage folders named after the parts, with a resolution for two of three."""
+    kinds = F.array(*map(F.lit, ("dual_grid", "dual_grid_view", "pbr_voxels_view_fix", "renders_cond", "viewer_3d")))
+    suffix = F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("_"), F.col("p_size").cast("string")))
+    rows = t.part.select("p_partkey", F.concat(F.element_at(kinds, (F.col("p_partkey") % 5 + 1).cast("int")), suffix).alias("name"))
     name = F.col("name")
-    return rows.select("name", names.folder_kind(name).alias("kind"), names.folder_resolution(name).alias("resolution"), names.is_view_folder(name).alias("by_view"))
+    return rows.select("p_partkey", "name", names.folder_kind(name).alias("kind"), names.folder_resolution(name).alias("resolution"), names.is_view_folder(name).alias("by_view"))
 
 
 @query("SELECT p_partkey, replace(p_name, ' ', '.cross_attn.') AS old_key, replace(p_name, ' ', '.proj_attn.') AS new_key FROM part")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import time
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,9 +26,11 @@ FORMAT = "entity_files"
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path as Spark writes it, and the path in it."""
-    path = re.sub(r"^file:/+", "file:///", path)
-    path = re.sub(r"^s3[an]://", "s3://", path)
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    scheme, _, rest = path.rpartition("://") if "://" in path else ("", "", re.sub(r"^file:", "", path))
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem(), rest
+    authority, _, inner = rest.partition("/")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{authority}/{urllib.parse.quote(inner)}")
 
 
 @dataclass

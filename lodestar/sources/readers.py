@@ -6,10 +6,16 @@ that a missing value behaves alike in every later comparison.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyarrow import parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
+from lodestar.sources.entity_files import opened
+
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN in float columns becomes NULL; Spark would else order it above every number."""
@@ -25,12 +31,54 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str, fmt: st
     return nan_to_null(reader.format(fmt).load(path))
 
 
+def _decoded(path: Column) -> Column:
+    """A file's path as text, from the form that row metadata have it in."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^([A-Za-z0-9]+):/+", "$1:/")
+
+
 def read_parts(spark: SparkSession, paths: list[str], schema: StructType | str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
-    """(rows, skipped): a table of many parts, and the files of which nothing could be read."""
-    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").format(fmt).load(paths)
-    there = spark.read.format("binaryFile").load(paths).select(F.col("path"))
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    return nan_to_null(rows), there.join(rows.select(name(F.input_file_name()).alias("name")).distinct(), name(F.col("path")) == F.col("name"), "left_anti")
+    """(rows, skipped): a table of many parts, and path and problem of the files that can't be read.
+
+    Files that gave no row are opened once more, each by a task of its own: a table without rows is fine, a broken
+    one is told with its error. Paths are compared whole.
+    """
+    load = lambda: spark.read.schema(schema).option("ignoreCorruptFiles", "true").format(fmt).load(paths)
+    full = F.regexp_replace("path", "^([A-Za-z0-9]+):/+", "$1:/")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(full.alias("path"))
+    gave = load().select(_decoded(F.col("_metadata.file_path")).alias("path")).distinct()
+    silent = there.where(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]")).join(gave, "path", "left_anti")
+    return nan_to_null(load()), silent.repartition("path").mapInArrow(_probe(fmt), "path string, problem string").where("problem IS NOT NULL")
+
+
+def _probe(fmt: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """path, problem: why a file can't be read; null if it can."""
+
+    def problem(path: str) -> str | None:
+        system, inner = opened(path)
+        try:
+            with system.open_input_file(inner) as stream:
+                if fmt == "parquet":
+                    parquet.ParquetFile(stream).close()
+                else:
+                    while stream.read(1 << 20):
+                        pass
+        except (OSError, pa.ArrowException) as e:
+            return f"{type(e).__name__}: {e}".splitlines()[0]
+        return None
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(map(problem, paths), pa.string())], names=["path", "problem"])
+
+    return probe
+
+
+def contents_of(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """The bytes of df as Parquet files, one row each."""
+    df.write.parquet(path)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("content")
 
 
 def listed_values(spark: SparkSession, path: str, column: str) -> DataFrame:
