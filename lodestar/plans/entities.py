@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.plans.base import Tables, query
-from lodestar.sources import arrays, entity_files, meshes
+from lodestar.sources import arrays, entity_files, meshes, pictures
 from lodestar.sources.scratch import shared_folder
 
 
@@ -93,3 +93,39 @@ def pbr_meshes(t: Tables) -> DataFrame:
     parts = faces.select("l_suppkey", "f_idx", F.posexplode(meshes.triangles(F.col("corners"))).alias("part", "c"))
     rough = vertices.select("l_suppkey", F.col("v_idx").alias("v0"), F.col("properties")["roughness"].cast("int").alias("roughness"))
     return parts.select("l_suppkey", "f_idx", "part", *(F.col("c")[i].alias(f"v{i}") for i in range(3))).join(rough, ["l_suppkey", "v0"])
+
+
+#: Vectors as images of 8 x 8 pixels: bytes of red, green, blue and alpha; alpha is 0 or 255.
+_IMAGES = """px AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, CASE WHEN v > 0.1 THEN 255 ELSE 0 END AS a,
+  [floor(least(greatest(v * 400 + 128, 0), 255)), (i * 3)::DOUBLE, (vec_id % 256)::DOUBLE] AS c
+  FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings))"""
+
+
+@query(f"""
+WITH {_IMAGES},
+b AS (SELECT vec_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM px WHERE a > 0 GROUP BY vec_id),
+q AS (SELECT vec_id, trunc((x0 + x1) / 2.0 - greatest(x1 - x0, y1 - y0) / 2.0)::INTEGER AS l, trunc((y0 + y1) / 2.0 - greatest(x1 - x0, y1 - y0) / 2.0)::INTEGER AS t,
+  trunc((x0 + x1) / 2.0 + greatest(x1 - x0, y1 - y0) / 2.0)::INTEGER AS r, trunc((y0 + y1) / 2.0 + greatest(x1 - x0, y1 - y0) / 2.0)::INTEGER AS d FROM b),
+n AS (SELECT DISTINCT r - l AS n FROM q UNION SELECT DISTINCT d - t FROM q),
+u AS (SELECT n, i, j, (j + 0.5 - (i + 0.5) * n / 5.0) / greatest(n / 5.0, 1.0) AS u FROM n, range(5) a(i), range(16) b(j) WHERE j < n),
+k AS (SELECT n, i, j, CASE WHEN u = 0 THEN 1.0::DOUBLE WHEN abs(u) < 3 THEN sin(pi() * u) / (pi() * u) * sin(pi() * u / 3) / (pi() * u / 3) ELSE 0.0 END AS w FROM u),
+m AS (SELECT n, i, j, w / sum(w) OVER (PARTITION BY n, i) AS w FROM k),
+s AS (SELECT q.vec_id, mx.i AS i, my.i AS j, ch, sum(mx.w * my.w * CASE ch WHEN 3 THEN px.a ELSE px.c[ch + 1] END) AS v
+  FROM q JOIN px USING (vec_id) JOIN m mx ON mx.n = r - l AND mx.j = px.x - l JOIN m my ON my.n = d - t AND my.j = px.y - t, range(4) c(ch)
+  GROUP BY q.vec_id, mx.i, my.i, ch),
+f AS (SELECT vec_id, i, j, ch, least(greatest(v, 0), 255) / 255 AS v FROM s)
+SELECT c.vec_id, (c.ch * 25 + c.j * 5 + c.i)::INTEGER AS place, round(c.v * a.v, 6) AS value FROM f c JOIN f a USING (vec_id, i, j) WHERE a.ch = 3 AND c.ch < 3
+""")
+def conditioning_images(t: Tables) -> DataFrame:
+    """Images are written as PNG files, read, cropped to what is visible, resized to 5 x 5 and multiplied by alpha."""
+    path = shared_folder(t.spark, "images")
+    v = lambda x: x.cast("double")
+    byte = lambda x: F.floor(F.least(F.greatest(v(x) * 400 + 128, F.lit(0.0)), F.lit(255.0)))
+    pixel = lambda x, i: F.array(byte(x), (i * 3).cast("bigint"), F.col("vec_id") % 256, F.when(v(x) > 0.1, F.lit(255)).otherwise(F.lit(0)).cast("bigint"))
+    images = t.embeddings.select("vec_id", F.flatten(F.transform("embedding", pixel)).alias("pixels"))
+    named = pictures.png_files(images, "vec_id", "pixels", 8).withColumn("name", F.concat(F.lit("image"), "vec_id", F.lit(".png")))
+    entity_files.write_files(named, path, "name", "png")
+    found = pictures.conditioning_images(entity_files.files_below(t.spark, path, "*.png"), 5)
+    fine = F.when(F.col("error").isNull(), F.col("pixels")).otherwise(F.raise_error("error").cast("array<double>"))
+    rows = found.select(F.regexp_extract("path", r"image(\d+)\.png$", 1).cast("bigint").alias("vec_id"), F.posexplode(fine).alias("place", "value"))
+    return rows.withColumn("value", F.round("value", 6))

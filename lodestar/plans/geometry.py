@@ -187,18 +187,56 @@ def cfg_dropout(t: Tables) -> DataFrame:
     return rows.select("vec_id", "label", "dropped", F.transform("embedding", lambda x: F.when(F.col("dropped"), 0.0).otherwise(x.cast("double"))).alias("kept"))
 
 
-@query()
+def _blurred(rows: str, axis: str, other: str) -> str:
+    """Sums along one axis of 8 pixels, zeros outside."""
+    sums = ", ".join(f"sum(w * {c}) AS {c}" for c in ("a", "b", "aa", "bb", "ab"))
+    return f"SELECT vec_id, {other}, {axis} + d AS {axis}, {sums} FROM {rows}, k WHERE {axis} + d BETWEEN 0 AND 7 GROUP BY vec_id, {other}, {axis} + d"
+
+
+@query(f"""
+WITH k AS (SELECT d, w / sum(w) OVER () AS w FROM (SELECT d, exp(-d * d / 4.5::DOUBLE) AS w FROM range(-5, 6) t(d))),
+e AS (SELECT x.vec_id, unnest(x.embedding)::DOUBLE AS a, unnest(y.embedding)::DOUBLE AS b, unnest(range(64)) AS i FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1),
+p AS (SELECT vec_id, i % 8 AS x, i // 8 AS y, a, b, a * a AS aa, b * b AS bb, a * b AS ab FROM e),
+h AS ({_blurred("p", "x", "y")}), v AS ({_blurred("h", "y", "x")})
+SELECT vec_id, round(avg((2 * a * b + 1e-4::DOUBLE) * (2 * (ab - a * b) + 9e-4::DOUBLE) / ((a * a + b * b + 1e-4::DOUBLE) * (aa - a * a + bb - b * b + 9e-4::DOUBLE))), 6) AS ssim FROM v GROUP BY vec_id
+""")
 def ssim(t: Tables) -> DataFrame:
     """Structural similarity of small grey images drawn from the embeddings, in Arrow batches."""
     a = t.embeddings.select("vec_id", F.col("embedding").alias("a"))
     b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
-    return images.ssim(a.join(b, "vec_id"), "vec_id", "a", "b", 8)
-
-
-@query()
+    return images.ssim(a.join(b, "vec_id"), "vec_id", "a", "b", 8).withColumn("ssim", F.round("ssim", 6))
+
+
+def _directions(n: int, squarings: int) -> str:
+    """CTEs d0 to d<n-1> (q, one row each): leading directions of the Gram matrix g (a list of rows), each by squaring what the ones before have left."""
+    out = ["g0 AS (SELECT g AS m FROM g)"]
+    for r in range(n):
+        out.append(f"p{r}_0 AS (SELECT m FROM g{r})")
+        for k in range(squarings):
+            size = "list_sum(list_transform(m, lambda a: list_dot_product(a, a)))"
+            out.append(f"p{r}_{k + 1} AS MATERIALIZED (SELECT list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / {size})) AS m FROM p{r}_{k})")
+        # every row of the power is a multiple of the direction; the one of greatest length is taken
+        out.append(f"""l{r} AS (SELECT row FROM (SELECT unnest(m) AS row FROM p{r}_{squarings}) ORDER BY list_dot_product(row, row) DESC LIMIT 1),
+s{r} AS (SELECT list_transform(row, lambda x: x / sqrt(list_dot_product(row, row))) AS q FROM l{r}),
+d{r} AS MATERIALIZED (SELECT list_transform(q, lambda x: x * sign(list_extract(q, list_position(list_transform(q, lambda y: abs(y)), list_max(list_transform(q, lambda y: abs(y))))))) AS q FROM s{r}),
+w{r} AS (SELECT q, m, list_dot_product(list_transform(m, lambda a: list_dot_product(a, q)), q) AS size FROM d{r}, g{r}),
+g{r + 1} AS MATERIALIZED (SELECT list_transform(list_zip(m, q), lambda a: list_transform(list_zip(a[1], q), lambda b: b[1] - size * a[2] * b[2])) AS m FROM w{r})""")
+    return ",\n".join(out)
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings),
+c AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM e a JOIN e b USING (vec_id) GROUP BY ALL),
+g AS MATERIALIZED (SELECT list(row ORDER BY i) AS g FROM (SELECT i, list(v ORDER BY j) AS row FROM c GROUP BY i)), {_directions(3, 14)},
+s AS (SELECT vec_id, [list_dot_product(v, d0.q), list_dot_product(v, d1.q), list_dot_product(v, d2.q)] AS s FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), d0, d1, d2),
+u AS (SELECT vec_id, unnest(s) AS s, unnest(range(3)) AS i FROM s),
+z AS (SELECT vec_id, i, (s - min(s) OVER (PARTITION BY i)) / nullif(max(s) OVER (PARTITION BY i) - min(s) OVER (PARTITION BY i), 0) AS z FROM u)
+SELECT vec_id, list(round(coalesce(z, 0), 5) + 0.0 ORDER BY i) AS colour FROM z GROUP BY vec_id
+""")
 def pca_color(t: Tables) -> DataFrame:
     """Three leading directions of the features as colours in 0..1."""
-    return images.pca_colours(t.embeddings, "vec_id", "embedding")
+    out = images.pca_colours(t.embeddings, "vec_id", "embedding")
+    return out.withColumn("colour", F.transform("colour", lambda x: F.round(x, 5) + 0.0))
 
 
 @query("""
