@@ -136,6 +136,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def by_place(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1, ..., and the new names of some: Spark's Arrow maps take no dots in names."""
+    places = {c.lower(): f"c{i}" for i, c in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [places[n.lower()] for n in names]
+
+
 class DataFrameSchema:
     """A DDL schema that gives its Arrow form inside tasks."""
 

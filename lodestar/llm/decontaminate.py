@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from lodestar.llm.common import WordHashes, bound_batches, fresh, input_columns, map_texts, mix64, shingle_hashes, slices
+from lodestar.llm.common import WordHashes, bound_batches, by_place, fresh, input_columns, map_texts, mix64, shingle_hashes, slices
 
 SCHEMA = "doc_id bigint, item_id bigint, n_shingles int, containment double"
 
@@ -144,16 +144,17 @@ def _flagged(docs: DataFrame, text_col: str, flag: str, items: Items, threshold:
     """docs with a column that tells whether the row's text holds an item."""
     bound_batches(docs.sparkSession)
     matcher = _matcher(items, threshold, hashes, words)
+    placed, (text,) = by_place(docs, text_col)
 
     def run(batches):
         match = matcher()
         for whole in batches:
-            for part in slices(whole, text_col):
+            for part in slices(whole, text):
                 has = np.zeros(part.num_rows, bool)
-                has[[d for d, _, _ in match([t or "" for t in part.column(text_col).to_pylist()])]] = True
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(has)], names=[*part.schema.names, flag])
+                has[[d for d, _, _ in match([t or "" for t in part.column(text).to_pylist()])]] = True
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(has)], names=[*part.schema.names, "has"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(flag, BooleanType())]))
+    return placed.mapInArrow(run, StructType([*placed.schema.fields, StructField("has", BooleanType())])).toDF(*docs.columns, flag)
 
 
 def _item_blocks(benchmark: DataFrame, item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8,

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import SharedTables
+from lodestar.operators.shard import quoted
 
 #: Bins of the quotient per source. The bin at the threshold holds about 1/BINS of a source.
 BINS = 1 << 14
@@ -186,7 +187,7 @@ def mix(
     plan = plan_mix(tables.write(_sized(docs, id_col, source_col, text_col, seed), "sizes"), tables, weights, most, size_power)
     tables.drop("sizes")
     own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies")]
-    rows = _sized(docs, id_col, source_col, text_col, seed, F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"))
+    rows = _sized(docs, id_col, source_col, text_col, seed, F.struct(*map(quoted, own)).alias("own"))
     return with_copies(rows, plan, tables, size_power).select("own.*", "size", "source_size", "target", "copies")
 
 
@@ -205,7 +206,7 @@ def mix_sizes(
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: each row as often as it has copies, all columns kept."""
     source_col, id_col = options.get("source_col", "source"), options.get("id_col", "doc_id")
-    rows = docs.select(F.struct(docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(options.get("text_col", "text")).alias("text"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(options.get("text_col", "text")).alias("text"))
     kept = {k: v for k, v in options.items() if not k.endswith("_col")}
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return mix(rows, **kept).where("copies > 0").select("row", copies).select("row.*")

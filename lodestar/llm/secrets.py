@@ -6,12 +6,18 @@ are interval-joined within scopes: a scope is a paragraph (text between blank li
 parts meet if the gap between their intervals is at most `reach` code points. A weak part is
 reported only if a complementary part (strong or weak) meets it.
 
+Parts may nest: a signed address holds its secret, as may an identifier's line. Within a role (secret,
+identifier, endpoint) parts do not overlap; an identifier's own value is no secret; and two parts that
+overlap are one piece of text and no complements of one another, so an address with an opaque path links to nothing by
+itself. A token is opaque if it has letters and digits, many different characters, and either both cases or letters and
+digits in turns; words joined by hyphens with a number at the end are not.
+
 All parts of a text are in that text, so the join runs where the text is: a sorted interval
 join (binary search over part positions) of a whole batch of texts, without a shuffle.
 
 Defined results: a null or empty text has no finds; texts and tokens of any length are read
-whole; rows are kept one for one, so repeated rows, null ids and ties give equal rows; of parts that
-overlap the one that starts first stays, of equal starts the longest; an empty table gives an empty
+whole; rows are kept one for one, so repeated rows, null ids and ties give equal rows; of parts of one role that
+overlap the strong one stays, then the one that starts first, of equal starts the longest; an empty table gives an empty
 result; extra columns are left out.
 """
 
@@ -36,6 +42,7 @@ ENDPOINT_LABEL = re.compile(r"""\b(?:host|hostname|endpoint|server)["']?\x20*[:=
 PREFIXED_ID = re.compile(r"\b(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{12,}+")
 LABELLED_ID = re.compile(r"""\b(?:access|client|account|user)[_-]?(?:key_?)?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}+""", re.I | re.A)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
+NESTED = re.compile(r"(?<=[/=])[A-Za-z0-9+_%-]{20,}+(?![A-Za-z0-9+_%-])")
 BLANK_LINE = re.compile(r"\n[ \t\r]*\n")
 
 SCHEMA = "doc_id bigint, finds array<struct<kind:string,start:int,end:int>>"
@@ -52,18 +59,30 @@ def strong_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+#: How often letters and digits take turns in a token of one case.
+TURNS = 4
+
+
 def _opaque(token: str) -> bool:
-    """Looks like a random token: mixed letters and digits, many distinct characters."""
-    return (
-        any(c.isdigit() for c in token)
-        and any(c.isupper() for c in token)
-        and any(c.islower() for c in token)
-        and len(set(token)) >= 12
-    )
+    """Looks like a random token: letters and digits, many distinct characters, mixed in case or in turns."""
+    digits = [c.isdigit() for c in token if c.isalnum()]
+    if not any(digits) or all(digits) or len(set(token)) < 12:
+        return False
+    both = any(c.isupper() for c in token) and any(c.islower() for c in token)
+    return both or sum(a != b for a, b in zip(digits, digits[1:])) >= TURNS
+
+
+def _apart(parts: list[tuple[int, int, int]], taken: Covered) -> list[tuple[int, int, int]]:
+    """Parts that meet neither what is taken nor one that comes before them."""
+    found: list[tuple[int, int, int]] = []
+    for s, k, e in sorted(parts, key=lambda x: (x[0], -x[2], x[1])):
+        if not taken.meets(s, e) and not (found and found[-1][2] > s):
+            found.append((s, k, e))
+    return found
 
 
 def weak_parts(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Weak parts that overlap no strong find.
+    """Weak identifiers and secrets beside the strong finds and one another, and endpoints beside one another.
 
     A pattern is tried only where a text has the characters that each of its matches holds, and
     secrets only where something is there that could complement them.
@@ -76,22 +95,21 @@ def weak_parts(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int,
     secrets = []
     if endpoints or ids or any(k == 1 for _, k, _ in strong):
         secrets = [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if _opaque(m[0])]
-    taken = Covered([(s, e) for s, _, e in strong])
-    found: list[tuple[int, int, int]] = []
-    for s, k, e in sorted([*ids, *endpoints, *secrets], key=lambda x: (x[0], -x[2], x[1])):
-        if taken.meets(s, e) or (found and found[-1][2] > s):
-            continue
-        found.append((s, k, e))
-    return found
+        # in an address a token ends where a part of the path or of the query does
+        for s, _, e in endpoints:
+            secrets += [(s + m.start(), 4, s + m.end()) for m in NESTED.finditer(text[s:e]) if _opaque(m[0])]
+    beside = _apart([*ids, *secrets], Covered([(s, e) for s, _, e in strong]))
+    return sorted([*beside, *_apart(endpoints, Covered([]))])
 
 
-def _meets(starts: np.ndarray, ends: np.ndarray, of: np.ndarray, other: np.ndarray, reach: int) -> np.ndarray:
-    """For intervals `of`, whether an interval of `other` lies within reach (interval join)."""
+def _met(starts: np.ndarray, ends: np.ndarray, of: np.ndarray, other: np.ndarray, reach: int) -> np.ndarray:
+    """For intervals `of`, how many intervals of `other` lie within reach without overlapping (interval join)."""
     if not len(of) or not len(other):
-        return np.zeros(len(of), bool)
+        return np.zeros(len(of), np.int64)
     s, e = np.sort(starts[other]), np.sort(ends[other])
-    # intervals that start at or before my end + reach, less those that end before my start - reach
-    return np.searchsorted(s, ends[of] + reach, "right") > np.searchsorted(e, starts[of] - reach, "left")
+    # intervals that start before a place, less those that end before one
+    near = np.searchsorted(s, ends[of] + reach, "right") - np.searchsorted(e, starts[of] - reach, "left")
+    return near - (np.searchsorted(s, ends[of], "left") - np.searchsorted(e, starts[of], "right"))
 
 
 def link(parts: list[tuple[int, int, int, int]], reach: int) -> list[bool]:
@@ -109,7 +127,7 @@ def link(parts: list[tuple[int, int, int, int]], reach: int) -> list[bool]:
     linked = np.zeros(len(parts), bool)
     for of, others in ((secret, ident | point), (ident, secret), (point, secret)):
         i = np.flatnonzero(of)
-        linked[i] = _meets(start, end, i, np.flatnonzero(others), reach)
+        linked[i] = _met(start, end, i, np.flatnonzero(others), reach) > 0
     return linked.tolist()
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodestar.llm.common import WordHashes, bound_batches, input_columns, map_texts, slices
+from lodestar.llm.common import WordHashes, bound_batches, by_place, input_columns, map_texts, slices
 
 WORD = re.compile(r"\w+")
 
@@ -203,17 +203,18 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
     """docs with a score column; for stages that go on with all columns (a clashing one is replaced)."""
     bound_batches(docs.sparkSession)
     base = docs.drop(score_col)
-    schema = StructType([*base.schema.fields, StructField(score_col, DoubleType())])
+    placed, (text,) = by_place(base, text_col)
+    schema = StructType([*placed.schema.fields, StructField("score", DoubleType())])
     make = _scorer(model)
 
     def run(batches):
         call = make()
         for whole in batches:
-            for part in slices(whole, text_col):
-                texts = [x or "" for x in part.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(call(texts))], names=[*part.schema.names, score_col])
+            for part in slices(whole, text):
+                texts = [x or "" for x in part.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(call(texts))], names=[*part.schema.names, "score"])
 
-    return base.mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema).toDF(*base.columns, score_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

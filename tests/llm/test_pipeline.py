@@ -7,6 +7,8 @@ import duckdb
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lodestar.llm import mixing, tokens, toxicity
 from lodestar.llm.common import WordHashes, shingle_hashes
@@ -85,3 +87,24 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stages_take_odd_rows_and_names(spark, tmp_path):
+    """Null ids, null and empty texts, repeated rows and names with dots, through all stages in a row."""
+    tables(str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(30)
+    schema = docs.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    odd = spark.createDataFrame([(None, "alone in this text", "en", "s", 3), (None, None, None, None, None), (900, "", "en", "s", 0), (900, "", "en", "s", 0), (901, None, "en", None, 0),
+                                 (902, "the very same row", "en", "u", 1), (902, "the very same row", "en", "u", 1)], schema)
+    docs = docs.unionAll(odd).withColumn("a.b", F.col("n_chars") + 1).withColumn("score", F.lit(5)).withColumn("c0", F.lit("kept"))
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == names, name
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.where("c0 <> 'kept' OR score <> 5 OR `a.b` <> n_chars + 1").count() == 0
+        if name == "near_duplicates":  # one of the repeated rows and one of the texts without words are left
+            assert docs.where("doc_id = 902").count() == 1 and docs.where("coalesce(text, '') = ''").count() == 1
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(rows) == docs.count() and sum(r["n_tokens"] for r in rows) == max(r["start"] + r["n_tokens"] for r in rows)
