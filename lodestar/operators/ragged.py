@@ -73,8 +73,12 @@ def layout(df: DataFrame, batch: str = "batch_id") -> DataFrame:
     return running_sum(n, [F.col(batch)], "n", "stop").select(batch, (F.col("stop") - F.col("n")).alias("start"), "stop")
 
 
-def padded(df: DataFrame, batch: str, position: str, value: str, width: int) -> DataFrame:
-    """batch, slot, value, mask: `width` slots per batch, filled in position order."""
+def padded(df: DataFrame, batch: str, position: str, value: str, width: int | None = None) -> DataFrame:
+    """batch, slot, value, mask: `width` slots per batch, filled in position order; without a width as many as the longest batch has."""
+    if width is None:
+        width = df.groupBy(batch).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if not width:
+        return df.select(batch, F.lit(0).alias("slot"), value, F.lit(False).alias("mask")).where("false")
     slot = F.row_number().over(Window.partitionBy(batch).orderBy(position)) - 1
     rows = df.withColumn("slot", slot.cast("int")).where(F.col("slot") < width).select(batch, "slot", value)
     slots = df.select(batch).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.plans.base import Tables, query
-from lodestar.sources import arrays, entity_files, meshes, pictures
+from lodestar.sources import arrays, entity_files, meshes, pictures, readers, sinks
 from lodestar.sources.scratch import shared_folder
 
 
@@ -129,3 +129,21 @@ def conditioning_images(t: Tables) -> DataFrame:
     fine = F.when(F.col("error").isNull(), F.col("pixels")).otherwise(F.raise_error("error").cast("array<double>"))
     rows = found.select(F.regexp_extract("path", r"image(\d+)\.png$", 1).cast("bigint").alias("vec_id"), F.posexplode(fine).alias("place", "value"))
     return rows.withColumn("value", F.round("value", 6))
+
+
+@query(f"""
+WITH {_MESHES} SELECT 'vertex' AS kind, l_suppkey, v_idx::INTEGER AS idx, round(l_quantity, 4) AS a, round(l_discount, 4) AS b, round(l_tax, 4) AS c FROM v
+UNION ALL SELECT 'face', l_suppkey, v_idx::INTEGER, v_idx, v_idx + 1, v_idx + 2 FROM v WHERE v_idx + 2 < n
+""")
+def ascii_meshes(t: Tables) -> DataFrame:
+    """Meshes of triangles are written as text, one file each, and read again."""
+    path = shared_folder(t.spark, "ascii")
+    points, faces = _meshes(t)
+    three = faces.select("l_suppkey", "f_idx", *(F.col("corners")[i].alias(f"v{i}") for i in range(3)))
+    lines = sinks.ply_lines(points.withColumn("v_idx", F.col("v_idx").cast("int")), three.withColumn("f_idx", F.col("f_idx").cast("int")).select("l_suppkey", "f_idx", *(F.col(f"v{i}").cast("int").alias(f"v{i}") for i in range(3))), "l_suppkey")
+    entity_files.write_files(lines.withColumn("name", F.concat(F.lit("supplier"), "l_suppkey", F.lit(".ply"))), path, "name", "ply")
+    vertices, triangles = readers.read_ply_ascii(t.spark, f"{path}/part-*/*.ply")
+    key = F.regexp_extract("path", r"supplier(\d+)\.ply$", 1).cast("bigint").alias("l_suppkey")
+    one = vertices.select(F.lit("vertex").alias("kind"), key, F.col("v_idx").alias("idx"), *(F.round(x, 4).alias(n) for x, n in zip("xyz", "abc")))
+    two = triangles.select(F.lit("face").alias("kind"), key, F.col("f_idx").alias("idx"), *(F.col(f"v{i}").cast("double").alias(n) for i, n in enumerate("abc")))
+    return one.unionByName(two)

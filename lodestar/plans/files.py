@@ -180,3 +180,19 @@ def centres_and_times(t: Tables) -> DataFrame:
 @query("SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def point_lookups(t: Tables) -> DataFrame:
     return merge.looked_up(t.orders.select("o_orderkey", "o_custkey"), t.customer, "o_custkey", "c_custkey", "c_name")
+
+
+@query("""
+WITH n AS (SELECT max(event_id) AS n FROM events)
+SELECT event_id AS step, event_type AS key, CASE WHEN event_id * 2 >= n THEN value + 1 ELSE value END AS value, (event_id * 2 >= n)::INTEGER AS run FROM events, n
+""")
+def log_appends(t: Tables) -> DataFrame:
+    """Two runs append to a log; the second resumes before the end of the first, and writes twice."""
+    path = shared_folder(t.spark, "log")
+    n = t.events.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    entries = t.events.select(F.col("event_id").alias("step"), F.col("event_type").alias("key"), "value")
+    sinks.write_log(entries.where(F.col("step") * 10 < n * 6), path, 0)
+    resumed = entries.where(F.col("step") * 2 >= n).withColumn("value", F.col("value") + 1)
+    for part in (resumed.where(F.col("step") * 10 < n * 8), resumed):
+        sinks.write_log(part, path, 1)
+    return readers.read_log(t.spark, path)

@@ -92,12 +92,12 @@ def ragged_layout(t: Tables) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS slot, length(text) AS size FROM conversations),
-s AS (SELECT DISTINCT conv_id, unnest(range(0, 6)) AS slot FROM conversations)
+s AS (SELECT conv_id, unnest(range(0, (SELECT max(slot) + 1 FROM r))) AS slot FROM (SELECT DISTINCT conv_id FROM conversations))
 SELECT conv_id, slot::INTEGER AS slot, size, size IS NOT NULL AS mask FROM s LEFT JOIN r USING (conv_id, slot)
 """)
 def pad_to_dense(t: Tables) -> DataFrame:
     rows = t.conversations.select("conv_id", "turn", F.length("text").cast("bigint").alias("size"))
-    return ragged.padded(rows, "conv_id", "turn", "size", 6)
+    return ragged.padded(rows, "conv_id", "turn", "size")
 
 
 @query(f"WITH {_VOXELS} SELECT max(x) + 1 AS nx, max(y) + 1 AS ny, max(z) + 1 AS nz FROM v")

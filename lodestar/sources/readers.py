@@ -183,6 +183,12 @@ def read_ply_ascii(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return vertices, faces
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """step, key, value, run: the long log of all runs. Of a step that several runs went through, the last one's entries count."""
+    rows = spark.read.schema("step bigint, key string, value double, run int").option("basePath", path).parquet(f"{path}/run=*")
+    return rows.groupBy("step", "key").agg(F.max_by("value", "run").alias("value"), F.max("run").alias("run"))
+
+
 def verified_files(spark: SparkSession, path: str, expected: DataFrame, key: str = "sha256") -> DataFrame:
     """path, key of the files whose content has an expected SHA-256."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias(key))

@@ -16,6 +16,11 @@ def append_part(df: DataFrame, path: str, ingest_ts: int) -> None:
     df.withColumn("ingest_ts", F.lit(ingest_ts)).write.mode("append").partitionBy("ingest_ts").parquet(path)
 
 
+def write_log(entries: DataFrame, path: str, run: int) -> None:
+    """A run's log entries (step, key, value); a run that writes again replaces what it wrote, and no other run's."""
+    entries.select("step", "key", "value").write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
 def error_keys(results: DataFrame, key: str = "sha256") -> DataFrame:
     """Keys of the workers' results that carry an error."""
     return results.where(F.col("error").isNotNull()).select(key)
