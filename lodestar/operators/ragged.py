@@ -338,3 +338,10 @@ def trilinear(points: DataFrame, cells: DataFrame, keys: list[str], batch: str,
     found = at.join(there, ["_b", "_x", "_y", "_z"], "left")
     weights = F.sum(F.when(F.col("_v").isNotNull(), F.col("_w")))
     return found.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(weights, F.lit(0.0))).alias(value))
+
+
+def chunks(channels: Column, n: int) -> Column:
+    """An array in pieces of equal size, rounded up; the last one may be shorter, and there may be fewer than n."""
+    size = F.greatest(F.ceil(F.size(channels) / n), F.lit(1))
+    starts = F.when(F.size(channels) > 0, F.sequence(F.lit(1).cast("bigint"), F.size(channels).cast("bigint"), size)).otherwise(F.expr("CAST(array() AS array<bigint>)"))
+    return F.transform(starts, lambda i: F.slice(channels, i.cast("int"), size.cast("int")))

@@ -31,3 +31,8 @@ def any_done(df: DataFrame, key: str, done: Column) -> DataFrame:
 def to_wide(df: DataFrame, key: str, view: str, views: list[int], value: Column, prefix: str) -> DataFrame:
     """One column per view, from an explicit list, so that the schema doesn't hang on the data."""
     return df.groupBy(key).agg(*(F.max(F.when(F.col(view) == v, value)).alias(f"{prefix}{v:02d}") for v in views))
+
+
+def incomplete(required: DataFrame, done: DataFrame, key: str, on: list[str]) -> DataFrame:
+    """Keys that lack any of their tasks, and how many."""
+    return remaining_tasks(required, done, on).groupBy(key).agg(F.count("*").alias("missing"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import flow, geometry, text
-from lodestar.operators import ragged, records, select, shard, worker
+from lodestar.operators import ragged, records, select, shard, tasks, worker
 from lodestar.operators import telemetry as tm
 from lodestar.plans.base import Tables, query
 from lodestar.plans.sparse import _CELLS, _cells, _rounded
@@ -238,3 +238,35 @@ def trilinear_query(t: Tables) -> DataFrame:
     points = cells.withColumns(at).select("batch_id", "x", "y", "z", *at)
     named = points.withColumn("k", F.struct("batch_id", "x", "y", "z")).select("k", "batch_id", *at)
     return ragged.trilinear(named, cells, ["k"], "batch_id", "f").select("k.*", F.round("f", 5).alias("f"))
+
+
+@query("""
+WITH k AS (SELECT DISTINCT conv_id FROM conversations), need AS (SELECT conv_id, v AS view_idx, r AS resolution FROM k, (VALUES (0), (1), (2)) a(v), (VALUES (256), (512)) b(r)),
+done AS (SELECT DISTINCT conv_id, turn AS view_idx, CASE WHEN length(text) % 2 = 0 THEN 256 ELSE 512 END AS resolution FROM conversations)
+SELECT conv_id, count(*) AS missing FROM need ANTI JOIN done USING (conv_id, view_idx, resolution) GROUP BY conv_id
+""")
+def incomplete_keys(t: Tables) -> DataFrame:
+    need = tasks.required_tasks(t.conversations.select("conv_id").distinct(), [0, 1, 2], [256, 512])
+    done = t.conversations.select("conv_id", F.col("turn").cast("int").alias("view_idx"), F.when(F.length("text") % 2 == 0, 256).otherwise(512).alias("resolution"))
+    return tasks.incomplete(need, done, "conv_id", ["conv_id", "view_idx", "resolution"])
+
+
+@query("""
+SELECT vec_id, [embedding[1:13], embedding[14:26], embedding[27:39], embedding[40:52], embedding[53:64]]::DOUBLE[][] AS parts,
+  list_concat(embedding[33:48], embedding[1:4])::DOUBLE[] AS joined FROM embeddings
+""")
+def channel_chunks(t: Tables) -> DataFrame:
+    """Features in five chunks, the last one shorter; and a slice joined to another."""
+    f = _doubles()
+    return t.embeddings.select("vec_id", ragged.chunks(f, 5).alias("parts"), F.concat(F.slice(f, 33, 16), F.slice(f, 1, 4)).alias("joined"))
+
+
+@query("""
+WITH r AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE ELSE value / 50 - 0.5 END AS x FROM events)
+SELECT event_id, CASE WHEN isnan(x) THEN 0 ELSE trunc(greatest(0.0, least(1.0, x)) * 255) END::SMALLINT AS q FROM r
+""")
+def finite_bytes(t: Tables) -> DataFrame:
+    """Values with NaN and infinities among them: NaN is 0, infinities are the ends."""
+    k = F.col("event_id") % 5
+    x = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).when(k == 2, F.lit(float("-inf"))).otherwise(F.col("value") / 50 - 0.5)
+    return t.events.select("event_id", geometry.quantise_u8(x).alias("q"))
