@@ -23,9 +23,12 @@ edit similarity, 1 - edit distance / length of the longer one, of at least `simi
    of `similarity` share so many word pairs that their rarest ones (2 (1 - similarity) * length and
    SHARED more; repeats numbered, one order for all texts) have SHARED in common, so every two
    texts of different classes that meet in as many are verified. Word pairs of more than COMMON
-   open texts make no pairs. That loses nothing unless both texts have such a pair even among their
-   rarest, which takes two texts of which a good part is common to more than COMMON different open
-   texts; these are told by steps 3 and 4 alone (README: how many, and what that costs).
+   open texts make no rows here: a text that has such a pair even among its rarest is crowded.
+7. Crowded texts (pages made from one template are) are compared bucket by bucket. A bucket's
+   members are cut into blocks of like length and bounded size; each two blocks that hold several
+   classes and whose lengths may go together are a unit of work. A task counts the word pairs that
+   the texts of a unit share by a matrix product and aligns those that share enough; only verified
+   links leave it. So every pair of texts that agree in a sketch is decided, whatever they share.
 
 Recall: a pair of similarity s agrees in a sketch with a probability of about
 (s**k / (2 - s**k)) ** ell where edits are spread evenly. The README has a measured table by length
@@ -46,13 +49,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.align import aligned, sorted_bigrams
-from lodestar.llm.common import SharedTables, WordHashes, fresh, map_texts, mix64, shingle_hashes, text_digest
+from lodestar.llm.common import DataFrameSchema, SharedTables, WordHashes, fresh, map_texts, mix64, shingle_hashes, text_digest
 from lodestar.llm.components import connected_components, merged
 
 #: Sketches of texts by their number of words: (least, most, k, sketches). A text near a bound is in both.
 FAMILIES = ((0, 125, 2, 20), (100, 1 << 62, 5, 80))
-#: Rare word pairs that two open texts must share, and the most open texts that one may be in.
+#: Rare word pairs that two open texts must share, and the most open texts that one may be in (beyond it, step 7).
 SHARED, COMMON = 3, 64
+#: A block of crowded texts: about as many texts and words; and about the words that one task's units hold.
+BLOCK, BLOCK_WORDS, DEAL_WORDS = 512, 1 << 17, 1 << 19
 
 
 def labelled_kmers(words: np.ndarray, k: int) -> np.ndarray:
@@ -242,8 +247,8 @@ def _prefix(n_words: Column, similarity: float) -> Column:
     return 2 * F.floor(F.lit(1 - similarity) * n_words + 1e-9) + 1 + SHARED
 
 
-def _rare_pairs(open_: DataFrame, texts: DataFrame, tables: SharedTables, similarity: float) -> DataFrame:
-    """gram, node, n_words, root: the rarest word pairs of open texts, as far as others have them, few others. texts: node, words."""
+def _rarest(open_: DataFrame, texts: DataFrame, tables: SharedTables, similarity: float) -> DataFrame:
+    """node, n_words, root, rarest: the rarest word pairs of open texts (of, gram), as far as others have them. texts: node, words."""
 
     def call(batch, _):
         found = [labelled_kmers(np.frombuffer(raw.as_buffer(), np.uint64), 2).view(np.int64) for raw in batch.column("words")]
@@ -256,16 +261,147 @@ def _rare_pairs(open_: DataFrame, texts: DataFrame, tables: SharedTables, simila
     rows = met.join(grams.select("node", F.size("grams").alias("n_grams")), "node").join(open_, "node")
     # what no other text has comes first
     left = F.greatest(_prefix(F.col("n_words"), similarity) - (F.col("n_grams") - F.size("met")), F.lit(0))
-    kept = F.filter(F.slice("met", F.lit(1), left.cast("int")), lambda x: x["of"] <= COMMON)
-    return tables.write(rows.select("node", "n_words", "root", F.explode(kept).alias("x")).select(F.col("x.gram").alias("gram"), "node", "n_words", "root"), "rare")
+    return tables.write(rows.select("node", "n_words", "root", F.slice("met", F.lit(1), left.cast("int")).alias("rarest")), "rarest")
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of a shares with each of b. Values that many have go through a matrix product, others one by one."""
+    value_a, value_b = np.concatenate(a), np.concatenate(b)
+    of_a, of_b = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b))
+    both = np.intersect1d(value_a, value_b)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(both):
+        return out
+    in_a, in_b = np.isin(value_a, both), np.isin(value_b, both)
+    column_a, of_a = np.searchsorted(both, value_a[in_a]), of_a[in_a]
+    column_b, of_b = np.searchsorted(both, value_b[in_b]), of_b[in_b]
+    order = np.argsort(column_b, kind="stable")
+    column_b, of_b = column_b[order], of_b[order]
+    n_a, n_b = np.bincount(column_a, minlength=len(both)), np.bincount(column_b, minlength=len(both))
+    many = n_a * n_b * 16 > out.size
+    place = np.where(many, np.cumsum(many) - 1, -1)
+    at_a, at_b = place[column_a], place[column_b]
+    for first in range(0, int(many.sum()), 2048):
+        x, y = np.zeros((len(a), 2048), np.float32), np.zeros((len(b), 2048), np.float32)
+        for matrix, of, at in ((x, of_a, at_a), (y, of_b, at_b)):
+            here = (at >= first) & (at < first + 2048)
+            matrix[of[here], at[here] - first] = 1
+        out += x @ y.T
+    start = np.cumsum(n_b) - n_b
+    few = np.flatnonzero(at_a < 0)
+    for first in range(0, len(few), 1 << 15):
+        part = few[first : first + (1 << 15)]
+        times = n_b[column_a[part]]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        other = of_b[np.repeat(start[column_a[part]], times) + step]
+        out += np.bincount(np.repeat(of_a[part], times) * len(b) + other, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _unit_links(similarity: float):
+    """A group function: verified links between the classes of each unit. Classes linked by one unit are one in the next."""
+    schema = DataFrameSchema("a bigint, b bigint")
+
+    def run(table):
+        table = table.sort_by([("unit", "ascending"), ("side", "ascending"), ("node", "ascending")])
+        unit, side, node, root = (table.column(c).to_numpy() for c in ("unit", "side", "node", "root"))
+        raw = table.column("words").to_pylist()
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, x in zip(node.tolist(), raw):
+            if n not in known:
+                words = np.frombuffer(x, np.uint64)
+                known[n] = words, labelled_kmers(words, 2)
+        above: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = above.get(y, y)
+                x = y
+            return x
+
+        links = []
+        for first, last in zip(cuts := np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), [*cuts[1:], len(unit)]):
+            middle = first + int((side[first:last] == 0).sum())
+            one, other = (first, middle), (first, last) if middle == last else (middle, last)
+            i, j, score, most = _may_link(*([known[n] for n in node[x:y].tolist()] for x, y in (one, other)), similarity)
+            i, j = i + one[0], j + other[0]
+            keep = (i < j) & (root[i] != root[j])
+            i, j, score, most, width = i[keep], j[keep], score[keep], most[keep], 1
+            while len(i):
+                now = {r: find(r) for r in np.unique(np.append(root[i], root[j])).tolist()}
+                x, y = (np.array([now[r] for r in root[k].tolist()]) for k in (i, j))
+                low, high = np.minimum(x, y), np.maximum(x, y)
+                order = np.lexsort((-score, high, low))
+                order = order[low[order] != high[order]]
+                # the likeliest pairs of each two classes first; more at a time if these fail
+                low, high = low[order], high[order]
+                head = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(order)])
+                place = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+                try_, rest = order[place < width], order[place >= width]
+                words = [(known[node[a]][0], known[node[b]][0]) for a, b in zip(i[try_], j[try_])]
+                for k, yes in zip(try_.tolist(), aligned(words, most[try_].tolist())):
+                    if yes and (p := find(int(root[i[k]]))) != (q := find(int(root[j[k]]))):
+                        above[max(p, q)] = min(p, q)
+                        links.append((int(node[i[k]]), int(node[j[k]])))
+                i, j, score, most, width = i[rest], j[rest], score[rest], most[rest], 4 * width
+        columns = [pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())]
+        return pa.Table.from_arrays(columns, schema=schema.arrow())
+
+    return run
+
+
+def _may_link(one: list, other: list, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places in one and other, score and allowed edits of the pairs that length and shared word pairs don't rule out."""
+    n, m = (np.array([len(x[0]) for x in side]) for side in (one, other))
+    longer = np.maximum.outer(n, m)
+    most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    counts = shared_counts([x[1] for x in one], [x[1] for x in other])
+    i, j = np.nonzero((np.abs(np.subtract.outer(n, m)) <= most) & (counts >= longer - 1 - 2 * most))
+    return i, j, counts[i, j] / longer[i, j], most[i, j]
+
+
+def _crowded_links(crowded: DataFrame, members: DataFrame, classes: DataFrame, texts: DataFrame, tables: SharedTables, similarity: float) -> DataFrame | None:
+    """Links (a, b) between classes among the crowded texts of each bucket, as a table; None if no bucket has several. texts: node, words."""
+    rows = tables.write(_roots(members.join(crowded, "node", "left_semi"), classes, "node", "root"), "crowded-members")
+    split = rows.groupBy("value").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("value")
+    rows = rows.join(split, "value", "left_semi")
+    # lengths that may go together are on the same or on neighbouring levels
+    rows = rows.withColumn("level", F.floor(F.log("n_words") / F.log(F.lit(1.001 / similarity))).cast("int"))
+    sizes = rows.groupBy("value", "level").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)).alias("parts"))
+    placed = rows.join(sizes, ["value", "level"]).select("value", "level", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node", "n_words", "root")
+    placed = tables.write(placed, "crowded-placed")
+    blocks = placed.groupBy("value", "level", "part").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.sum("n_words").alias("n_words"))
+    blocks = tables.write(blocks, "crowded-blocks")
+    own = blocks.select("value", F.col("level").alias("own_level"), F.col("part").alias("own_part"), F.col("first").alias("own_first"),
+                        F.col("last").alias("own_last"), F.col("n_words").alias("own_words"), F.explode(F.array("level", F.col("level") + 1)).alias("level"))
+    units = (
+        own.join(blocks, ["value", "level"]).where((F.col("own_level") < F.col("level")) | (F.col("own_part") <= F.col("part")))
+        .where(F.least("own_first", "first") < F.greatest("own_last", "last")).withColumn("unit", F.monotonically_increasing_id())
+    )
+    units = tables.write(units, "crowded-units")
+    n_words = units.agg(F.sum(F.col("own_words") + F.col("n_words"))).first()[0]
+    links = None
+    if n_words is not None:
+        itself = (F.col("own_level") == F.col("level")) & (F.col("own_part") == F.col("part"))
+        ends = units.select("unit", "value", F.col("own_level").alias("level"), F.col("own_part").alias("part"), F.lit(0).alias("side"))
+        ends = ends.unionAll(units.where(~itself).select("unit", "value", "level", "part", F.lit(1).alias("side")))
+        deal = F.pmod(F.xxhash64("unit"), F.lit(-(-n_words // DEAL_WORDS))).alias("deal")
+        dealt = placed.join(ends, ["value", "level", "part"]).select(deal, "unit", "side", "node", "root").join(texts, "node")
+        links = tables.write(dealt.groupBy("deal").applyInArrow(_unit_links(similarity), "a bigint, b bigint"), "links-5")
+    for name in ("members", "placed", "blocks", "units"):
+        tables.drop(f"crowded-{name}")
+    return links
 
 
 def _beyond_ends(members: DataFrame, tried: DataFrame, classes: DataFrame, texts: DataFrame, tables: SharedTables, similarity: float) -> DataFrame:
-    """classes after the pairs of open texts that share rare word pairs. texts: node, words."""
+    """classes after the pairs of open texts that share rare word pairs, and those of crowded texts. texts: node, words."""
     in_class = tables.write(_roots(members, classes, "node", "root"), "in-class")
     split = in_class.groupBy("value").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("value")
     open_ = tables.write(in_class.join(split, "value", "left_semi").select("node", "n_words", "root").distinct(), "open")
-    rare = _rare_pairs(open_, texts, tables, similarity)
+    rarest = _rarest(open_, texts, tables, similarity)
+    crowded = tables.write(rarest.where(F.exists("rarest", lambda x: x["of"] > COMMON)).select("node"), "crowded")
+    rare = rarest.select("node", "n_words", "root", F.explode(F.filter("rarest", lambda x: x["of"] <= COMMON)).alias("x"))
+    rare = tables.write(rare.select(F.col("x.gram").alias("gram"), "node", "n_words", "root"), "rare")
     one, other = (rare.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n_words", "root"))) for x in "ab")
     longer = F.greatest("n_words_a", "n_words_b")
     needed = longer - 1 - 2 * F.floor(F.lit(1 - similarity) * longer + 1e-9)
@@ -281,7 +417,12 @@ def _beyond_ends(members: DataFrame, tried: DataFrame, classes: DataFrame, texts
     between = _roots(_roots(more.select("a", "b").join(best, ["a", "b"], "left_anti"), now, "a", "now_a"), now, "b", "now_b")
     between = tables.write(between.where("now_a <> now_b").select("a", "b"), "tried-4")
     now = merged(now, _verified(between, texts, tables, similarity, "links-4"), tables, "classes-4")
-    for name in ("in-class", "open", "grams", "rare", "pairs-3", "tried-3", "tried-4", "links-3", "links-4", "classes-3"):
+    links = _crowded_links(crowded, members, now, texts, tables, similarity)
+    if links is not None:
+        now = merged(now, links, tables, "classes-5")
+        for name in ("classes-4", "links-5"):
+            tables.drop(name)
+    for name in ("in-class", "open", "grams", "rarest", "crowded", "rare", "pairs-3", "tried-3", "tried-4", "links-3", "links-4", "classes-3"):
         tables.drop(name)
     return now
 
@@ -296,7 +437,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     copies = tables.write(copies.withColumn("node", F.monotonically_increasing_id()), "copies")
     classes = near_duplicate_links(texts.select("digest", "text"), copies, tables, similarity, families, ell)
     rooted = tables.write(_roots(copies, classes, "node", "root"), "rooted")
-    for name in ("copies", "classes-4"):
+    for name in ("copies", "classes-4", "classes-5"):
         tables.drop(name)
     return rooted
 

@@ -273,3 +273,37 @@ def test_without_items_keeps_clashing_columns_and_reads_long_texts(spark):
     bench = spark.createDataFrame([(5, item)], "item_id bigint, text string")
     assert [tuple(r) for r in decontaminate.without_items(docs, bench, block_bytes=10).collect()] == [(2, "plain", 7, 8)]
     assert [r.doc_id for r in decontaminate.find_items(docs, bench).collect()] == [1]
+
+
+def test_shared_counts_are_those_of_sets():
+    rng = np.random.default_rng(3)
+    make = lambda n, top: [np.unique(rng.integers(0, top, rng.integers(1, 60))).astype(np.uint64) for _ in range(n)]
+    for top in (40, 900, 100_000):
+        a, b = make(70, top), make(45, top)
+        want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+        assert omh.shared_counts(a, b).astype(int).tolist() == want
+    assert omh.shared_counts([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
+
+
+def template_texts(rng, n, planted, slots=30):
+    """Texts of slots of two words with three variants each, and partners that differ in four slots."""
+    word = lambda slot, v: [f"s{slot}v{v}", f"t{slot}v{v}"]
+    rows = [[rng.randrange(3) for _ in range(slots)] for _ in range(n)]
+    for x in rows[:planted]:
+        other = list(x)
+        for slot in rng.sample(range(slots), 4):
+            other[slot] = (x[slot] + rng.randint(1, 2)) % 3
+        rows.append(other)
+    return [" ".join(w for i, v in enumerate(x) for w in word(i, v)) for x in rows], [(i, n + i) for i in range(planted)]
+
+
+def test_texts_of_one_template_find_all_that_their_sketches_find(spark, monkeypatch):
+    # small blocks, so that buckets are cut into several
+    monkeypatch.setattr(omh, "BLOCK", 40)
+    texts, planted = template_texts(random.Random(21), 2000, 150)
+    got = {r.doc_id: r.class_id for r in omh.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    words = [WordHashes().of(t.split()) for t in texts]
+    sketches = [set(omh.sketches_of(w).tolist()) for w in words]
+    met = [(i, j) for i, j in planted if sketches[i] & sketches[j]]
+    assert len(met) >= 0.9 * len(planted)
+    assert all(got[i] == got[j] for i, j in met)
