@@ -367,28 +367,33 @@ def _crowded_links(crowded: DataFrame, members: DataFrame, classes: DataFrame, t
     rows = rows.join(split, "value", "left_semi")
     # lengths that may go together are on the same or on neighbouring levels
     rows = rows.withColumn("level", F.floor(F.log("n_words") / F.log(F.lit(1.001 / similarity))).cast("int"))
-    sizes = rows.groupBy("value", "level").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)).alias("parts"))
-    placed = rows.join(sizes, ["value", "level"]).select("value", "level", F.pmod(F.xxhash64("node"), "parts").alias("part"), "node", "n_words", "root")
+    # a large class has blocks of its own, which need not meet one another
+    blocks_of = F.greatest(F.count("*") / BLOCK, F.sum("n_words") / BLOCK_WORDS)
+    own = rows.groupBy("value", "level", "root").agg(F.when(blocks_of > 0.5, F.col("root")).otherwise(-1).alias("own"))
+    rows = tables.write(rows.join(own, ["value", "level", "root"]), "crowded-owned")
+    sizes = rows.groupBy("value", "level", "own").agg(F.ceil(blocks_of).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), "parts").alias("part")
+    placed = rows.join(sizes, ["value", "level", "own"]).select("value", "level", "own", part, "node", "n_words", "root")
     placed = tables.write(placed, "crowded-placed")
-    blocks = placed.groupBy("value", "level", "part").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.sum("n_words").alias("n_words"))
+    block = ["value", "level", "own", "part"]
+    blocks = placed.groupBy(*block).agg(F.min("root").alias("first"), F.max("root").alias("last"), F.sum("n_words").alias("n_words"))
     blocks = tables.write(blocks, "crowded-blocks")
-    own = blocks.select("value", F.col("level").alias("own_level"), F.col("part").alias("own_part"), F.col("first").alias("own_first"),
-                        F.col("last").alias("own_last"), F.col("n_words").alias("own_words"), F.explode(F.array("level", F.col("level") + 1)).alias("level"))
-    units = (
-        own.join(blocks, ["value", "level"]).where((F.col("own_level") < F.col("level")) | (F.col("own_part") <= F.col("part")))
-        .where(F.least("own_first", "first") < F.greatest("own_last", "last")).withColumn("unit", F.monotonically_increasing_id())
-    )
+    names = {x: f"{x}_a" for x in ("own", "part", "first", "last", "n_words")}
+    near = blocks.select("value", F.col("level").alias("level_a"), *(F.col(x).alias(y) for x, y in names.items()), F.explode(F.array("level", F.col("level") + 1)).alias("level"))
+    once = (F.col("level_a") < F.col("level")) | (F.struct("own_a", "part_a") <= F.struct("own", "part"))
+    several = F.least("first_a", "first") < F.greatest("last_a", "last")
+    units = near.join(blocks, ["value", "level"]).where(once & several).withColumn("unit", F.monotonically_increasing_id())
     units = tables.write(units, "crowded-units")
-    n_words = units.agg(F.sum(F.col("own_words") + F.col("n_words"))).first()[0]
+    n_words = units.agg(F.sum(F.col("n_words_a") + F.col("n_words"))).first()[0]
     links = None
     if n_words is not None:
-        itself = (F.col("own_level") == F.col("level")) & (F.col("own_part") == F.col("part"))
-        ends = units.select("unit", "value", F.col("own_level").alias("level"), F.col("own_part").alias("part"), F.lit(0).alias("side"))
-        ends = ends.unionAll(units.where(~itself).select("unit", "value", "level", "part", F.lit(1).alias("side")))
+        itself = F.struct("level_a", "own_a", "part_a") == F.struct("level", "own", "part")
+        ends = units.select("unit", "value", *(F.col(f"{x}_a").alias(x) for x in block[1:]), F.lit(0).alias("side"))
+        ends = ends.unionAll(units.where(~itself).select("unit", *block, F.lit(1).alias("side")))
         deal = F.pmod(F.xxhash64("unit"), F.lit(-(-n_words // DEAL_WORDS))).alias("deal")
-        dealt = placed.join(ends, ["value", "level", "part"]).select(deal, "unit", "side", "node", "root").join(texts, "node")
+        dealt = placed.join(ends, block).select(deal, "unit", "side", "node", "root").join(texts, "node")
         links = tables.write(dealt.groupBy("deal").applyInArrow(_unit_links(similarity), "a bigint, b bigint"), "links-5")
-    for name in ("members", "placed", "blocks", "units"):
+    for name in ("members", "owned", "placed", "blocks", "units"):
         tables.drop(f"crowded-{name}")
     return links
 
