@@ -27,8 +27,9 @@ def _cells(t: Tables) -> DataFrame:
 
 
 def _rounded(arr, digits: int = 5):
+    # scaled, rounded and scaled back in doubles, as the SQL rounds; F.round(x, digits) goes by the shortest decimal form, which may be a tie where x isn't
     # + 0.0 turns a rounded -0.0 into 0.0
-    return F.transform(arr, lambda x: F.round(x, digits) + 0.0)
+    return F.transform(arr, lambda x: F.round(x * 10.0**digits) / 10.0**digits + 0.0)
 
 
 @query(f"WITH {_VOXELS} SELECT batch_id, x // 4 AS x, y // 4 AS y, z // 4 AS z, round(avg(f), 6) AS f FROM v GROUP BY ALL")

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
+
 from lodestar.functions import flow, text
 from lodestar.functions import geometry as g
 from lodestar.operators import images, ragged, shard
@@ -65,3 +67,21 @@ def test_leaves_of_records(spark):
     small = lambda x: x < 3
     rows = df.select("i", text.any_leaf(F.col("r"), small).alias("some"), text.all_leaves(F.col("r"), small).alias("every")).collect()
     assert {r.i: (r.some, r.every) for r in rows} == {1: (True, False), 2: (False, False), 3: (False, True)}
+
+
+def both(spark, folder, name, rows, column):
+    """A vector query's arrays by vec_id, as Spark and as its SQL give them."""
+    import duckdb
+
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    got = {r["vec_id"]: r[column] for r in __spark_entry__.queries()[name](spark, str(folder)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    sql = __spark_entry__.oracle_sql()[name]
+    return got, dict(db.execute(f"SELECT vec_id, {column} FROM ({sql})").fetchall())
+
+
+def test_features_at_a_tie_round_as_in_sql(spark, tmp_path):
+    # (x - 61 / 64) / (125 / 64) is -0.519125, and that times 100,000 is below a half in doubles
+    got, want = both(spark, tmp_path, "channel_standardize", [(1, [0.0] * 60 + [-0.060791015625] + [0.0] * 3, 0)], "feats")
+    assert want[1][60] == -0.51912 and got == want
