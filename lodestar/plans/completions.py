@@ -137,8 +137,8 @@ def truth_view(t: Tables) -> DataFrame:
 
 @query("SELECT vec_id, list_transform(list_zip(embedding, list_reverse(embedding)), lambda e: round(e[1]::DOUBLE - (vec_id % 10 + 1) / 20.0 * e[2]::DOUBLE, 5) + 0.0) AS x FROM embeddings")
 def euler_step(t: Tables) -> DataFrame:
-    later = F.col("vec_id") % 10 / 20
-    x = flow.euler(_doubles(), F.reverse(_doubles()), later + 0.05, later - F.col("vec_id") % 10 / 20)
+    # times n / 20 and 0: each is the double nearest to it, so that no step is off by a last bit
+    x = flow.euler(_doubles(), F.reverse(_doubles()), (F.col("vec_id") % 10 + 1) / 20, F.lit(0.0))
     return t.embeddings.select("vec_id", _rounded(x).alias("x"))
 
 

@@ -85,3 +85,10 @@ def test_features_at_a_tie_round_as_in_sql(spark, tmp_path):
     # (x - 61 / 64) / (125 / 64) is -0.519125, and that times 100,000 is below a half in doubles
     got, want = both(spark, tmp_path, "channel_standardize", [(1, [0.0] * 60 + [-0.060791015625] + [0.0] * 3, 0)], "feats")
     assert want[1][60] == -0.51912 and got == want
+
+
+def test_euler_steps_at_a_tie_round_as_in_sql(spark, tmp_path):
+    # by the step: 0.4 and not 0.35 + 0.05; by the rounding: 0.128125 either way
+    pairs = {7: (0.13548928499221802, -0.18471428751945496), 8: (0.16284313797950745, 0.07715141773223877), 2: (-0.06859005987644196, -0.18643373250961304)}
+    got, want = both(spark, tmp_path, "euler_step", [(k, list(pair), 0) for k, pair in pairs.items()], "x")
+    assert [want[k][0] for k in pairs] == [0.20938, 0.12812, -0.04063] and got == want
