@@ -48,6 +48,39 @@ def test_rows_with_a_timeout(spark):
         1: {"TimeoutError: no result after 0.3 s"}, 2: {"ProcessError: the process ended with 9"}, 3: {"KeyError: 'three'"}, 4: set()}
 
 
+def test_hanging_rows_are_waited_for_together():
+    children = worker.Children(make_slow(), 0.5)
+    try:
+        began = time.monotonic()
+        rows = [{"k": k, "i": i} for i, k in enumerate([1, 0, 2, 1, 5, 3, 4] * 12)]
+        done = [d for row in rows for d in children(row)] + list(children.rest())
+        assert time.monotonic() - began < 6  # 24 rows of half a second
+    finally:
+        children.end()
+    assert sorted(row["i"] for row, _, _ in done) == list(range(84)) and not children.silent
+    errors = {1: "TimeoutError: no result after 0.5 s", 2: "ProcessError: the process ended with 9", 3: "KeyError: 'three'"}
+    assert all(error == errors.get(row["k"]) for row, _, error in done)
+
+
+def test_busy_rows_beside_one_another_have_their_time():
+    def busy(row):
+        until = time.process_time() + 0.15
+        while time.process_time() < until:
+            pass
+        return row
+
+    def pinned(row):
+        os.sched_setaffinity(0, {0})  # all on one core
+        return busy(row)
+
+    children = worker.Children(pinned, 0.5)
+    try:
+        done = [d for i in range(16) for d in children({"i": i})] + list(children.rest())
+    finally:
+        children.end()
+    assert sorted(found["i"] for _, found, error in done if error is None) == list(range(16))
+
+
 RECORDS = [
     (1, '{"a":{"b":{"c":{"d":{"e":1}}}},"f":[1,{"g":2}],"h":{},"i":null,"x.y":true}'), (2, "3"), (3, "[]"), (4, "{}"), (5, "no json"), (6, None), (7, '{"a":{"b":[]}}'),
 ]
