@@ -109,3 +109,18 @@ def test_a_face_of_five_corners_is_an_error_as_triangles(spark):
     five = spark.range(1).select(F.explode(meshes.triangles(F.array(*(F.lit(i) for i in range(5))))))
     with pytest.raises(Exception, match="a face of 5 corners"):
         five.collect()
+
+
+def test_a_read_of_vertices_passes_no_faces_and_packing_makes_no_lists(spark, tmp_path):
+    n = 3000
+    v = spark.range(n).select(F.lit("m1").alias("key"), F.col("id").alias("v_idx"), *(F.col("id").cast("double").alias(c) for c in "xyz"))
+    f = spark.range(n - 4).select(F.lit("m1").alias("key"), F.col("id").alias("f_idx"), F.slice(F.array(*(F.col("id") + i for i in range(5))), 1, (3 + F.col("id") % 3).cast("int")).alias("corners"))
+    rows = meshes.ply_payloads(v, f.unionByName(f.limit(1).withColumn("key", F.lit("none"))), "key")
+    plan = rows._jdf.queryExecution().toString()
+    assert "collect_list" not in plan  # no mesh as an array of arrays in the JVM, and so none as Python lists
+    assert [r["key"] for r in rows.select("key").collect()] == ["m1"]
+    write_files(rows.withColumn("name", F.concat("key", F.lit(".ply"))), str(tmp_path), "name", "ply")
+    vertices, corners = meshes.read_meshes(spark, str(tmp_path))
+    assert vertices._jdf.queryExecution().toString().count("corners") == 0
+    assert vertices.where("properties['z'] = v_idx").count() == n
+    assert {r["f_idx"]: list(r["corners"]) for r in corners.collect()} == {i: list(range(i, i + 3 + i % 3)) for i in range(n - 4)}
