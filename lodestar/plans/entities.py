@@ -51,17 +51,17 @@ _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_disco
 
 
 def _meshes(t: Tables) -> tuple[DataFrame, DataFrame]:
-    own = Window.partitionBy("l_suppkey")
-    numbered = t.lineitem.withColumn("v_idx", F.row_number().over(own.orderBy(*_ORDER)) - 1).withColumn("n", F.count("*").over(own))
+    """Vertices by one sort of the lines; faces follow from their number, which is a count that combines before its shuffle."""
     line = F.col("l_linenumber")
-    v = numbered.select(
+    v = t.lineitem.withColumn("v_idx", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*_ORDER)) - 1).select(
         "l_suppkey", "v_idx", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"), (line * 30).alias("red"), (line * 20).alias("green"),
         (255 - line).alias("blue"), line.alias("metallic"), (line * 2).alias("roughness"), F.lit(255).alias("alpha"),
     )
-    at = F.col("v_idx")
+    sizes = t.lineitem.groupBy("l_suppkey").agg(F.count("*").cast("int").alias("n")).where("n > 2")
+    at = F.col("f_idx")
     quad = (at % 5 == 0) & (at + 3 < F.col("n"))
     corners = F.when(quad, F.array(at, at + 1, at + 2, at + 3)).otherwise(F.array(at, at + 1, at + 2))
-    return v, numbered.where(at + 2 < F.col("n")).select("l_suppkey", at.alias("f_idx"), corners.alias("corners"))
+    return v, sizes.select("l_suppkey", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 3)).alias("f_idx")).select("l_suppkey", "f_idx", corners.alias("corners"))
 
 
 def _written(t: Tables, extra: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
