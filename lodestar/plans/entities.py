@@ -142,7 +142,7 @@ def ascii_meshes(t: Tables) -> DataFrame:
     three = faces.select("l_suppkey", "f_idx", *(F.col("corners")[i].alias(f"v{i}") for i in range(3)))
     lines = sinks.ply_lines(points.withColumn("v_idx", F.col("v_idx").cast("int")), three.withColumn("f_idx", F.col("f_idx").cast("int")).select("l_suppkey", "f_idx", *(F.col(f"v{i}").cast("int").alias(f"v{i}") for i in range(3))), "l_suppkey")
     entity_files.write_files(lines.withColumn("name", F.concat(F.lit("supplier"), "l_suppkey", F.lit(".ply"))), path, "name", "ply")
-    vertices, triangles = readers.read_ply_ascii(t.spark, f"{path}/part-*/*.ply")
+    vertices, triangles = readers.read_ply_ascii(t.spark, path, "*.ply")
     key = F.regexp_extract("path", r"supplier(\d+)\.ply$", 1).cast("bigint").alias("l_suppkey")
     one = vertices.select(F.lit("vertex").alias("kind"), key, F.col("v_idx").alias("idx"), *(F.round(x, 4).alias(n) for x, n in zip("xyz", "abc")))
     two = triangles.select(F.lit("face").alias("kind"), key, F.col("f_idx").alias("idx"), *(F.col(f"v{i}").cast("double").alias(n) for i, n in enumerate("abc")))

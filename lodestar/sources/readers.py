@@ -162,16 +162,24 @@ def frames_of(documents: DataFrame, required: bool = False) -> DataFrame:
 _PLY_HEADER = r"^(ply|format|comment|element|property|end_header)\b"
 
 
-def read_ply_ascii(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_ply_ascii(spark: SparkSession, path: str, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(vertices, faces) of ASCII PLY files; quads become two triangles, other faces are dropped.
 
+    With a pattern, path is a folder, and files of such names at any depth are read. A folder is listed once; a path with
+    wildcards would have the driver take each file that it meets as a path of its own, which takes it milliseconds a file.
     A file is one row: its lines keep their order, and header counts say which are which.
     """
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\r?\n").alias("lines"))
-    count = lambda kind: F.regexp_extract(F.array_join("lines", "\n"), rf"element {kind} (\d+)", 1).cast("int")
-    body = F.filter("lines", lambda x: ~x.rlike(_PLY_HEADER))
-    files = text.select("path", count("vertex").alias("nv"), count("face").alias("nf"), body.alias("body"))
-    cells = lambda x: F.transform(F.split(F.trim(x), r"\s+"), lambda v: v.cast("double"))
+    below = {"recursiveFileLookup": True, "pathGlobFilter": pattern} if pattern else {}
+    text = spark.read.options(**below).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.trim("value").alias("value"))
+    ends = text.withColumn("end", F.expr("locate('\nend_header', value)"))
+    # counts are looked for in the header alone, and only lines that begin with a letter of its words are compared with them
+    head = F.when(F.col("end") > 0, F.substr("value", F.lit(1), F.col("end"))).otherwise(F.col("value"))
+    rest = F.when(F.col("end") > 0, F.substr("value", F.col("end") + 1)).otherwise(F.col("value"))
+    count = lambda kind: F.regexp_extract("head", rf"element {kind} (\d+)", 1).cast("int")
+    body = F.filter(F.split(rest, "\n"), lambda x: ~(x.between("c", "q") & x.rlike(_PLY_HEADER)))
+    files = ends.select("path", head.alias("head"), body.alias("body")).select("path", count("vertex").alias("nv"), count("face").alias("nf"), "body")
+    # one space is split at without a regular expression
+    cells = lambda x: F.transform(F.filter(F.split(F.translate(x, "\t\r", "  "), " "), lambda w: w != ""), lambda v: v.cast("double"))
     v = files.select("path", F.posexplode(F.expr("slice(body, 1, nv)")).alias("v_idx", "line")).withColumn("v", cells(F.col("line")))
     vertices = v.select("path", "v_idx", *(F.col("v")[i].alias(c) for i, c in enumerate("xyz")))
     f = files.select("path", F.posexplode(F.expr("slice(body, nv + 1, nf)")).alias("f_idx", "line"))

@@ -34,6 +34,23 @@ def test_ply_round_trip(spark, tmp_path):
     assert [tuple(r)[1:] for r in faces.collect()] == [(0, 0, 0, 1, 2)]
 
 
+def test_ascii_ply_by_other_writers(spark, tmp_path):
+    head = "ply\nformat ascii 1.0\ncomment by hand\nelement vertex 4\nproperty float x\nproperty float y\nproperty float z\nelement face 2\nproperty list uchar int vertex_indices\nend_header\n"
+    text = head + "0 0  0\n1\t0 0 \n -1e0 1 0\nnan 2 0.5\n3 0 1 2\n4 0 1 2 3\n"
+    (tmp_path / "a.ply").write_text(text)
+    (tmp_path / "b.ply").write_bytes(text.replace("\n", "\r\n").encode())
+    for name in "ab":
+        vertices, faces = readers.read_ply_ascii(spark, str(tmp_path / f"{name}.ply"))
+        assert [str(tuple(r)[1:]) for r in vertices.orderBy("v_idx").collect()] == ["(0, 0.0, 0.0, 0.0)", "(1, 1.0, 0.0, 0.0)", "(2, -1.0, 1.0, 0.0)", "(3, nan, 2.0, 0.5)"]
+        assert sorted(tuple(r)[1:] for r in faces.collect()) == [(0, 0, 0, 1, 2), (1, 0, 0, 1, 2), (1, 1, 0, 2, 3)]
+    os.makedirs(tmp_path / "deep/er")
+    (tmp_path / "deep/er/c.ply").write_text(text)
+    (tmp_path / "deep/_SUCCESS").write_text("")
+    assert readers.read_ply_ascii(spark, str(tmp_path / "deep"), "*.ply")[0].count() == 4
+    # the lines of a file are not joined again, nor matched one by one
+    assert "array_join" not in vertices._jdf.queryExecution().toString()
+
+
 def test_frames_fall_back_to_the_document(spark):
     df = spark.createDataFrame([("{\"camera_angle_x\": 0.5, \"frames\": [{\"file_path\": \"a\"}, {\"file_path\": \"b\", \"camera_angle_x\": 0.7}]}",)], "j string")
     doc = df.select(F.from_json("j", f"{readers.TRANSFORMS}, camera_angle_x double").alias("d")).select("d.*")
