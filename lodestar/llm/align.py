@@ -14,7 +14,7 @@ def sorted_bigrams(a: np.ndarray) -> np.ndarray:
 
 
 def shared_bigrams(x: np.ndarray, y: np.ndarray) -> int:
-    """Size of the multiset intersection of two sequences' sorted word pairs."""
+    """Size of the multiset intersection of two sequences' sorted word pairs, or sorted words."""
     both = np.concatenate([x, y])
     both.sort(kind="stable")
     if not len(both):
@@ -30,12 +30,17 @@ def shared_bigrams(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def may_align(a: np.ndarray, b: np.ndarray, most: int, grams: tuple[np.ndarray, np.ndarray] | None = None) -> bool:
-    """False only if more than `most` edits are needed: lengths and shared word pairs are bounds."""
+    """False only if more than `most` edits are needed: lengths, shared word pairs and shared words are bounds.
+
+    Word pairs are telling where edits are spread, words where they lie together.
+    """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return False
     need = max(n, m) - 1 - 2 * most
-    return need <= 0 or shared_bigrams(*(grams or (sorted_bigrams(a), sorted_bigrams(b)))) >= need
+    if need > 0 and shared_bigrams(*(grams or (sorted_bigrams(a), sorted_bigrams(b)))) < need:
+        return False
+    return max(n, m) <= most or shared_bigrams(np.sort(a), np.sort(b)) >= max(n, m) - most
 
 
 def _band(pairs: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:

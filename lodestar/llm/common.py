@@ -33,6 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Spark's setting that deletes a query's shuffle files when it ends, instead of when the driver collects its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class SharedTables:
     """Parquet tables in the shared folder that cut lineage between the steps of one operator.
 
@@ -47,8 +51,14 @@ class SharedTables:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as a table and return a DataFrame that reads it back."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        """Write df as a table and return a DataFrame that reads it back. The write's shuffle files go with it: nothing reads them again."""
+        conf = df.sparkSession.conf
+        before = conf.get(SHUFFLES_GO, None)
+        conf.set(SHUFFLES_GO, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            conf.unset(SHUFFLES_GO) if before is None else conf.set(SHUFFLES_GO, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -16,19 +16,19 @@ edit similarity, 1 - edit distance / length of the longer one, of at least `simi
    one place: the two ends come from an aggregate and are joined back.
 4. Candidate pairs are verified by banded alignment: bounds by length and by shared word
    pairs, which never reject a true pair, then the band, widened as far as `similarity` asks.
-   First each text's likeliest partner, then the likeliest pair between each two classes, then
-   all that still lie between two classes.
+   First each text's likeliest partner, then all that still lie between two classes.
 5. Verified pairs are joined to classes (connected components).
 6. Texts whose buckets still hold several classes are then compared beyond the buckets' ends. Texts
    of `similarity` share so many word pairs that their rarest ones (2 (1 - similarity) * length and
    SHARED more; repeats numbered, one order for all texts) have SHARED in common, so every two
    texts of different classes that meet in as many are verified. Word pairs of more than COMMON
    open texts make no rows here: a text that has such a pair even among its rarest is crowded.
-7. Crowded texts (pages made from one template are) are compared bucket by bucket. A bucket's
-   members are cut into blocks of like length and bounded size; each two blocks that hold several
-   classes and whose lengths may go together are a unit of work. A task counts the word pairs that
-   the texts of a unit share by a matrix product and aligns those that share enough; only verified
-   links leave it. So every pair of texts that agree in a sketch is decided, whatever they share.
+7. Crowded texts (pages made from one template are) are compared by what they have in buckets: each
+   has the largest of its buckets for a home, homes are cut into blocks of like length and bounded
+   size, and each two blocks that hold several classes, whose lengths may go together and that meet
+   in some bucket are a unit of work, once, however many buckets they meet in. A task counts the word
+   pairs that the texts of a unit share by a matrix product and aligns those that share enough; only
+   verified links leave it. So every pair of texts that agree in a sketch is decided, whatever they share.
 
 Recall: a pair of similarity s agrees in a sketch with a probability of about
 (s**k / (2 - s**k)) ** ell where edits are spread evenly. The README has a measured table by length
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.align import aligned, sorted_bigrams
 from lodestar.llm.common import DataFrameSchema, SharedTables, WordHashes, fresh, map_texts, mix64, shingle_hashes, text_digest
-from lodestar.llm.components import connected_components, merged
+from lodestar.llm.components import merged
 
 #: Sketches of texts by their number of words: (least, most, k, sketches). A text near a bound is in both.
 FAMILIES = ((0, 125, 2, 20), (100, 1 << 62, 5, 80))
@@ -142,50 +142,45 @@ def _hashed_words(texts: DataFrame) -> DataFrame:
     return map_texts(texts, "text", None, "node bigint, words binary", make=make)
 
 
-#: Pairs of one node that meet in one task; a node with more is dealt out in as many parts.
-PER_PART = 512
+#: Pairs that are decided at once in a task, about.
+PER_PART = 1024
 
 
-def _verified(pairs: DataFrame, words: DataFrame, tables: SharedTables, similarity: float, name: str) -> DataFrame:
-    """The pairs (a, b) whose texts align, as a table. A node of very many pairs is copied to several tasks."""
-    n = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
-    hot = tables.write(n.where(F.col("n") > PER_PART).select("node", F.ceil(F.col("n") / PER_PART).alias("parts")), f"{name}-hot")
-    for end in "ab":
-        pairs = pairs.join(hot.select(F.col("node").alias(end), F.col("parts").alias(f"parts_{end}")), end, "left")
-    swap = F.coalesce("parts_b", F.lit(1)) > F.coalesce("parts_a", F.lit(1))
-    parts = F.greatest(F.coalesce("parts_a", F.lit(1)), F.coalesce("parts_b", F.lit(1)))
-    dealt = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("leaf"), parts.alias("parts"))
-    dealt = dealt.select("hub", "leaf", F.pmod(F.xxhash64("leaf"), F.col("parts")).alias("part"))
-    hubs = dealt.select("hub", "part").distinct().join(words.select(F.col("node").alias("hub"), F.col("words").alias("hub_words")), "hub")
-    met = dealt.join(words.select(F.col("node").alias("leaf"), F.col("words").alias("leaf_words")), "leaf").join(hubs, ["hub", "part"])
+def _pair_links(similarity: float):
+    """A cogroup function: the pairs of a deal whose texts align. Tables: deal, a, b and deal, node, words."""
+    schema = DataFrameSchema("a bigint, b bigint")
 
-    def make():
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def text(node, raw):
-            if node not in known:
-                if len(known) >= 2000:
-                    known.clear()
-                x = np.frombuffer(raw, np.uint64)
-                known[node] = x, sorted_bigrams(x)
-            return known[node]
-
-        def call(batch, _):
-            hub, leaf = batch.column("hub").to_pylist(), batch.column("leaf").to_pylist()
-            both = [
-                (text(h, x.as_buffer()), text(n, y.as_buffer()))
-                for h, n, x, y in zip(hub, leaf, batch.column("hub_words"), batch.column("leaf_words"))
-            ]
-            words = [(x[0], y[0]) for x, y in both]
-            most = [int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in words]
-            keep = np.flatnonzero(aligned(words, most, [(x[1], y[1]) for x, y in both]))
-            return {"a": [min(hub[i], leaf[i]) for i in keep], "b": [max(hub[i], leaf[i]) for i in keep]}
+    def run(pairs, texts):
+        known = {}
+        for node, raw in zip(texts.column("node").to_pylist(), texts.column("words").to_pylist()):
+            x = np.frombuffer(raw, np.uint64)
+            known[node] = x, sorted_bigrams(x)
+        a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
+        both = [(known[x], known[y]) for x, y in zip(a, b)]
+        words = [(x[0], y[0]) for x, y in both]
+        most = [int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in words]
+        keep = np.flatnonzero(aligned(words, most, [(x[1], y[1]) for x, y in both]))
+        columns = [pa.array([min(a[i], b[i]) for i in keep], pa.int64()), pa.array([max(a[i], b[i]) for i in keep], pa.int64())]
+        return pa.Table.from_arrays(columns, schema=schema.arrow())
 
-        return call
+    return run
 
-    links = tables.write(map_texts(met.select("hub", "leaf", "hub_words", "leaf_words"), None, None, "a bigint, b bigint", make=make), name)
-    tables.drop(f"{name}-hot")
-    return links
+
+def _verified(pairs: DataFrame, words: DataFrame, tables: SharedTables, similarity: float, name: str) -> DataFrame:
+    """The pairs (a, b) whose texts align, as a table.
+
+    Pairs are dealt out by their leaf, an end that has few pairs, where they name one; else one by one.
+    A text goes once to each deal that needs it, so a text of very many pairs meets them in many tasks.
+    """
+    n_words = F.sum(F.col("n_a") + F.col("n_b")) if "n_a" in pairs.columns else F.lit(0)
+    n, held = pairs.agg(F.count("*"), n_words).first()
+    deals = max(1, -(-n // PER_PART), -(-(held or 0) // DEAL_WORDS))
+    deal = F.pmod(F.xxhash64(*(["leaf"] if "leaf" in pairs.columns else ["a", "b"])), F.lit(deals)).alias("deal")
+    dealt = pairs.select(deal, "a", "b")
+    needed = dealt.select("deal", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.collect_set("deal").alias("deals"))
+    texts = words.join(needed, "node").select(F.explode("deals").alias("deal"), "node", "words")
+    links = dealt.groupBy("deal").cogroup(texts.groupBy("deal")).applyInArrow(_pair_links(similarity), "a bigint, b bigint")
+    return tables.write(links, name)
 
 
 def _roots(nodes: DataFrame, classes: DataFrame, column: str, root: str) -> DataFrame:
@@ -201,47 +196,35 @@ def _likely(similarity: float, n_a: str = "n_a", n_b: str = "n_b") -> Column:
 
 def near_duplicate_links(texts: DataFrame, copies: DataFrame, tables: SharedTables, similarity: float, families, ell: int) -> DataFrame:
     """node, root of all texts with near duplicates. texts: digest, text; copies: digest, node."""
-    drawn = tables.write(_sketched(texts, families, ell), "sketches")
-    rows = drawn.select("digest", "n_words", F.explode("sketches").alias("value"))
-    # copies of one text may have been sketched by several tasks: min and max don't mind
-    short = F.xxhash64("digest")
-    buckets = rows.groupBy("value").agg(F.min(short).alias("low"), F.max(short).alias("high")).where("low <> high").select("value")
-    buckets = tables.write(buckets, "buckets")
-    members = rows.join(buckets, "value").join(copies.select("digest", "node"), "digest").select("value", "node", "n_words").distinct()
-    members = tables.write(members, "members")
-    end = F.struct("node", "n_words")
-    ends = tables.write(members.groupBy("value").agg(F.min(end).alias("low"), F.max(end).alias("high")), "ends")
-    both = members.join(ends, "value")
-    pair = lambda a, b: [F.col(f"{a}node").alias("a"), F.col(f"{a}n_words").alias("n_a"), F.col(f"{b}node").alias("b"), F.col(f"{b}n_words").alias("n_b")]
-    both = both.select(*pair("low.", "")).unionAll(both.select(*pair("", "high.")))
-    pairs = tables.write(both.where("a <> b").where(_likely(similarity)).groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+    # copies of one text may have been sketched by several tasks
+    drawn = _sketched(texts, families, ell).join(copies.select("digest", "node"), "digest").dropDuplicates(["digest"])
+    drawn = tables.write(drawn.select("node", "n_words", "sketches"), "sketches")
+    rows = drawn.select(F.explode("sketches").alias("value"), "node", "n_words")
+    ends = [F.min("node").alias("low"), F.min_by("n_words", "node").alias("n_low"), F.max("node").alias("high"), F.max_by("n_words", "node").alias("n_high")]
+    ends = tables.write(rows.groupBy("value").agg(*ends).where("low <> high"), "ends")
+    members = tables.write(rows.join(ends, "value"), "members")
+    pair = lambda a, n_a, b, n_b: members.select(F.col(a).alias("a"), F.col(n_a).alias("n_a"), F.col(b).alias("b"), F.col(n_b).alias("n_b"), F.col("node").alias("leaf"))
+    both = pair("low", "n_low", "node", "n_words").unionAll(pair("node", "n_words", "high", "n_high")).where("a <> b").where(_likely(similarity))
+    pairs = both.groupBy("a", "b").agg(F.count("*").alias("n"), *(F.max(x).alias(x) for x in ("n_a", "n_b", "leaf")))
+    pairs = tables.write(pairs, "pairs")
     wanted = tables.write(copies.select("digest", "node").join(members.select("node").distinct(), "node", "left_semi"), "wanted")
     kept = texts.join(wanted, "digest").groupBy("node").agg(F.first("text").alias("text"))
     words = tables.write(_hashed_words(kept), "words")
-    for name in ("sketches", "buckets", "ends"):
+    for name in ("sketches", "ends"):
         tables.drop(name)
-    best = F.max(F.struct("n", (-F.col("a")).alias("_"), "a")).alias("best")
-    tried = tables.write(pairs.groupBy("b").agg(best).select("best.a", "b"), "tried-0")
+    best = F.max(F.struct("n", (-F.col("a")).alias("_"), "a", "n_a", "n_b", "leaf")).alias("best")
+    tried = pairs.groupBy("b").agg(best).select("best.a", "b", "best.n_a", "best.n_b", "best.leaf")
+    tried = tables.write(tried, "tried-0")
     classes = merged(None, _verified(tried, words, tables, similarity, "links-0"), tables, "classes-0")
     between = _roots(_roots(pairs.join(tried, ["a", "b"], "left_anti"), classes, "a", "root_a"), classes, "b", "root_b")
-    more = tables.write(_best_between(between.where("root_a <> root_b")), "tried-1")
+    more = tables.write(between.where("root_a <> root_b").select("a", "b", "n_a", "n_b", "leaf"), "tried-1")
     classes = merged(classes, _verified(more, words, tables, similarity, "links-1"), tables, "classes-1")
-    tried = tried.unionAll(more)
-    between = _roots(_roots(pairs.join(tried, ["a", "b"], "left_anti"), classes, "a", "root_a"), classes, "b", "root_b")
-    more = tables.write(between.where("root_a <> root_b").select("a", "b"), "tried-2")
-    classes = merged(classes, _verified(more, words, tables, similarity, "links-2"), tables, "classes-2")
-    classes = _beyond_ends(members, tried.unionAll(more), classes, words, tables, similarity)
-    for name in ("members", "pairs", "wanted", "words", *(f"{x}-{i}" for x in ("tried", "links", "classes") for i in range(3))):
+    classes = _beyond_ends(members, tried.unionAll(more).select("a", "b"), classes, words, tables, similarity)
+    for name in ("members", "pairs", "wanted", "words", *(f"{x}-{i}" for x in ("tried", "links", "classes") for i in range(2))):
         tables.drop(name)
     return classes
 
 
-def _best_between(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, n, root_a, root_b) the likeliest one between each two classes."""
-    ends = [F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")]
-    return pairs.groupBy(*ends).agg(F.max(F.struct("n", "a", "b")).alias("best")).select("best.a", "best.b")
-
-
 def _prefix(n_words: Column, similarity: float) -> Column:
     """Of how many rarest word pairs two texts have SHARED in common: one more, as longer partners may need fewer."""
     return 2 * F.floor(F.lit(1 - similarity) * n_words + 1e-9) + 1 + SHARED
@@ -306,11 +289,11 @@ def _unit_links(similarity: float):
         table = table.sort_by([("unit", "ascending"), ("side", "ascending"), ("node", "ascending")])
         unit, side, node, root = (table.column(c).to_numpy() for c in ("unit", "side", "node", "root"))
         raw = table.column("words").to_pylist()
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n, x in zip(node.tolist(), raw):
             if n not in known:
                 words = np.frombuffer(x, np.uint64)
-                known[n] = words, labelled_kmers(words, 2)
+                known[n] = words, labelled_kmers(words, 2), labelled_kmers(words, 1)
         above: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -351,56 +334,59 @@ def _unit_links(similarity: float):
 
 
 def _may_link(one: list, other: list, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places in one and other, score and allowed edits of the pairs that length and shared word pairs don't rule out."""
+    """Places in one and other, score and allowed edits of the pairs that length, shared word pairs and shared words don't rule out."""
     n, m = (np.array([len(x[0]) for x in side]) for side in (one, other))
     longer = np.maximum.outer(n, m)
     most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
     counts = shared_counts([x[1] for x in one], [x[1] for x in other])
-    i, j = np.nonzero((np.abs(np.subtract.outer(n, m)) <= most) & (counts >= longer - 1 - 2 * most))
+    alike = shared_counts([x[2] for x in one], [x[2] for x in other]) >= longer - most
+    i, j = np.nonzero((np.abs(np.subtract.outer(n, m)) <= most) & (counts >= longer - 1 - 2 * most) & alike)
     return i, j, counts[i, j] / longer[i, j], most[i, j]
 
 
-def _crowded_links(crowded: DataFrame, members: DataFrame, classes: DataFrame, texts: DataFrame, tables: SharedTables, similarity: float) -> DataFrame | None:
-    """Links (a, b) between classes among the crowded texts of each bucket, as a table; None if no bucket has several. texts: node, words."""
-    rows = tables.write(_roots(members.join(crowded, "node", "left_semi"), classes, "node", "root"), "crowded-members")
+def _crowded_links(crowded: DataFrame, in_class: DataFrame, texts: DataFrame, tables: SharedTables, similarity: float) -> DataFrame | None:
+    """Links (a, b) between classes among the crowded texts of each bucket, as a table; None if no bucket has several. in_class: value, node, n_words, root; texts: node, words."""
+    rows = in_class.join(crowded, "node", "left_semi")
     split = rows.groupBy("value").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("value")
-    rows = rows.join(split, "value", "left_semi")
+    rows = tables.write(rows.join(split, "value", "left_semi"), "crowded-members")
+    # a text's home is the largest of its buckets: texts of one template meet in many, but are compared once
+    at = rows.join(rows.groupBy("value").agg(F.count("*").alias("n")), "value").groupBy("node", "n_words", "root").agg(F.max(F.struct("n", "value")).alias("at"))
     # lengths that may go together are on the same or on neighbouring levels
-    rows = rows.withColumn("level", F.floor(F.log("n_words") / F.log(F.lit(1.001 / similarity))).cast("int"))
+    level = F.floor(F.log("n_words") / F.log(F.lit(1.001 / similarity))).cast("int").alias("level")
+    homes = tables.write(at.select("node", "n_words", "root", F.col("at.value").alias("home"), level), "crowded-homes")
     # a large class has blocks of its own, which need not meet one another
     blocks_of = F.greatest(F.count("*") / BLOCK, F.sum("n_words") / BLOCK_WORDS)
-    own = rows.groupBy("value", "level", "root").agg(F.when(blocks_of > 0.5, F.col("root")).otherwise(-1).alias("own"))
-    rows = tables.write(rows.join(own, ["value", "level", "root"]), "crowded-owned")
-    sizes = rows.groupBy("value", "level", "own").agg(F.ceil(blocks_of).alias("parts"))
-    part = F.pmod(F.xxhash64("node"), "parts").alias("part")
-    placed = rows.join(sizes, ["value", "level", "own"]).select("value", "level", "own", part, "node", "n_words", "root")
-    placed = tables.write(placed, "crowded-placed")
-    block = ["value", "level", "own", "part"]
-    blocks = placed.groupBy(*block).agg(F.min("root").alias("first"), F.max("root").alias("last"), F.sum("n_words").alias("n_words"))
-    blocks = tables.write(blocks, "crowded-blocks")
-    names = {x: f"{x}_a" for x in ("own", "part", "first", "last", "n_words")}
-    near = blocks.select("value", F.col("level").alias("level_a"), *(F.col(x).alias(y) for x, y in names.items()), F.explode(F.array("level", F.col("level") + 1)).alias("level"))
-    once = (F.col("level_a") < F.col("level")) | (F.struct("own_a", "part_a") <= F.struct("own", "part"))
+    own = homes.groupBy("home", "level", "root").agg(F.when(blocks_of > 0.5, F.col("root")).otherwise(-1).alias("own"))
+    owned = tables.write(homes.join(own, ["home", "level", "root"]), "crowded-owned")
+    sizes = owned.groupBy("home", "level", "own").agg(F.ceil(blocks_of).alias("parts"))
+    block = F.struct("home", "level", "own", F.pmod(F.xxhash64("node"), "parts").alias("part")).alias("block")
+    placed = tables.write(owned.join(sizes, ["home", "level", "own"]).select("node", "n_words", "root", block), "crowded-placed")
+    blocks = placed.groupBy("block").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.sum("n_words").alias("n_words"))
+    # two blocks are a unit if some bucket has texts of both, so every two texts of a bucket meet
+    met = rows.select("value", "node").join(placed.select("node", "block"), "node").select("value", "block").distinct()
+    met = tables.write(met.join(blocks, "block"), "crowded-blocks")
+    near = met.select("value", *(F.col(x).alias(f"{x}_a") for x in ("block", "first", "last", "n_words")), F.explode(F.array("block.level", F.col("block.level") + 1)).alias("level"))
+    once = (F.col("block_a.level") < F.col("level")) | (F.col("block_a") <= F.col("block"))
     several = F.least("first_a", "first") < F.greatest("last_a", "last")
-    units = near.join(blocks, ["value", "level"]).where(once & several).withColumn("unit", F.monotonically_increasing_id())
-    units = tables.write(units, "crowded-units")
-    n_words = units.agg(F.sum(F.col("n_words_a") + F.col("n_words"))).first()[0]
+    units = near.join(met.withColumn("level", F.col("block.level")), ["value", "level"]).where(once & several)
+    units = units.groupBy("block_a", "block").agg(F.max(F.col("n_words_a") + F.col("n_words")).alias("n_words"))
+    units = tables.write(units.withColumn("unit", F.monotonically_increasing_id()), "crowded-units")
+    n_words = units.agg(F.sum("n_words")).first()[0]
     links = None
     if n_words is not None:
-        itself = F.struct("level_a", "own_a", "part_a") == F.struct("level", "own", "part")
-        ends = units.select("unit", "value", *(F.col(f"{x}_a").alias(x) for x in block[1:]), F.lit(0).alias("side"))
-        ends = ends.unionAll(units.where(~itself).select("unit", *block, F.lit(1).alias("side")))
+        ends = units.select("unit", F.col("block_a").alias("block"), F.lit(0).alias("side"))
+        ends = ends.unionAll(units.where("block_a <> block").select("unit", "block", F.lit(1).alias("side")))
         deal = F.pmod(F.xxhash64("unit"), F.lit(-(-n_words // DEAL_WORDS))).alias("deal")
-        dealt = placed.join(ends, block).select(deal, "unit", "side", "node", "root").join(texts, "node")
-        links = tables.write(dealt.groupBy("deal").applyInArrow(_unit_links(similarity), "a bigint, b bigint"), "links-5")
-    for name in ("members", "owned", "placed", "blocks", "units"):
+        dealt = placed.join(ends, "block").select(deal, "unit", "side", "node", "root").join(texts, "node")
+        links = tables.write(dealt.groupBy("deal").applyInArrow(_unit_links(similarity), "a bigint, b bigint"), "links-3")
+    for name in ("members", "homes", "owned", "placed", "blocks", "units"):
         tables.drop(f"crowded-{name}")
     return links
 
 
 def _beyond_ends(members: DataFrame, tried: DataFrame, classes: DataFrame, texts: DataFrame, tables: SharedTables, similarity: float) -> DataFrame:
     """classes after the pairs of open texts that share rare word pairs, and those of crowded texts. texts: node, words."""
-    in_class = tables.write(_roots(members, classes, "node", "root"), "in-class")
+    in_class = tables.write(_roots(members.select("value", "node", "n_words"), classes, "node", "root"), "in-class")
     split = in_class.groupBy("value").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("value")
     open_ = tables.write(in_class.join(split, "value", "left_semi").select("node", "n_words", "root").distinct(), "open")
     rarest = _rarest(open_, texts, tables, similarity)
@@ -413,21 +399,14 @@ def _beyond_ends(members: DataFrame, tried: DataFrame, classes: DataFrame, texts
     met = (
         one.join(other, "gram").where(F.col("root_a") < F.col("root_b")).where(_likely(similarity, "n_words_a", "n_words_b"))
         .groupBy("root_a", "root_b", F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-        .agg(F.count("*").alias("n"), F.min(needed).alias("needed")).where(F.col("n") >= F.least("needed", F.lit(SHARED)))
+        .agg(F.count("*").alias("n"), F.min(needed).alias("needed"), F.max("n_words_a").alias("n_a"), F.max("n_words_b").alias("n_b"))
+        .where(F.col("n") >= F.least("needed", F.lit(SHARED)))
     )
-    more = tables.write(met.select("a", "b", "n", "root_a", "root_b").join(tried, ["a", "b"], "left_anti"), "pairs-3")
-    # the likeliest pair of each two classes first: many classes are one by then
-    best = tables.write(_best_between(more), "tried-3")
-    now = merged(classes, _verified(best, texts, tables, similarity, "links-3"), tables, "classes-3")
-    between = _roots(_roots(more.select("a", "b").join(best, ["a", "b"], "left_anti"), now, "a", "now_a"), now, "b", "now_b")
-    between = tables.write(between.where("now_a <> now_b").select("a", "b"), "tried-4")
-    now = merged(now, _verified(between, texts, tables, similarity, "links-4"), tables, "classes-4")
-    links = _crowded_links(crowded, members, now, texts, tables, similarity)
-    if links is not None:
-        now = merged(now, links, tables, "classes-5")
-        for name in ("classes-4", "links-5"):
-            tables.drop(name)
-    for name in ("in-class", "open", "grams", "rarest", "crowded", "rare", "pairs-3", "tried-3", "tried-4", "links-3", "links-4", "classes-3"):
+    more = tables.write(met.select("a", "b", "n_a", "n_b").join(tried, ["a", "b"], "left_anti"), "pairs-2")
+    links = _verified(more, texts, tables, similarity, "links-2")
+    among = _crowded_links(crowded, in_class, texts, tables, similarity)
+    now = merged(classes, links if among is None else links.unionAll(among), tables, "classes-2")
+    for name in ("in-class", "open", "grams", "rarest", "crowded", "rare", "pairs-2", "links-2", "links-3"):
         tables.drop(name)
     return now
 
@@ -442,7 +421,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     copies = tables.write(copies.withColumn("node", F.monotonically_increasing_id()), "copies")
     classes = near_duplicate_links(texts.select("digest", "text"), copies, tables, similarity, families, ell)
     rooted = tables.write(_roots(copies, classes, "node", "root"), "rooted")
-    for name in ("copies", "classes-4", "classes-5"):
+    for name in ("copies", "classes-2"):
         tables.drop(name)
     return rooted
 

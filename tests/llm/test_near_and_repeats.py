@@ -307,3 +307,38 @@ def test_texts_of_one_template_find_all_that_their_sketches_find(spark, monkeypa
     met = [(i, j) for i, j in planted if sketches[i] & sketches[j]]
     assert len(met) >= 0.9 * len(planted)
     assert all(got[i] == got[j] for i, j in met)
+
+
+def test_edits_that_lie_together_are_ruled_out_by_words():
+    a = np.arange(100, dtype=np.uint64)
+    b = np.append(a[:70], np.arange(1000, 1030, dtype=np.uint64))
+    # 30 edits, but only 30 of 99 word pairs are lost
+    assert not align.may_align(a, b, 20) and align.may_align(a, b, 30)
+    grams = [(x, omh.labelled_kmers(x, 2), omh.labelled_kmers(x, 1)) for x in (a, b)]
+    assert [x.tolist() for x in omh._may_link(grams, grams, 0.8)[:2]] == [[0, 1], [0, 1]]
+
+
+def test_blocks_of_links_make_the_same_components(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)]
+    links = spark.createDataFrame(rows, "a bigint, b bigint").repartition(6)
+    whole = sorted(components.connected_components(links, SharedTables(spark, "test")).collect())
+    monkeypatch.setattr(components, "BLOCK_LINKS", 40)
+    assert sorted(components.connected_components(links, SharedTables(spark, "test")).collect()) == whole
+    classes = spark.createDataFrame([(3, 1), (1, 1), (9, 9)], "node bigint, root bigint")
+    more = spark.createDataFrame([(0, 3), (7, 8)], "a bigint, b bigint")
+    got = {r.node: r.root for r in components.merged(classes, more, SharedTables(spark, "test"), "classes").collect()}
+    assert {k: got.get(k, k) for k in (0, 1, 3, 7, 8, 9)} == {0: 0, 1: 0, 3: 0, 7: 7, 8: 7, 9: 9}
+
+
+def test_texts_that_meet_in_many_buckets_are_dealt_once(spark, monkeypatch):
+    texts, _ = template_texts(random.Random(3), 60, 0)
+    words = SharedTables(spark, "test").write(omh._hashed_words(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")), "words")
+    rows = [(v, n, 60, n) for v in range(20) for n in range(60)]
+    in_class = spark.createDataFrame(rows, "value bigint, node bigint, n_words int, root bigint")
+    seen, tables = {}, SharedTables(spark, "test")
+    write = tables.write
+    monkeypatch.setattr(tables, "write", lambda df, name: seen.setdefault(name, write(df, name)))
+    monkeypatch.setattr(tables, "drop", lambda name: None)
+    omh._crowded_links(in_class.select("node").distinct(), in_class, words, tables, 0.8)
+    assert seen["crowded-units"].count() == 1
