@@ -11,7 +11,7 @@ from lodestar.operators import merge, ragged, select, shard
 from lodestar.operators import telemetry as tm
 from lodestar.plans.base import Tables, query
 from lodestar.plans.geometry import _POINTS, _points, _round
-from lodestar.plans.sparse import _CELLS, _cells
+from lodestar.plans.sparse import _CELLS, _cells, _rounded
 from lodestar.sources.readers import importer_of
 
 
@@ -134,13 +134,13 @@ SELECT seq, tok, list(y ORDER BY i) AS out FROM m GROUP BY seq, tok
 def attention_by_sequence(t: Tables) -> DataFrame:
     rows = t.embeddings.select(F.floor(F.col("vec_id") / 8).alias("seq"), F.col("vec_id").alias("tok"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     out = ragged.attention(rows, "seq", "tok", "v", "v", "v")
-    return out.select("seq", "tok", F.transform("out", lambda x: F.round(x, 5) + 0.0).alias("out"))
+    return out.select("seq", "tok", _rounded("out").alias("out"))
 
 
 @query("SELECT event_id, list_transform(range(0, 8), lambda i: round(CASE WHEN i < 4 THEN cos(event_id % 50 * exp(-ln(10000) * i / 4)) ELSE sin(event_id % 50 * exp(-ln(10000) * (i - 4) / 4)) END, 6) + 0.0) AS emb FROM events")
 def time_embedding(t: Tables) -> DataFrame:
     emb = flow.sinusoidal(F.col("event_id") % 50, 8)
-    return t.events.select("event_id", F.transform(emb, lambda x: F.round(x, 6) + 0.0).alias("emb"))
+    return t.events.select("event_id", _rounded(emb, 6).alias("emb"))
 
 
 @query(f"""WITH {_POINTS}, q AS (SELECT mesh, i, (x + 1) * 4 - 0.5 AS px, (y + 1) * 4 - 0.5 AS py FROM p),
@@ -157,7 +157,7 @@ def bilinear_sample(t: Tables) -> DataFrame:
 @query("SELECT p_partkey, [2.0 * p_size, 0, 0, 0, 0, -2.0 * p_size, 0, 0, 0, 0, round(100 / 99.0, 6), round(100 / -99.0, 6), 0, 0, 1, 0]::DOUBLE[] AS m FROM part")
 def clip_matrix(t: Tables) -> DataFrame:
     m = g.projection_matrix(F.col("p_size").cast("double"), F.col("p_size").cast("double"), F.lit(0.5), F.lit(0.5), 1.0, 100.0)
-    return t.part.select("p_partkey", F.transform(m, lambda x: F.round(x, 6) + 0.0).alias("m"))
+    return t.part.select("p_partkey", _rounded(m, 6).alias("m"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(abs(l_discount - l_tax), 9) AS a, round(CASE WHEN greatest(l_discount, l_tax) > 0 THEN abs(l_discount - l_tax) / greatest(l_discount, l_tax) ELSE 0 END, 9) AS r FROM lineitem")

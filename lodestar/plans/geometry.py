@@ -9,6 +9,7 @@ from lodestar.functions import flow
 from lodestar.functions import geometry as g
 from lodestar.operators import images
 from lodestar.plans.base import Tables, query
+from lodestar.plans.sparse import _rounded
 
 _POINTS = """p AS (SELECT l_orderkey AS mesh, l_linenumber AS i, (l_partkey % 1000) / 500.0::DOUBLE - 1 AS x, (l_suppkey % 100) / 50.0::DOUBLE - 1 AS y,
   l_quantity / 25.0::DOUBLE - 1 AS z FROM lineitem)"""
@@ -148,24 +149,21 @@ _PAIRS = """p AS (SELECT a.vec_id, a.label, list_zip(a.embedding::DOUBLE[], b.em
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
 
 
-def _flat(arr):
-    return F.transform(arr, lambda x: F.round(x, 5) + 0.0)
-
-
 @query(f"""WITH {_PAIRS} SELECT vec_id, list_transform(z, lambda x: round((1 - t) * x[1] + (0.001::DOUBLE + (1 - 0.001::DOUBLE) * t) * x[2], 5) + 0.0) AS xt,
 list_transform(z, lambda x: round((1 - 0.001::DOUBLE) * x[2] - x[1], 5) + 0.0) AS v, list_transform(z, lambda x: round(x[1], 5) + 0.0) AS back FROM p""")
 def diffuse_velocity(t: Tables) -> DataFrame:
     s = 0.001
     rows = _pairs(t).withColumn("xt", flow.diffuse(F.col("x0"), F.col("eps"), F.col("t"), s)).withColumn("v", flow.velocity(F.col("x0"), F.col("eps"), s))
-    back = flow.recovered_x0(F.col("xt"), F.col("v"), F.col("t"), s)
-    return rows.select("vec_id", _flat("xt").alias("xt"), _flat("v").alias("v"), _flat(back).alias("back"))
+    # features are floats: to their precision what is recovered is the feature itself, without the last bits that the way there and back adds
+    back = F.transform(flow.recovered_x0(F.col("xt"), F.col("v"), F.col("t"), s), lambda x: x.cast("float").cast("double"))
+    return rows.select("vec_id", _rounded("xt").alias("xt"), _rounded("v").alias("v"), _rounded(back).alias("back"))
 
 
 @query(f"""WITH {_PAIRS}, g AS (SELECT *, CASE WHEN t BETWEEN 0.5 AND 0.9 THEN 7.5::DOUBLE ELSE 1.0 END AS g FROM p)
 SELECT vec_id, list_transform(z, lambda x: round(CASE WHEN g = 1 THEN x[1] ELSE g * x[1] + (1 - g) * x[2] END, 5) + 0.0) AS v FROM g""")
 def cfg_blend(t: Tables) -> DataFrame:
     rows = _pairs(t).withColumn("g", flow.gate(F.col("t"), 0.5, 0.9, 7.5))
-    return rows.select("vec_id", _flat(flow.guided(F.col("x0"), F.col("eps"), F.col("g"))).alias("v"))
+    return rows.select("vec_id", _rounded(flow.guided(F.col("x0"), F.col("eps"), F.col("g"))).alias("v"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, (l_quantity % 13)::INTEGER AS i FROM lineitem)

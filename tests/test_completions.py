@@ -92,3 +92,15 @@ def test_euler_steps_at_a_tie_round_as_in_sql(spark, tmp_path):
     pairs = {7: (0.13548928499221802, -0.18471428751945496), 8: (0.16284313797950745, 0.07715141773223877), 2: (-0.06859005987644196, -0.18643373250961304)}
     got, want = both(spark, tmp_path, "euler_step", [(k, list(pair), 0) for k, pair in pairs.items()], "x")
     assert [want[k][0] for k in pairs] == [0.20938, 0.12812, -0.04063] and got == want
+
+
+def test_diffused_features_at_a_tie_round_as_in_sql(spark, tmp_path):
+    # xt and v: in decimals a tie, in doubles above it; back: x0 is a tie itself, and comes back without a last bit off
+    xt, v, back = (0.005284679122269154, -0.10285230726003647), (0.051480721682310104, 0.15100672841072083), (-0.109375, -0.11459928005933762)
+    rows = [(k + i, [pair[i]], 0) for k, pair in ((2, xt), (8, v), (14, back)) for i in (0, 1)]
+    for column, k, value in (("xt", 2, -0.01642), ("v", 8, 0.09938), ("back", 14, -0.10938)):
+        got, want = both(spark, tmp_path / column, "diffuse_velocity", rows, column)
+        assert want[k] == [value] and got == want
+    # blended features are rounded by the same step
+    got, want = both(spark, tmp_path / "blend", "cfg_blend", [(5, [0.13334466516971588], 0), (6, [-1.7272508978649626e-09], 0)], "v")
+    assert want == {5: [1.00008]} and got == want
