@@ -234,7 +234,7 @@ SELECT vec_id, list(round(coalesce(z, 0), 5) + 0.0 ORDER BY i) AS colour FROM z
 def pca_color(t: Tables) -> DataFrame:
     """Three leading directions of the features as colours in 0..1."""
     out = images.pca_colours(t.embeddings, "vec_id", "embedding")
-    return out.withColumn("colour", F.transform("colour", lambda x: F.round(x, 5) + 0.0))
+    return out.withColumn("colour", _rounded("colour"))
 
 
 @query("""

@@ -104,3 +104,15 @@ def test_diffused_features_at_a_tie_round_as_in_sql(spark, tmp_path):
     # blended features are rounded by the same step
     got, want = both(spark, tmp_path / "blend", "cfg_blend", [(5, [0.13334466516971588], 0), (6, [-1.7272508978649626e-09], 0)], "v")
     assert want == {5: [1.00008]} and got == want
+
+
+def test_colours_of_nearly_equal_directions_are_as_in_sql(spark, tmp_path):
+    # the first two sizes differ by 0.01 %: fourteen squarings, as the SQL has them, leave the two mixed
+    axes = [[0.600036, 0.800048, 0.0, 0.0], [-0.8, 0.6, 0.0, 0.0], [0.0, 0.0, 0.5, 0.0], [0.0, 0.0, 0.0, 0.25]]
+    rows = [(4 * k + i, [x * s for x in axis], 0) for k, s in enumerate((1.0, -0.5, 0.3)) for i, axis in enumerate(axes)]
+    got, want = both(spark, tmp_path / "mixed", "pca_color", rows, "colour")
+    assert want[1][0] > 0.35 and got == want
+    # equal ones, where any directions would do
+    got, want = both(spark, tmp_path / "equal", "pca_color", [(i, [float(i == j) for j in range(6)], 0) for i in range(6)], "colour")
+    assert got == want
+    assert {r.id: r.colour for r in images.pca_colours(spark.createDataFrame([(1, [0.0, 0.0])], "id int, f array<double>"), "id", "f").collect()} == {1: [0.0] * 3}
